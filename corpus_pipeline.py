@@ -1,4 +1,8 @@
-"""Corpus pipeline: quality classifier, near-duplicates, personal data, mixing, packing."""
+"""Corpus pipeline: quality classifier, near-duplicates, personal data, mixing, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept.
+All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
@@ -7,31 +11,48 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import mixing, packing, quality
+from millrace.llm import mixing, packing, pii, quality, simhash
 from millrace.session import table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep what the classifier accepts; it learns from the labels of the input's own tables."""
+    """Documents that the classifier rejects go; it learns from the labels beside the input."""
     model = quality.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return quality.classify(docs, model, "__score").where(F.col("__score") >= quality.THRESHOLD).drop("__score")
+    scored = quality.classify(docs, model, "__score")
+    return scored.where(F.col("__score") >= quality.THRESHOLD).drop("__score")
+
+
+def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays, the one of smallest doc_id."""
+    return simhash.keep_one(docs)
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind; n_chars follows the text."""
+    return pii.redact(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat or leave out documents so that sources meet their target weights."""
+    """Documents are repeated or left out so that sources meet their target weights."""
     return mixing.mix(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Assign each remaining row to a length bucket and a token-budget batch."""
+    """Each row gets a length bucket, a token-budget batch and a slot in it."""
     return packing.pack(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("quality", quality_stage), ("mixing", mixing_stage), ("packing", packing_stage)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", quality_stage),
+    ("simhash", simhash_stage),
+    ("pii", pii_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
 
-#: Models trained here decide in the first and third stage, which SQL can't express.
+#: Models trained on the way and XXH64 fingerprints decide which rows there are; SQL can't express them.
 ORACLE_SQL = None
 
 

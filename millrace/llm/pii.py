@@ -7,14 +7,13 @@ takes its label from the window in which it lies most centrally. Spans found tha
 added where they hold what their kind needs and touch no base span; base spans always stay.
 """
 
-from __future__ import annotations
-
 import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -100,7 +99,7 @@ class Tagger:
     trans: np.ndarray  # (LABELS, LABELS)
 
     @classmethod
-    def start(cls, seed: int = SEED) -> Tagger:
+    def start(cls, seed: int = SEED) -> "Tagger":
         rng = np.random.default_rng(seed)
         wx = rng.normal(0, 0.3, (2, CLASSES, 4 * HIDDEN))
         wx[:, :, HIDDEN : 2 * HIDDEN] += 1.0  # forget gates start open
@@ -414,8 +413,6 @@ def redact(docs: DataFrame, model: Tagger | None = None) -> DataFrame:
 
     A null text stays null, with its n_chars unchanged.
     """
-    import pandas as pd
-
     model = model or fit(docs)
 
     @F.pandas_udf(T.StringType())

@@ -5,14 +5,13 @@ fixed seed, and the weights minimise the logistic loss on differences of their f
 A quantile of the training scores becomes the threshold, placed at 0.7 of the final scale.
 """
 
-from __future__ import annotations
-
 import math
 import operator
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -146,10 +145,8 @@ def classify(docs: DataFrame, model: QualityModel, score: str = "score") -> Data
     kept = [c for c in docs.columns if c != score]
 
     @F.pandas_udf(T.DoubleType())
-    def scored(text):
+    def scored(text: pd.Series) -> pd.Series:
         x = np.array([features(t) for t in text], float).reshape(len(text), len(FEATURES))
-        import pandas as pd
-
         return pd.Series(model.scores(x))
 
     return docs.select(*[F.col(f"`{c}`") for c in kept], scored(F.col("text")).alias(score))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import embedding_dedup, mixing, packing, quality, simhash, topk
+from . import embedding_dedup, lm, mixing, packing, pii, quality, simhash, substring, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,17 +24,39 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality, op2_mixing, op3_embedding_dedup, op6_packing, op8_simhash, op10_top_k)}
-SQL: dict[str, str] = {"op2_mixing": mixing.ORACLE, "op3_embedding_dedup": embedding_dedup.ORACLE, "op10_top_k": topk.ORACLE}
+_ALL = (op1_quality, op2_mixing, op3_embedding_dedup, op4_lm_score, op5_pii, op6_packing, op7_toxicity, op8_simhash, op9_substring_dedup, op10_top_k)
+QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
+SQL: dict[str, str] = {
+    "op2_mixing": mixing.ORACLE,
+    "op3_embedding_dedup": embedding_dedup.ORACLE,
+    "op9_substring_dedup": substring.ORACLE,
+    "op10_top_k": topk.ORACLE,
+}

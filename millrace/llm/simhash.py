@@ -188,7 +188,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) ->
     """
     printed = settle(fingerprints(docs))
     distinct = settle(printed.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    groups = connected_components(fingerprint_links(distinct, radius, tile)).withColumnRenamed("node", "fp")
+    links = settle(fingerprint_links(distinct, radius, tile))
+    groups = connected_components(links).withColumnRenamed("node", "fp")
     linked = groups.join(distinct, "fp")
     least = linked.groupBy("component").agg(F.min("least").alias("group_least"))
     of_linked = groups.join(least, "component").select("fp", "group_least")

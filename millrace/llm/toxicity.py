@@ -34,8 +34,10 @@ _CORE = np.zeros(256, bool)
 _CORE[48:58] = _CORE[65:91] = _CORE[97:123] = _CORE[128:] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-#: Features of a word: the whole form, prefixes of 4, 5, 6 and 8 bytes, the last 5 bytes.
-KINDS = 6
+#: Features of a word: the whole form, the last 5 bytes, prefixes, and longer prefixes with the
+#: word's shape (capital first, punctuation after it, longer than the prefix).
+PREFIXES, SHAPED = (4, 5, 6, 7, 8), (5, 6, 7)
+KINDS = 2 + len(PREFIXES) + len(SHAPED)
 
 
 @dataclass
@@ -76,16 +78,22 @@ def word_features(texts: list[bytes]) -> Words:
         h *= np.uint64(0xBF58476D1CE4E5B9)
         return ((h >> np.uint64(40)) % np.uint64(SLOTS)).astype(np.int32)
 
+    capital = (raw[first] >= 65) & (raw[first] <= 90) & (length > 0)
+    shape = capital.astype(np.uint64) + np.uint64(2) * (stop < end).astype(np.uint64)
     for k in range(8):
         head = head * np.uint64(257) + np.where(k < length, low[first + k], 0)
-        if k + 1 in (4, 5, 6, 8):
-            kind = {4: 1, 5: 2, 6: 3, 8: 4}[k + 1]
+        if k + 1 in PREFIXES:
+            kind = 2 + PREFIXES.index(k + 1)
             slots[kind] = slot(head, kind)
+        if k + 1 in SHAPED:
+            kind = 2 + len(PREFIXES) + SHAPED.index(k + 1)
+            longer = (length > k + 1).astype(np.uint64)
+            slots[kind] = slot(head * np.uint64(8) + shape * np.uint64(2) + longer, kind)
     tail = np.zeros(len(start), np.uint64)
     for k in range(8):
         tail = tail * np.uint64(257) + np.where(k < length, low[np.maximum(stop - 1 - k, 0)], 0)
         if k == 4:
-            slots[5] = slot(tail, 5)
+            slots[1] = slot(tail, 1)
     slots[0] = slot(head * salt + tail + length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93), 0)
     return Words(start, end, text, slots)
 
@@ -187,48 +195,51 @@ class ToxicityModel:
             total += self.weights[words.slots[kind]]
         return total
 
-    def document_scores(self, p: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
+    def document_scores(self, p: np.ndarray, words: Words, n: int) -> np.ndarray:
         if self.constant is not None:
             return np.full(n, self.constant)
-        return 1 / (1 + np.exp(-np.clip(summary(p, text, n) @ self.calibration, -60, 60)))
+        return 1 / (1 + np.exp(-np.clip(summary(p, words, n) @ self.calibration, -60, 60)))
 
 
-def summary(p: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
-    """(1, logit of the largest marginal, log of the expected offending words above 0.1) of each text."""
+def summary(p: np.ndarray, words: Words, n: int) -> np.ndarray:
+    """(1, logit of the largest marginal, log of the mean count of distinct offending forms above 0.1) of each text."""
     top, mass = np.full(n, 1e-6), np.zeros(n)
-    np.maximum.at(top, text, p)
-    np.add.at(mass, text, np.where(p > 0.1, p, 0.0))
+    np.maximum.at(top, words.text, p)
+    hot = np.flatnonzero(p > 0.1)
+    _, first = np.unique(words.text[hot].astype(np.int64) * SLOTS + words.slots[0][hot], return_index=True)
+    np.add.at(mass, words.text[hot[first]], p[hot[first]])
     top = np.clip(top, 1e-6, 1 - 1e-6)
     return np.stack([np.ones(n), np.log(top / (1 - top)), np.log1p(mass)], 1)
 
 
-def weak_labels(words: Words, y: np.ndarray, least: int = 3, ratio: float = 25.0) -> np.ndarray:
+def weak_labels(words: Words, y: np.ndarray, ratio: float = 6.0, evidence: float = 14.0) -> np.ndarray:
     """1 for words of toxic texts one of whose features is met far more often in toxic texts.
 
-    A feature speaks for toxicity if ``least`` toxic texts hold it and its share of toxic
-    texts is ``ratio`` times its smoothed share of clean ones.
+    A feature speaks for toxicity if its share of toxic texts is ``ratio`` times its smoothed
+    share of clean ones, and the log likelihood ratio of its own toxic share against the
+    sample's is ``evidence`` at least, which rules out chance over a million features.
     """
     toxic_texts, clean_texts = max(1, int((y == 1).sum())), max(1, int((y == 0).sum()))
+    base = toxic_texts / (toxic_texts + clean_texts)
     marked = np.zeros(words.slots.shape[1], bool)
-    in_toxic = y[words.text] == 1
     for kind in range(KINDS):
         key = np.unique(words.text.astype(np.int64) * SLOTS + words.slots[kind])
         toxic_key = y[key // SLOTS] == 1
         t = np.bincount(key[toxic_key] % SLOTS, minlength=SLOTS)
         c = np.bincount(key[~toxic_key] % SLOTS, minlength=SLOTS)
-        speaks = (t >= least) & (t / toxic_texts > ratio * (c + 0.5) / clean_texts)
+        own = np.clip(t / np.maximum(1, t + c), 1e-9, 1 - 1e-9)
+        gain = t * np.log(own / base) + c * np.log((1 - own) / (1 - base))
+        speaks = (t / toxic_texts > ratio * (c + 0.5) / clean_texts) & (gain >= evidence)
         marked |= speaks[words.slots[kind]]
-    return (marked & in_toxic).astype(np.int8)
+    return (marked & (y[words.text] == 1)).astype(np.int8)
 
 
-def _chain_expectations(gain: np.ndarray, lengths: np.ndarray, trans: np.ndarray, initial: float) -> np.ndarray:
-    return marginals(gain, lengths, trans, initial)
-
-
-def fit_texts(texts: list[bytes], y: np.ndarray, epochs: int = 12, rate: float = 0.5, seed: int = 5) -> ToxicityModel:
+def fit_texts(texts: list[bytes], y: np.ndarray, prior: float | None = None, epochs: int = 12, rate: float = 0.5, seed: int = 5) -> ToxicityModel:
     """Fit the field to texts with 0/1 labels.
 
-    With one class only, or no rows, scores are the share of label 1, 0 without rows.
+    ``prior`` is the share of label 1 among all labelled rows, to which scores are calibrated
+    where the sample's share differs. With one class only, or no rows, scores are the share of
+    label 1, 0 without rows.
     """
     zero = np.zeros(SLOTS, np.float32)
     if not len(texts) or y.min() == y.max():
@@ -280,7 +291,7 @@ def fit_texts(texts: list[bytes], y: np.ndarray, epochs: int = 12, rate: float =
     model = ToxicityModel(weights.astype(np.float32), bias, trans, initial)
     lengths = np.bincount(words.text, minlength=len(texts))
     p = marginals(model.gains(words), lengths[lengths > 0], trans, initial)
-    x = summary(p, words.text, len(texts))
+    x = summary(p, words, len(texts))
     w = np.zeros(3)
     for _ in range(50):  # logistic regression of the document label on the summary
         q = 1 / (1 + np.exp(-np.clip(x @ w, -60, 60)))
@@ -290,6 +301,9 @@ def fit_texts(texts: list[bytes], y: np.ndarray, epochs: int = 12, rate: float =
         w -= step
         if np.abs(step).max() < 1e-9:
             break
+    if prior and 0 < prior < 1:
+        sampled = y.mean()
+        w[0] += math.log(prior / (1 - prior)) - math.log(sampled / (1 - sampled))
     return ToxicityModel(model.weights, bias, trans, initial, w)
 
 
@@ -309,7 +323,8 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS, max_bytes: in
     for r in sorted(sized.select("doc_id", "order", "y", "text").collect(), key=lambda r: (r["order"], r["doc_id"])):
         texts.append(r["text"].encode())
         y.append(r["y"])
-    return fit_texts(texts, np.array(y, float))
+    known = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"), 4))
+    return fit_texts(texts, np.array(y, float), known.agg(F.avg(F.col("toxic").cast("double"))).first()[0])
 
 
 def tag(texts: list[bytes], model: ToxicityModel) -> tuple[np.ndarray, Words, np.ndarray]:
@@ -317,7 +332,7 @@ def tag(texts: list[bytes], model: ToxicityModel) -> tuple[np.ndarray, Words, np
     words = word_features(texts)
     lengths = np.bincount(words.text, minlength=len(texts)) if len(texts) else np.zeros(0, int)
     p = marginals(model.gains(words), lengths[lengths > 0], model.trans, model.initial)
-    return model.document_scores(p, words.text, len(texts)), words, p
+    return model.document_scores(p, words, len(texts)), words, p
 
 
 def spans(texts: list[bytes], words: Words, p: np.ndarray) -> list[list[tuple[int, int]]]:
