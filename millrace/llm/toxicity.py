@@ -186,7 +186,7 @@ class ToxicityModel:
     bias: float
     trans: np.ndarray
     initial: float
-    calibration: np.ndarray = field(default_factory=lambda: np.array([0.0, 0.0, 0.0]))
+    calibration: np.ndarray = field(default_factory=lambda: np.zeros(5))
     constant: float | None = None
 
     def gains(self, words: Words) -> np.ndarray:
@@ -202,14 +202,17 @@ class ToxicityModel:
 
 
 def summary(p: np.ndarray, words: Words, n: int) -> np.ndarray:
-    """(1, logit of the largest marginal, log of the mean count of distinct offending forms above 0.1) of each text."""
-    top, mass = np.full(n, 1e-6), np.zeros(n)
+    """What a document's score rests on, one row per text: 1, the logit of the largest marginal, logs of
+    the expected offending words and of their distinct forms (above 0.1), and of the number of words."""
+    top, mass, forms = np.full(n, 1e-6), np.zeros(n), np.zeros(n)
     np.maximum.at(top, words.text, p)
     hot = np.flatnonzero(p > 0.1)
+    np.add.at(mass, words.text[hot], p[hot])
     _, first = np.unique(words.text[hot].astype(np.int64) * SLOTS + words.slots[0][hot], return_index=True)
-    np.add.at(mass, words.text[hot[first]], p[hot[first]])
+    np.add.at(forms, words.text[hot[first]], p[hot[first]])
     top = np.clip(top, 1e-6, 1 - 1e-6)
-    return np.stack([np.ones(n), np.log(top / (1 - top)), np.log1p(mass)], 1)
+    length = np.bincount(words.text, minlength=n)[:n] if n else np.zeros(0)
+    return np.stack([np.ones(n), np.log(top / (1 - top)), np.log1p(mass), np.log1p(forms), np.log1p(length)], 1)
 
 
 def weak_labels(words: Words, y: np.ndarray, ratio: float = 6.0, evidence: float = 14.0) -> np.ndarray:
@@ -292,11 +295,11 @@ def fit_texts(texts: list[bytes], y: np.ndarray, prior: float | None = None, epo
     lengths = np.bincount(words.text, minlength=len(texts))
     p = marginals(model.gains(words), lengths[lengths > 0], trans, initial)
     x = summary(p, words, len(texts))
-    w = np.zeros(3)
+    w = np.zeros(x.shape[1])
     for _ in range(50):  # logistic regression of the document label on the summary
         q = 1 / (1 + np.exp(-np.clip(x @ w, -60, 60)))
         g = x.T @ (q - y) / len(y) + 1e-3 * w
-        h = (x * (q * (1 - q))[:, None]).T @ x / len(y) + 1e-3 * np.eye(3)
+        h = (x * (q * (1 - q))[:, None]).T @ x / len(y) + 1e-3 * np.eye(len(w))
         step = np.linalg.solve(h, g)
         w -= step
         if np.abs(step).max() < 1e-9:
