@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text in a batch; the number of batches and shards follows from the table's size.
-BATCH_BYTES = 24 << 20
+BATCH_BYTES = 16 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -62,6 +62,12 @@ def distinct_sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.
     return keys[first], np.add.reduceat(counts, first)
 
 
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """Sorted distinct keys, by sorting."""
+    keys = np.sort(keys)
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+
+
 def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     """Shard numbers that grow with the key."""
     return ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)

@@ -74,15 +74,26 @@ class FMIndex:
         self.suffixes = sorted_suffixes(text, depth)
         sigma = int(text.max(initial=0)) + 1
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=sigma), dtype=np.int64)])
-        self.matrix = WaveletMatrix(text[self.suffixes - 1], sigma)
+        self.before = text[self.suffixes - 1].astype(np.int32)
+        self.matrix = WaveletMatrix(self.before.astype(np.int64), sigma)
         self.size = len(text)
         # the wavelet matrix keeps each symbol's occurrences together at the bottom
         self.base = self.matrix.rank(np.arange(sigma), np.zeros(sigma, np.int64))
 
     def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Suffix ranges of patterns with one more symbol in front."""
+        """Suffix ranges of patterns with one more symbol in front.
+
+        A range of one suffix stays one if the symbol before that suffix is the one wanted, so its
+        end needs no rank of its own.
+        """
         start = self.first[symbol] - self.base[symbol]
-        return start + self.matrix.rank(symbol, low), start + self.matrix.rank(symbol, high)
+        a = start + self.matrix.rank(symbol, low)
+        b = a.copy()
+        one = high - low == 1
+        b[one] += self.before[low[one]] == symbol[one]
+        wide = np.flatnonzero(~one)
+        b[wide] = start[wide] + self.matrix.rank(symbol[wide], high[wide])
+        return a, b
 
     def matching_statistics(self, query: np.ndarray, ends: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Length of the longest match, up to ``limit``, that ends at each position, and its suffix range.
@@ -101,7 +112,10 @@ class FMIndex:
             live, symbol = live[symbol > 0], symbol[symbol > 0]
             if not len(live):
                 break
-            a, b = self.extend(symbol, low[live], high[live])
+            if k == 0:
+                a, b = self.first[symbol], self.first[symbol + 1]
+            else:
+                a, b = self.extend(symbol, low[live], high[live])
             on = a < b
             live = live[on]
             low[live], high[live] = a[on], b[on]

@@ -62,16 +62,31 @@ class Batch:
             out = out * np.uint64(0xD6E8FEB86659FD93) + self.hashes[k : k + n]
         return ex.mix(out)
 
-    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
-        """Starts of all windows, and each one's anchor."""
+    def runs(self) -> "Runs":
+        """Maximal runs of windows of one row that share their anchor."""
         n = max(0, len(self.hashes) - self.window + 1)
         at = np.flatnonzero(self.row[:n] == self.row[self.window - 1 : self.window - 1 + n])
+        if not len(at):
+            return Runs(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
         least, reach, wanted = self.grams(self.anchor), 1, self.window - self.anchor + 1
         while reach < wanted:
             step = min(reach, wanted - reach)
             least = np.minimum(least[: len(least) - step], least[step:])
             reach += step
-        return at, least[at] if len(at) else np.zeros(0, np.uint64)
+        least = least[at]
+        new = np.ones(len(at), bool)
+        new[1:] = (at[1:] != at[:-1] + 1) | (least[1:] != least[:-1])
+        head = np.flatnonzero(new)
+        return Runs(at[head], np.diff(np.append(head, len(at))), least[head])
+
+
+@dataclass
+class Runs:
+    """First window of each run, number of windows, anchor."""
+
+    start: np.ndarray
+    windows: np.ndarray
+    anchor: np.ndarray
 
 
 _ASK = pa.schema([("shard", pa.int32()), ("batch", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
@@ -81,10 +96,11 @@ _FOUND = pa.schema([("batch", pa.int32()), ("shard", pa.int32()), ("least", pa.b
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 
 
-def _holders(batch: Batch, anchors: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _holders(batch: Batch, runs: Runs) -> tuple[np.ndarray, np.ndarray]:
     """Distinct anchors and the number of rows of the batch that hold each."""
-    order = np.lexsort((batch.row[at], anchors))
-    a, r = anchors[order], batch.row[at][order]
+    row = batch.row[runs.start]
+    order = np.argsort(runs.anchor, kind="stable")  # rows stay ascending within an anchor
+    a, r = runs.anchor[order], row[order]
     new = np.ones(len(a), bool)
     new[1:] = (a[1:] != a[:-1]) | (r[1:] != r[:-1])
     return ex.distinct_sums(a[new], np.ones(int(new.sum()), np.int64))
@@ -102,29 +118,30 @@ class Segments:
     answer: np.ndarray
 
     @classmethod
-    def cut(cls, batch: Batch, counts: np.ndarray, keys: np.ndarray, shards: int, hot: int) -> Segments:
-        at, anchors = batch.anchors()
-        held = counts[np.searchsorted(keys, anchors)] if len(at) else np.zeros(0, np.int64)
+    def cut(cls, batch: Batch, runs: Runs, counts: np.ndarray, keys: np.ndarray, shards: int, hot: int) -> "Segments":
+        held = counts[np.searchsorted(keys, runs.anchor)] if len(keys) else np.zeros(0, np.int64)
         live = held > 1
-        at, anchors, held = at[live], anchors[live], held[live]
-        if not len(at):
+        first, windows, anchor, alone = runs.start[live], runs.windows[live], runs.anchor[live], held[live] > hot
+        if not len(first):
             none = np.zeros(0, np.int64)
             return cls(none, none, none, none, none, none)
-        whole = batch.grams(batch.window)
-        alone = held > hot
-        target = np.where(alone, whole[at], ex.mix(anchors))
-        new = np.ones(len(at), bool)
-        new[1:] = (at[1:] != at[:-1] + 1) | (target[1:] != target[:-1]) | alone[1:] | alone[:-1] | (batch.row[at[1:]] != batch.row[at[:-1]])
-        head = np.flatnonzero(new)
-        windows = np.diff(np.append(head, len(at)))
-        start = at[head]
+        # windows of hot anchors are segments of their own
+        pieces = np.where(alone, windows, 1)
+        start = np.repeat(first, pieces) + (np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+        alone, anchor = np.repeat(alone, pieces), np.repeat(anchor, pieces)
+        windows = np.where(alone, 1, np.repeat(windows, pieces))
+        head = np.cumsum(windows) - windows
+        place = np.arange(int(windows.sum())) - np.repeat(head, windows)
+        at = np.repeat(start, windows) + place
+        whole = np.zeros(len(at), np.uint64)
+        for k in range(batch.window):
+            whole = whole * np.uint64(0xD6E8FEB86659FD93) + batch.hashes[at + k]
+        whole = ex.mix(whole)
+        target = np.where(alone, whole[head], ex.mix(anchor))
         # segments of equal words: a hash over the window hashes in order
-        content = np.zeros(len(head), np.uint64)
-        place = np.arange(len(at)) - np.repeat(head, windows)
-        with np.errstate(over="ignore"):
-            content = np.add.reduceat(ex.mix(whole[at] + place.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)), head)
+        content = np.add.reduceat(ex.mix(whole + place.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)), head)
         content = ex.mix(content + windows.astype(np.uint64))
-        shard = ex.shard_of(target[head], shards)
+        shard = ex.shard_of(target, shards)
         order = np.lexsort((batch.doc_id[batch.row[start]], content, shard))
         first = np.ones(len(order), bool)
         first[1:] = (content[order][1:] != content[order][:-1]) | (shard[order][1:] != shard[order][:-1])
@@ -199,8 +216,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot: int
 
     def ask(table: pa.Table) -> pa.Table:
         batch = Batch.read(table, window, anchor)
-        at, anchors = batch.anchors()
-        keys, counts = _holders(batch, anchors, at)
+        keys, counts = _holders(batch, batch.runs())
         cut = ex.cuts(keys, shards)
         b = table.column("batch")[0].as_py()
         out = [(s, b, ex.pack_keys(keys[cut[s] : cut[s + 1]]), ex.pack_counts(counts[cut[s] : cut[s + 1]])) for s in range(shards)]
@@ -211,18 +227,18 @@ def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot: int
         _, sums, where = ex.combine((ex.unpack_keys(k), ex.unpack_counts(c)) for k, c in zip(asked["keys"], asked["counts"]))
         return pa.table([pa.array(asked["batch"], pa.int32()), pa.array(asked["shard"], pa.int32()), pa.array([ex.pack_counts(np.minimum(sums[w], hot + 1)) for w in where], pa.binary())], schema=_TELL)
 
-    def cut_segments(table: pa.Table, answers: pa.Table) -> tuple[Batch, Segments, bytes]:
+    def cut_segments(table: pa.Table, answers: pa.Table) -> tuple[Batch, Segments]:
         """The batch and its segments, from the answers that are told per shard."""
         batch = Batch.read(table, window, anchor)
         told = answers.sort_by("shard").column("counts").to_pylist()
         counts = np.concatenate([ex.unpack_counts(c) for c in told])
-        keys = np.unique(batch.anchors()[1])
-        return batch, Segments.cut(batch, counts, keys, shards, hot), b""
+        runs = batch.runs()
+        return batch, Segments.cut(batch, runs, counts, ex.distinct(runs.anchor), shards, hot)
 
     def deal(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return _SEGMENTS.empty_table()
-        batch, seg, _ = cut_segments(left, right)
+        batch, seg = cut_segments(left, right)
         cut = np.searchsorted(seg.shard, np.arange(shards + 1))
         b, out = left.column("batch")[0].as_py(), []
         for s in range(shards):
@@ -241,7 +257,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot: int
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return _OUT.empty_table()
-        batch, seg, _ = cut_segments(left, right.filter(pc.is_valid(right.column("counts"))))
+        batch, seg = cut_segments(left, right.filter(pc.is_valid(right.column("counts"))))
         blobs = right.filter(pc.is_valid(right.column("least"))).sort_by("shard").column("least").to_pylist()
         least = np.concatenate([np.frombuffer(b, np.int64) for b in blobs] or [np.zeros(0, np.int64)])
         n = len(batch.hashes)
