@@ -17,7 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import settle
 from .common import byte_batches, held_out, labelled_sample
+from .exchange import distinct
 
 #: Labelled rows that a fit looks at: half of each class, by hash order.
 FIT_ROWS = 6_000
@@ -66,7 +68,7 @@ def word_features(texts: list[bytes]) -> Words:
     last_at = np.searchsorted(core, end) - 1
     last = np.where(last_at >= 0, core[np.maximum(last_at, 0)], -1)
     stop = np.where(last >= first, last + 1, first)
-    low = _LOWER[raw].astype(np.uint64)
+    low = _LOWER[raw]
     length = stop - first
     slots = np.empty((KINDS, len(start)), np.int32)
     head = np.zeros(len(start), np.uint64)
@@ -81,7 +83,7 @@ def word_features(texts: list[bytes]) -> Words:
     capital = (raw[first] >= 65) & (raw[first] <= 90) & (length > 0)
     shape = capital.astype(np.uint64) + np.uint64(2) * (stop < end).astype(np.uint64)
     for k in range(8):
-        head = head * np.uint64(257) + np.where(k < length, low[first + k], 0)
+        head = head * np.uint64(257) + np.where(k < length, low[first + k], 0).astype(np.uint64)
         if k + 1 in PREFIXES:
             kind = 2 + PREFIXES.index(k + 1)
             slots[kind] = slot(head, kind)
@@ -91,13 +93,33 @@ def word_features(texts: list[bytes]) -> Words:
             slots[kind] = slot(head * np.uint64(8) + shape * np.uint64(2) + longer, kind)
     tail = np.zeros(len(start), np.uint64)
     for k in range(8):
-        tail = tail * np.uint64(257) + np.where(k < length, low[np.maximum(stop - 1 - k, 0)], 0)
+        tail = tail * np.uint64(257) + np.where(k < length, low[np.maximum(stop - 1 - k, 0)], 0).astype(np.uint64)
         if k == 4:
             slots[1] = slot(tail, 1)
     slots[0] = slot(head * salt + tail + length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93), 0)
     return Words(start, end, text, slots)
 
 
+def in_parts(texts: list[bytes], limit: int = 2 << 20) -> Iterator[tuple[int, list[bytes]]]:
+    """Consecutive texts of about ``limit`` bytes together, with the number of the first."""
+    first = size = 0
+    for i, text in enumerate(texts):
+        if size and size + len(text) > limit:
+            yield first, texts[first:i]
+            first, size = i, 0
+        size += len(text)
+    if first < len(texts):
+        yield first, texts[first:]
+
+
+def all_features(texts: list[bytes]) -> Words:
+    """word_features() of many texts, part by part so that only its results are held; byte bounds are left out."""
+    parts = [(first, word_features(part)) for first, part in in_parts(texts)]
+    none = np.zeros(0, np.int64)
+    text = np.concatenate([w.text + first for first, w in parts] or [none])
+    return Words(none, none, text.astype(np.int32), np.concatenate([w.slots for _, w in parts] or [np.zeros((KINDS, 0), np.int32)], axis=1))
+
+
 def marginals(gain: np.ndarray, lengths: np.ndarray, trans: np.ndarray, initial: float) -> np.ndarray:
     """P(state 1) of every word by forward-backward over chains laid end to end.
 
@@ -226,7 +248,7 @@ def weak_labels(words: Words, y: np.ndarray, ratio: float = 6.0, evidence: float
     base = toxic_texts / (toxic_texts + clean_texts)
     marked = np.zeros(words.slots.shape[1], bool)
     for kind in range(KINDS):
-        key = np.unique(words.text.astype(np.int64) * SLOTS + words.slots[kind])
+        key = distinct(words.text.astype(np.int64) * SLOTS + words.slots[kind])
         toxic_key = y[key // SLOTS] == 1
         t = np.bincount(key[toxic_key] % SLOTS, minlength=SLOTS)
         c = np.bincount(key[~toxic_key] % SLOTS, minlength=SLOTS)
@@ -247,7 +269,7 @@ def fit_texts(texts: list[bytes], y: np.ndarray, prior: float | None = None, epo
     zero = np.zeros(SLOTS, np.float32)
     if not len(texts) or y.min() == y.max():
         return ToxicityModel(zero, 0.0, np.zeros((2, 2)), 0.0, constant=float(y.mean()) if len(y) else 0.0)
-    words = word_features(texts)
+    words = all_features(texts)
     z = weak_labels(words, y)
     n = len(z)
     if n == 0:
@@ -292,9 +314,8 @@ def fit_texts(texts: list[bytes], y: np.ndarray, prior: float | None = None, epo
             bias -= 0.05 * float(error.mean()) * min(1.0, 20 * share)
         rate *= 0.9
     model = ToxicityModel(weights.astype(np.float32), bias, trans, initial)
-    lengths = np.bincount(words.text, minlength=len(texts))
-    p = marginals(model.gains(words), lengths[lengths > 0], trans, initial)
-    x = summary(p, words, len(texts))
+    del words
+    x = np.concatenate([summary(p, found, len(part)) for part, found, p in ((part, *_tagged(part, model)) for _, part in in_parts(texts))])
     w = np.zeros(x.shape[1])
     for _ in range(50):  # logistic regression of the document label on the summary
         q = 1 / (1 + np.exp(-np.clip(x @ w, -60, 60)))
@@ -313,7 +334,7 @@ def fit_texts(texts: list[bytes], y: np.ndarray, prior: float | None = None, epo
 def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS, max_bytes: int = FIT_BYTES) -> ToxicityModel:
     """Fit on at most ``limit`` labelled rows and ``max_bytes`` of their texts."""
     sample = labelled_sample(docs, labels, "toxic", limit)
-    sized = sample.withColumn("order", F.xxhash64(F.lit(7), "doc_id"))
+    sized = settle(sample.withColumn("order", F.xxhash64(F.lit(7), "doc_id")))  # ``limit`` rows
     taken, texts, y = 0, [], []
     rows = sized.select("doc_id", "order", "y", F.octet_length("text").alias("bytes")).collect()  # ``limit`` rows of numbers
     wanted = []
@@ -330,11 +351,15 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS, max_bytes: in
     return fit_texts(texts, np.array(y, float), known.agg(F.avg(F.col("toxic").cast("double"))).first()[0])
 
 
-def tag(texts: list[bytes], model: ToxicityModel) -> tuple[np.ndarray, Words, np.ndarray]:
-    """Document scores, words and word marginals of whole texts."""
+def _tagged(texts: list[bytes], model: ToxicityModel) -> tuple[Words, np.ndarray]:
     words = word_features(texts)
     lengths = np.bincount(words.text, minlength=len(texts)) if len(texts) else np.zeros(0, int)
-    p = marginals(model.gains(words), lengths[lengths > 0], model.trans, model.initial)
+    return words, marginals(model.gains(words), lengths[lengths > 0], model.trans, model.initial)
+
+
+def tag(texts: list[bytes], model: ToxicityModel) -> tuple[np.ndarray, Words, np.ndarray]:
+    """Document scores, words and word marginals of whole texts."""
+    words, p = _tagged(texts, model)
     return model.document_scores(p, words, len(texts)), words, p
 
 
