@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_batches
+from .common import byte_batches, first_by_hash
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -290,7 +290,7 @@ def fit(docs: DataFrame, limit: int = FIT_DOCS) -> Tagger:
     some = docs.select("doc_id", "text").where(F.col("text").rlike("[0-9@]"))
     # only windows around the first anchors are learned from, so the driver needs just their surroundings
     near = F.concat_ws("\n", F.slice(F.regexp_extract_all("text", F.lit(r"(?s).{0,80}[0-9@].{0,80}"), F.lit(0)), 1, 4))
-    rows = some.select("doc_id", near.alias("text")).orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id", "text").limit(limit).collect()
+    rows = first_by_hash(some, limit, SEED, "doc_id", "text").select(near.alias("text")).collect()
     return fit_windows(*training_windows([r["text"] for r in rows]))
 
 
