@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import corpus, enrichment, entities, network, series
+from .base import QUERIES, SQL
 
-from pyspark.sql import DataFrame, SparkSession
+__all__ = ["FLAGSHIP", "QUERIES", "SQL", "corpus", "enrichment", "entities", "network", "series"]
 
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
 FLAGSHIP = "story_map"
