@@ -120,5 +120,12 @@ def combine(parts: Iterable[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray,
     parts = list(parts)
     keys = np.concatenate([k for k, _ in parts] or [np.zeros(0, np.uint64)])
     counts = np.concatenate([c for _, c in parts] or [np.zeros(0, np.int64)])
-    distinct, sums = distinct_sums(keys, counts)
-    return distinct, sums, [np.searchsorted(distinct, k) for k, _ in parts]
+    if not len(keys):
+        return keys, counts, [np.zeros(0, np.int64) for _ in parts]
+    order = np.argsort(keys)
+    ranked = keys[order]
+    first = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+    where = np.empty(len(keys), np.int64)
+    where[order] = np.cumsum(first) - 1
+    ends = np.cumsum([len(k) for k, _ in parts])[:-1]
+    return ranked[first], np.add.reduceat(counts[order], np.flatnonzero(first)), np.split(where, ends)

@@ -35,7 +35,8 @@ _END_KEY = np.uint64(xxhash.xxh3_64_intdigest(END))
 class Automaton:
     """Arcs out of word states, failure arcs and root arcs of a set of numbered words.
 
-    ``pairs`` holds first * size + second, sorted. A start state is the number ``size``.
+    ``pairs`` holds first * size + second, sorted; ``arcs`` is NaN for pairs without an arc. The
+    state at a text's start is the number ``size``.
     """
 
     size: int
@@ -55,29 +56,24 @@ class Automaton:
         root = (count + 1) / (total + 1 * (distinct + 1))
         context = np.append(count, starts).astype(float)
         trust = TRUST * context / (context + HALF)
-        seen = pair_count > 0
-        pairs, pair_count = pairs[seen], pair_count[seen]
         first, second = pairs // size, pairs % size
-        p = trust[first] * pair_count / context[first] + (1 - trust[first]) * root[second]
-        return cls(size, pairs, np.log10(p), np.log10(1 - trust), np.log10(root))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            p = trust[first] * pair_count / context[first] + (1 - trust[first]) * root[second]
+        arcs = np.where(pair_count > 0, np.log10(p), np.nan)
+        return cls(size, pairs, arcs, np.log10(1 - trust), np.log10(root))
 
     def step(self, state: int, word: int) -> tuple[int, float]:
         """The next state and the weight of getting there."""
         key = state * self.size + word
         at = int(np.searchsorted(self.pairs, key))
-        if at < len(self.pairs) and self.pairs[at] == key:
+        if at < len(self.pairs) and self.pairs[at] == key and not np.isnan(self.arcs[at]):
             return word, float(self.arcs[at])
         return word, float(self.failure[state] + self.root[word])
 
-    def walk(self, words: np.ndarray, state: np.ndarray) -> np.ndarray:
-        """Weights of all steps of a traversal whose state before each word is given."""
-        out = self.failure[state] + self.root[words]
-        if len(self.pairs):
-            key = state.astype(np.int64) * self.size + words
-            at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-            hit = self.pairs[at] == key
-            out[hit] = self.arcs[at[hit]]
-        return out
+    def walk(self, words: np.ndarray, state: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        """Weights of all steps of a traversal: each word, the state before it and the number of their pair."""
+        arc = self.arcs[pair]
+        return np.where(np.isnan(arc), self.failure[state] + self.root[words], arc)
 
 
 @dataclass
@@ -112,19 +108,27 @@ class Batch:
     def unigrams(self) -> tuple[np.ndarray, np.ndarray]:
         return self.hashes, np.bincount(self.words[self.trained], minlength=len(self.hashes))
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct pairs as numbers, their keys and training counts."""
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct pairs as sorted numbers, their keys and training counts, and which pair each step is."""
         size = len(self.hashes)
-        number, count = ex.distinct_sums(self.state * size + self.words, self.trained.astype(np.int64))
+        number = self.state * size + self.words
+        order = np.argsort(number)
+        ranked = number[order]
+        new = np.ones(len(ranked), bool)
+        new[1:] = ranked[1:] != ranked[:-1]
+        pair = np.empty(len(ranked), np.int64)
+        pair[order] = np.cumsum(new) - 1
+        distinct = ranked[new]
+        count = np.bincount(pair[self.trained], minlength=len(distinct))
         hashes = np.append(self.hashes, np.uint64(xxhash.xxh3_64_intdigest(START)))
-        keys = ex.mix(hashes[number // size] * np.uint64(0xD6E8FEB86659FD93) + self.hashes[number % size])
-        return number, keys, count
+        keys = ex.mix(hashes[distinct // size] * np.uint64(0xD6E8FEB86659FD93) + self.hashes[distinct % size])
+        return distinct, keys, count, pair
 
 
 def _ask(batch: int, texts: list, held: np.ndarray, shards: int) -> dict[str, list]:
     read = Batch.read(texts, held)
     uni, uni_count = read.unigrams()
-    _, bi, bi_count = read.pairs()
+    _, bi, bi_count, _ = read.pairs()
     rows: dict[str, list] = {k: [] for k in ("shard", "batch", "uni", "uni_count", "bi", "bi_count")}
     packed = []
     for keys, count in ((uni, uni_count), (bi, bi_count)):
@@ -173,14 +177,20 @@ def _score(texts: list, doc_ids: pa.Array, held: np.ndarray, answers: pa.Table)
     size = len(read.hashes)
 
     def counts(keys: np.ndarray, blobs: list[bytes]) -> np.ndarray:
+        """The answers, which are in the order of distinct keys, in the order of ``keys``."""
         every = np.concatenate([ex.unpack_counts(b) for b in blobs])
-        sorted_keys = np.unique(keys)
-        return every[np.searchsorted(sorted_keys, keys)]
+        order = np.argsort(keys)
+        ranked = keys[order]
+        new = np.ones(len(ranked), bool)
+        new[1:] = ranked[1:] != ranked[:-1]
+        out = np.empty(len(keys), np.int64)
+        out[order] = every[np.cumsum(new) - 1]
+        return out
 
     count = counts(read.hashes, told["uni_count"])
-    number, keys, _ = read.pairs()
+    number, keys, _, pair = read.pairs()
     automaton = Automaton.build(count, number, counts(keys, told["bi_count"]), starts, total, distinct)
-    weights = automaton.walk(read.words, read.state)
+    weights = automaton.walk(read.words, read.state, pair)
     base = automaton.root[read.words]
     known = (count > 0)[read.words].astype(np.int64)
     sums = [np.add.reduceat(x, read.start) if len(x) else x for x in (known, base, weights)]

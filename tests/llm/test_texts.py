@@ -150,8 +150,8 @@ def test_lm_probabilities_sum_to_one():
     for state in range(4):
         seen = sum(10 ** a.step(state, w)[1] for w in range(3))
         assert seen + 10 ** a.failure[state] * unseen == pytest.approx(1.0)
-    words, states = np.array([0, 1, 2, 0]), np.array([3, 0, 1, 2])
-    assert a.walk(words, states) == pytest.approx([a.step(s, w)[1] for s, w in zip(states, words)])
+    words, states = np.array([0, 1, 2, 1]), np.array([3, 0, 1, 2])
+    assert a.walk(words, states, np.searchsorted(a.pairs, states * 3 + words)) == pytest.approx([a.step(s, w)[1] for s, w in zip(states, words)])
 
 
 def test_lm_beats_unigrams_on_held_out_texts(spark, sf01):
@@ -259,10 +259,18 @@ def tagger(spark, sf01):
 
 def test_base_spans():
     texts = ["a@b.c x@y", "é mail: jo.e+x@mail1.example.com.", "1.2.3.4 300.1.2.3 1.2.3.4.5 0001.2.3.4", "4111 1111 1111 1111, 4111111111111112", "+1 (499) 555-6503 +12 +1 234", "4111-1111-1111-1111-1111", "", "١٢٣.1.1.1"]
+    rng = random.Random(0)
+    texts += ["".join(rng.choice("ab1.9@+ -_") for _ in range(40)) for _ in range(3000)]
+    texts += ["".join(rng.choice("12.") for _ in range(40)) for _ in range(1000)]
     for t in texts:
         assert [(pii.KINDS[k], a, b) for k, a, b in pii.base_spans(t)] == brute_base(t)
 
 
+def test_base_spans_are_linear():
+    for t in ("x" * 300_000 + " a@b.c", "7" * 300_000 + " a@b", "+1" * 100_000, "1." * 100_000, "a@" * 100_000):
+        pii.base_spans(t)
+
+
 def test_pii_query(spark, sf01, tagger):
     docs = table(spark, sf01, "documents")
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
