@@ -26,6 +26,9 @@ EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+_DIGITS = re.compile(r"[0-9]++")
 _ANCHOR = re.compile(r"[0-9@]")
 
 WINDOW, STRIDE = 64, 32
@@ -66,14 +69,35 @@ def _valid(kind: str, s: str) -> bool:
     return True
 
 
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """Matches of EMAIL, found from their at signs: linear in the text, whatever runs of letters it has."""
+    done, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > done and text[start - 1] in _LOCAL:
+            start -= 1
+        domain = _DOMAIN.match(text, at + 1) if start < at else None
+        if domain:
+            done = domain.end()
+            yield start, done
+        at = text.find("@", max(at + 1, done))
+
+
+def _ips(text: str) -> Iterator[tuple[int, int]]:
+    """Matches of IP, tried once for each run of digits with a dot after it."""
+    done = 0
+    for run in _DIGITS.finditer(text):
+        if run.start() >= done and text.startswith(".", run.end()) and (m := IP.match(text, run.start())):
+            done = m.end()
+            yield m.span()
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind number, start, end) of the base patterns, by kind and start; failing matches are dropped."""
-    out: list[tuple[int, int, int]] = []
-    if "@" in text:
-        out += [(0, *m.span()) for m in EMAIL.finditer(text)]
+    out: list[tuple[int, int, int]] = [(0, *s) for s in _emails(text)]
     if _ANCHOR.search(text):
-        for k, pattern in ((1, IP), (2, CARD)):
-            out += [(k, *m.span()) for m in pattern.finditer(text) if _valid(KINDS[k], m[0])]
+        out += [(1, a, b) for a, b in _ips(text) if _valid("ip", text[a:b])]
+        out += [(2, *m.span()) for m in CARD.finditer(text) if _valid("card", m[0])]
         if "+" in text:
             out += [(3, *m.span()) for m in PHONE.finditer(text) if _valid("phone", m[0])]
     return out
