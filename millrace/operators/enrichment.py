@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import numbered
+
 # The enumerations and limits of the output contract.
 TOPICS = (
     "политика",
@@ -157,8 +159,9 @@ def flags(figures: DataFrame) -> DataFrame:
 
 
 def shard_ids(docs: DataFrame, order: list[str], size: int = 5000) -> DataFrame:
-    """Adds shard_id: blocks of ``size`` rows in a total order; the order is global, so one sorted pass numbers it."""
-    return docs.withColumn("shard_id", F.floor((F.row_number().over(Window.orderBy(*order)) - 1) / size).cast("long"))
+    """Adds shard_id: blocks of ``size`` rows in a total order."""
+    placed = numbered(docs, [F.col(c) for c in order], "shard_id")
+    return placed.withColumn("shard_id", F.floor(F.col("shard_id") / size).cast("long"))
 
 
 def todo(docs: DataFrame, done: DataFrame, key: str = "article_id") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..session import settle
+from .order import numbered
 
 SENTIMENTS = ("pos", "neu", "neg", "unknown")
 ROLES = ("actor", "object", "mentioned")
@@ -73,8 +74,7 @@ def alias_dictionary(forms: DataFrame, mentions: DataFrame) -> DataFrame:
     counts = mentions.groupBy("alias_key").agg(F.count_distinct("story_id").alias("n_stories"), F.count("*").alias("n_mentions"))
     out = counts.join(alias_types(forms), "alias_key").join(variants(forms, "alias_key"), "alias_key").join(normalization_mode(mentions, "alias_key"), "alias_key", "left")
     out = out.withColumn("active", (F.col("n_stories") > 1) & ~X.is_junk_alias(F.col("alias_key")))
-    number = F.row_number().over(Window.orderBy(F.desc("n_stories"), F.desc("n_mentions"), "alias_key")) - 1  # a dictionary, not mentions
-    return out.withColumn("form_id", number.cast("long"))
+    return numbered(out, [F.desc("n_stories"), F.desc("n_mentions"), F.asc("alias_key")], "form_id")
 
 
 def vote_pairs(active: DataFrame, max_group: int = 20, clean=None) -> DataFrame:

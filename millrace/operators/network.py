@@ -43,8 +43,9 @@ def both_ways(edges: DataFrame, weight: str = "pmi") -> DataFrame:
 def degrees(edges: DataFrame) -> DataFrame:
     """(node, degree, degree_centrality, strength)."""
     per = both_ways(edges).groupBy("node").agg(F.count("*").alias("degree"), F.sum("w").alias("strength"))
-    others = (F.count("*").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) - 1).cast("double")
-    return per.select("node", "degree", (F.col("degree").cast("double") / F.nullif(others, F.lit(0.0))).alias("degree_centrality"), "strength")
+    others = per.agg((F.count("*") - 1).cast("double").alias("others"))
+    centrality = F.col("degree").cast("double") / F.nullif(F.col("others"), F.lit(0.0))
+    return per.crossJoin(F.broadcast(others)).select("node", "degree", centrality.alias("degree_centrality"), "strength")  # one row
 
 
 def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 50, checkpoint_every: int = 5) -> DataFrame:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..session import settle
 from .graph import connected_components
+from .order import numbered
 
 #: Which level's attributes a pair has in the graph if it was found by several.
 PRECEDENCE = {"exact": 0, "minhash": 1, "semantic": 2}
@@ -59,11 +61,11 @@ def story_map(articles: DataFrame, components: DataFrame, canonical: str = "earl
     joined = articles.join(components.select(F.col("node").alias("row"), "component"), "row", "left").withColumn("component", F.coalesce("component", "row"))
     own = Window.partitionBy("component")
     firsts = joined.groupBy("component").agg(F.min(F.struct("dt", "row")).alias("f"), F.count("*").alias("story_size"))
-    number = F.row_number().over(Window.orderBy("f")) - 1  # one row per story
-    numbered = firsts.select("component", "story_size", F.concat(F.lit("s_"), F.lpad(number.cast("string"), 6, "0")).alias("story_id"))
+    placed = numbered(firsts, [F.col("f")], "number")
+    named = placed.select("component", "story_size", X.numbered("s", F.col("number"), 6).alias("story_id"))
     keys = {"earliest": [F.asc("dt"), F.desc("text_len"), F.asc("row")], "longest": [F.desc("text_len"), F.asc("dt"), F.asc("row")]}[canonical]
     best = F.row_number().over(own.orderBy(*keys)) == 1
-    return joined.withColumn("is_canonical", best).join(numbered, "component").select("row", "source", "dt", "story_id", "story_size", "is_canonical")
+    return joined.withColumn("is_canonical", best).join(named, "component").select("row", "source", "dt", "story_id", "story_size", "is_canonical")
 
 
 def size_distribution(stories: DataFrame) -> DataFrame:
