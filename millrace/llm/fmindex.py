@@ -95,11 +95,12 @@ class FMIndex:
         b[wide] = start[wide] + self.matrix.rank(symbol[wide], high[wide])
         return a, b
 
-    def matching_statistics(self, query: np.ndarray, ends: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def matching_statistics(self, query: np.ndarray, ends: np.ndarray, limit: int, part_of_text: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Length of the longest match, up to ``limit``, that ends at each position, and its suffix range.
 
         Backward search of all positions together; positions whose range runs empty, or that
-        reach a 0 or the query's start, drop out.
+        reach a 0 or the query's start, drop out. If the query is ``part_of_text``, positions whose
+        range is down to one suffix stop there: that suffix is the query's own.
         """
         limit = min(limit, self.depth)
         length = np.zeros(len(ends), np.int64)
@@ -120,4 +121,6 @@ class FMIndex:
             live = live[on]
             low[live], high[live] = a[on], b[on]
             length[live] += 1
+            if part_of_text:
+                live = live[high[live] - low[live] > 1]
         return length, low, high

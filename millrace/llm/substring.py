@@ -189,13 +189,16 @@ def search_segments(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], wind
     # stream every distinct segment: windows end at each of its words from the window-th on
     n = windows[pick]
     ends = np.repeat(begin + window - 1 - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    found, low, high = index.matching_statistics(text, ends, window)
-    assert (found >= window).all()
-    owner = np.repeat(least[pick], own)[index.suffixes]
-    bounds, at = np.unique(low, return_index=True)
-    edges = np.stack([bounds, high[at]], 1).ravel()
-    minima = np.minimum.reduceat(np.append(owner, NO_ID), edges)[::2]
-    answer = minima[np.searchsorted(bounds, low)]
+    found, low, high = index.matching_statistics(text, ends, window, part_of_text=True)
+    shared = np.flatnonzero(high - low > 1)
+    assert (found[shared] >= window).all()
+    # the least id over the interval of each window that several segments hold; else the segment's own
+    answer = np.repeat(least[pick], n)
+    owner = np.append(np.repeat(least[pick], own)[index.suffixes], NO_ID)
+    bounds, at = np.unique(low[shared], return_index=True)
+    if len(bounds):
+        minima = np.minimum.reduceat(owner, np.stack([bounds, high[shared][at]], 1).ravel())[::2]
+        answer[shared] = minima[np.searchsorted(bounds, low[shared])]
     mine = np.cumsum(n) - n
     every = answer[np.repeat(mine[group] - result_start, windows) + np.arange(int(windows.sum()))]
     cut = np.cumsum([0, *[int((p[0] - window + 1).sum()) for p in parts]])
