@@ -39,20 +39,20 @@ def parquet_shards(spark: SparkSession, folder: str, columns: list[str] | None =
 
 def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, at, value): lines with their place in their file, which is read as one split each."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
     return whole.select("file", F.posexplode(F.split("value", "\n")).alias("at", "value")).where("value <> ''")
 
 
 def journal(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines of a journal up to the first torn line of each file, as an interrupted writer leaves it."""
     lines = _numbered_lines(spark, path).withColumn("r", F.from_json("value", schema, {"mode": "PERMISSIVE"}))
-    torn = F.min(F.when(F.try_parse_json("value").isNull(), F.col("at"))).over(Window.partitionBy("file"))
+    torn = F.min(F.when(F.get_json_object("value", "$").isNull(), F.col("at"))).over(Window.partitionBy("file"))
     return lines.withColumn("torn", torn).where("torn IS NULL OR at < torn").select("r.*")
 
 
 def cache(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
     """JSON lines of a keyed cache: bad lines are skipped, the last line of a key counts."""
-    lines = _numbered_lines(spark, path).where(F.try_parse_json("value").isNotNull()).withColumn("r", F.from_json("value", schema))
+    lines = _numbered_lines(spark, path).where(F.get_json_object("value", "$").isNotNull()).withColumn("r", F.from_json("value", schema))
     last = F.row_number().over(Window.partitionBy(F.col(f"r.{key}")).orderBy(F.desc("file"), F.desc("at")))
     return lines.withColumn("n", last).where("n = 1").select("r.*")
 

@@ -17,7 +17,7 @@ DATA = "/root/testdata"
 def spark():
     from millrace.session import local_session
 
-    session = local_session("tests", cores="4", shuffle=4)
+    session = local_session("tests", shuffle=4)
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

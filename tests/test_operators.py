@@ -117,8 +117,9 @@ def test_components_and_chain_split(spark):
     for _ in range(40):
         for a, b in edges:
             label[a] = label[b] = min(label[a], label[b])
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
-    assert got == label
+    table = spark.createDataFrame(edges, "src long, dst long")
+    for small in (0, 1000):
+        assert {r.node: r.component for r in connected_components(table, small=small).collect()} == label
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
     chain = spark.createDataFrame([(i, i + 1, "semantic", 0.905) for i in range(60)], "a long, b long, level string, score double")
     assert T.split_stories(chain).select("component").distinct().count() == 61
