@@ -22,7 +22,7 @@ def _edges_sql(by: str = "", stories: int = MIN_STORIES, pair: int = MIN_PAIR, p
     return f"""pairs AS (SELECT DISTINCT {k}story_id, entity_id FROM se), cnt AS (SELECT {k}entity_id, count(*) AS n FROM pairs GROUP BY ALL HAVING count(*) >= {stories}),
 freq AS (SELECT p.*, c.n FROM pairs p JOIN cnt c USING ({k}entity_id)), tot AS (SELECT {k}count(DISTINCT story_id) AS total FROM freq {"GROUP BY " + by if by else ""}),
 co AS (SELECT {"x." + by + ", " if by else ""}x.entity_id AS a, y.entity_id AS b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS n_stories FROM freq x JOIN freq y ON x.story_id = y.story_id{on} AND x.entity_id < y.entity_id GROUP BY ALL HAVING count(*) >= {pair}),
-edges AS (SELECT * FROM (SELECT {k}a, b, n_stories, round(log2(n_stories::DOUBLE * total / (na::DOUBLE * nb::DOUBLE)), 3) AS pmi FROM co JOIN tot {using}) WHERE pmi >= {pmi})"""
+edges AS (SELECT * FROM (SELECT {k}a, b, n_stories, round(log2(n_stories::DOUBLE * total / (na::DOUBLE * nb::DOUBLE)), 3) + 0.0::DOUBLE AS pmi FROM co JOIN tot {using}) WHERE pmi >= {pmi})"""
 
 
 EDGES = f"{SE}, {_edges_sql()}"

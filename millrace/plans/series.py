@@ -81,7 +81,7 @@ rolled AS (
   SELECT *, CASE WHEN count(*) OVER w = 7 THEN avg(share) OVER w END AS m, CASE WHEN count(*) OVER w = 7 THEN stddev_samp(share) OVER w END AS s
   FROM dense WINDOW w AS (PARTITION BY kind, key ORDER BY date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)
 ), scored AS (
-  SELECT kind, key, date, stories, day_total, share, round((share - m) / greatest(s, f), 2) AS z FROM rolled, floor_
+  SELECT kind, key, date, stories, day_total, share, round((share - m) / greatest(s, f), 2) + 0.0::DOUBLE AS z FROM rolled, floor_
 ), flagged AS (SELECT *, coalesce(z >= 2.0 AND stories >= 5, false) AS z_outlier FROM scored)"""
 # forward: the two totals and where each state came from; backward: the state of each day
 STATES = f"""{ZSCORED}, base AS (
