@@ -24,7 +24,7 @@ from .exchange import distinct
 #: Labelled rows that a fit looks at: half of each class, by hash order.
 FIT_ROWS = 6_000
 #: Bytes of their text, in hash order, that a fit reads; later rows of the sample are left out.
-FIT_BYTES = 48 << 20
+FIT_BYTES = 32 << 20
 THRESHOLD = 0.3
 #: A word at this marginal or above is an offending span.
 SPAN_MARGINAL = 0.5
@@ -113,11 +113,17 @@ def in_parts(texts: list[bytes], limit: int = 2 << 20) -> Iterator[tuple[int, li
 
 
 def all_features(texts: list[bytes]) -> Words:
-    """word_features() of many texts, part by part so that only its results are held; byte bounds are left out."""
-    parts = [(first, word_features(part)) for first, part in in_parts(texts)]
+    """word_features() of many texts, written part by part into one array; byte bounds are left out."""
+    n = sum(len(t.split()) for t in texts)
+    text, slots = np.empty(n, np.int32), np.empty((KINDS, n), np.int32)
+    done = 0
+    for first, part in in_parts(texts):
+        found = word_features(part)
+        end = done + len(found.text)
+        text[done:end], slots[:, done:end] = found.text + first, found.slots
+        done = end
     none = np.zeros(0, np.int64)
-    text = np.concatenate([w.text + first for first, w in parts] or [none])
-    return Words(none, none, text.astype(np.int32), np.concatenate([w.slots for _, w in parts] or [np.zeros((KINDS, 0), np.int32)], axis=1))
+    return Words(none, none, text, slots)
 
 
 def marginals(gain: np.ndarray, lengths: np.ndarray, trans: np.ndarray, initial: float) -> np.ndarray:
