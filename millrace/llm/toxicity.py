@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from ..session import settle
 from .common import byte_batches, held_out, labelled_sample
@@ -265,6 +266,19 @@ def weak_labels(words: Words, y: np.ndarray, ratio: float = 6.0, evidence: float
     return (marked & (y[words.text] == 1)).astype(np.int8)
 
 
+def distinct_texts(texts: list[bytes], run: int = 5) -> np.ndarray:
+    """Numbers of texts without copies and near copies: the first of those whose word runs have one least hash.
+
+    A text that many rows repeat would make all its words look typical of its label.
+    """
+    least = {}
+    for i, text in enumerate(texts):
+        words = text.lower().split()
+        runs = [b" ".join(words[k : k + run]) for k in range(max(1, len(words) - run + 1))]
+        least.setdefault(min(map(xxh3_64_intdigest, runs)), i)
+    return np.array(sorted(least.values()), np.int64)
+
+
 def fit_texts(texts: list[bytes], y: np.ndarray, prior: float | None = None, epochs: int = 12, rate: float = 0.5, seed: int = 5) -> ToxicityModel:
     """Fit the field to texts with 0/1 labels.
 
@@ -273,6 +287,8 @@ def fit_texts(texts: list[bytes], y: np.ndarray, prior: float | None = None, epo
     label 1, 0 without rows.
     """
     zero = np.zeros(SLOTS, np.float32)
+    kept = distinct_texts(texts)
+    texts, y = [texts[i] for i in kept], y[kept]
     if not len(texts) or y.min() == y.max():
         return ToxicityModel(zero, 0.0, np.zeros((2, 2)), 0.0, constant=float(y.mean()) if len(y) else 0.0)
     words = all_features(texts)
