@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import settle
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -15,7 +16,9 @@ THRESHOLD = 0.8
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, digest, first, size) of documents that have words; ``first`` is the smallest id of equal texts."""
-    keyed = docs.select(id_col, X.text_digest(X.words(F.col("text"))).alias("digest")).where("digest IS NOT NULL")
+    # the comparison key is the words joined by spaces
+    digest = X.let(X.comparison_key(F.col("text")), lambda k: F.when(k != "", F.sha2(k, 256)))
+    keyed = settle(docs.select(id_col, digest.alias("digest"))).where("digest IS NOT NULL")
     groups = keyed.groupBy("digest").agg(F.min(id_col).alias("first"), F.count("*").alias("size"))
     return keyed.join(groups, "digest").select(id_col, "digest", "first", "size")
 
