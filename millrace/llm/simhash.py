@@ -50,16 +50,16 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return int.from_bytes(np.packbits(bits.sum(0, dtype=np.int64) * 2 > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp), fp a long with the fingerprint's bits, for each row; null texts count as empty."""
+def fingerprints(docs: DataFrame, *carried: str) -> DataFrame:
+    """(doc_id, fp) and the long columns ``carried``, fp a long with the fingerprint's bits, for each row; null texts count as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in byte_batches(batches, "text"):
             found = np.array([fingerprint(t or b"") for t in batch.column("text").to_pylist()], np.uint64)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.record_batch([batch.column("doc_id"), pa.array(found.view(np.int64)), *[batch.column(c) for c in carried]], names=["doc_id", "fp", *carried])
 
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return read.mapInArrow(run, "doc_id long, fp long")
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *carried)
+    return read.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *carried)))
 
 
 def quarter_counts(fp: np.ndarray) -> np.ndarray:
@@ -199,12 +199,19 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) ->
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``docs`` without near-duplicates: the row of the smallest doc_id of each component; same columns.
+    """``docs`` without near-duplicates: one row of each component, that of the smallest doc_id; same columns.
 
-    Rows that repeat that doc_id are reduced to one, the least by its other columns' hash.
-    Rows with a null doc_id stay only where a component has no other.
+    A null doc_id comes after all others, and rows of one doc_id are ordered by their hash.
+    Components are told apart by their fingerprints, so different texts without an id, or
+    under one repeated id, all stay. Rows are told apart by 128 bits of hash.
     """
-    found = near_duplicates(docs, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep")).distinct()
-    rows = docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("__keep")), "left_semi")
-    first = rows.groupBy("doc_id").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])).alias("__row"))
-    return first.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    values = [*columns, *[c.isNull() for c in columns]]  # a null alone leaves a hash as it is
+    rows = docs.withColumns({"__row": F.xxhash64(*values), "__row2": F.xxhash64(F.lit(1), *values)})
+    printed = fingerprints(rows, "__row", "__row2")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row", "__row2")
+    distinct = settle(printed.groupBy("fp").agg(F.min(order).alias("least")))
+    groups = connected_components(settle(fingerprint_links(distinct, radius))).withColumnRenamed("node", "fp")
+    of_each = distinct.join(groups, "fp", "left").groupBy(F.coalesce("component", "fp")).agg(F.min("least").alias("least"))
+    kept = rows.join(of_each.select("least.__row", "least.__row2"), ["__row", "__row2"], "left_semi")
+    return kept.dropDuplicates(["__row", "__row2"]).select(*columns)

@@ -107,6 +107,16 @@ def test_simhash_odd_rows(spark, odd_docs):
     assert simhash.near_duplicates(odd_docs.limit(0)).count() == 0
 
 
+def test_keep_one_of_each_component(spark, docs_of):
+    """Different texts stay whether they have no id or share one; each component gives one row."""
+    words = [" ".join(f"{c}{i}" for i in range(30)) for c in "abcdefg"]
+    texts = {c: w for c, w in zip("abcdefg", words)}
+    rows = [(None, texts["a"]), (None, texts["b"]), (None, texts["b"]), (None, texts["c"]), (1, texts["c"]), (5, texts["d"]), (5, texts["d"]), (5, texts["e"]), (3, texts["f"]), (5, texts["f"]), (None, texts["g"], None)]
+    kept = simhash.keep_one(docs_of(rows))
+    want = [(None, "a"), (None, "b"), (1, "c"), (5, "d"), (5, "e"), (3, "f"), (None, "g")]
+    assert sorted((r.text, r.doc_id) for r in kept.collect()) == sorted((texts[c], i) for i, c in want)
+
+
 # --- language model
 
 
