@@ -78,13 +78,16 @@ def top_k(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY, scale: int =
     is a candidate of its own, one query with its other occurrences, and never its own result.
     An empty table gives no rows; other columns are not looked at.
 
-    Of equal vectors only the k + 1 of smallest id can be in a result, so a group of copies
-    never reaches a task as a whole. Each pair of a candidate block and a query block is a task.
+    Of equal vectors only rows of the k + 1 smallest ids can be in a result, k of each id at
+    most, so a group of copies never reaches a task as a whole. Each pair of a candidate block
+    and a query block is a task.
     """
     ints = F.transform("embedding", lambda v: F.floor(v.cast("double") * scale).cast("long"))
     rows = vectors.where(sound(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), ints.alias("x"))
     copies = Window.partitionBy("x").orderBy("vec_id")
-    candidates = settle(rows.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).drop("copy"))
+    same = Window.partitionBy("x", "vec_id").orderBy("vec_id")
+    of_id = rows.withColumn("copy", F.row_number().over(same)).where(F.col("copy") <= k)
+    candidates = settle(of_id.withColumn("copy", F.dense_rank().over(copies)).where(F.col("copy") <= k + 1).drop("copy"))
     asked = settle(rows.where(F.col("vec_id") % every == 0).distinct())
     sizes = candidates.groupBy(F.size("x").alias("dim")).agg(F.count("*").alias("n")).collect()  # one row per dimension
     n_asked = asked.count()

@@ -86,6 +86,16 @@ def test_top_k(spark, seed):
     assert got == want
 
 
+def test_top_k_of_repeated_ids(spark):
+    """A query's own repeated rows take no places of other rows with an equal vector."""
+    same, other = [1.0, 0.5], [0.5, 0.25]
+    rows = [(50, same)] * 6 + [(i, same) for i in range(51, 61)] + [(100, other)] + [(7, other)] * 9
+    got = [tuple(r) for r in topk.top_k(frame(spark, rows)).orderBy("query_id", "rank").collect()]
+    score = {(50, r): 256 * 256 + 128 * 128 for r in range(1, 6)} | {(100, r): 256 * 128 + 128 * 64 for r in range(1, 6)}
+    want = [(50, r, 50 + r) for r in range(1, 6)] + [(100, r, 50) for r in range(1, 6)]
+    assert got == [(q, r, i, score[q, r]) for q, r, i in want]
+
+
 def test_threshold_stops_early():
     rng = np.random.default_rng(1)
     x = np.abs(rng.normal(size=(4000, 3)) * 100).astype(np.int64)
