@@ -44,7 +44,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", r
     its smaller ones, at the least of its neighbourhood, until nothing changes. The minimum is
     aggregated before the shuffle and joined back, so a hub's neighbours are never gathered.
     Graphs of at most ``small`` distinct edges, counted first, are labelled by one task instead.
-    Self-loops give components of their own; rows with a null end are left out.
+    Self-loops give components of their own; rows with a null end are left out. Labels that
+    still change in the last of ``rounds`` rounds are an error.
     """
     kept = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where(F.col("a").isNotNull() & F.col("b").isNotNull())
     nodes_alone = kept.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("component"))
@@ -66,6 +67,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", r
         if after == before:
             break
         before = after
+    else:
+        raise RuntimeError(f"components are not settled after {rounds} rounds")
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     found = current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
     return found.unionByName(nodes_alone).groupBy("node").agg(F.min("component").alias("component"))

@@ -110,6 +110,13 @@ def test_near_pairs_lose_none(spark):
     assert {(r.a, r.b) for r in lsh.collect()} <= set(want)
 
 
+def test_components_report_unsettled_labels(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "src long, dst long")
+    with pytest.raises(RuntimeError, match="2 rounds"):
+        connected_components(chain, rounds=2, small=0)
+    assert {r.component for r in connected_components(chain, small=0).collect()} == {0}
+
+
 def test_components_and_chain_split(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(40), rng.randrange(40)) for _ in range(30)]
