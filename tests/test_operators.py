@@ -110,6 +110,20 @@ def test_near_pairs_lose_none(spark):
     assert {(r.a, r.b) for r in lsh.collect()} <= set(want)
 
 
+def test_lsh_finds_pairs_near_the_threshold(spark):
+    rng, rows = random.Random(3), []
+    for i in range(0, 120, 2):
+        words = [f"{i}_{k}" for k in range(120)]
+        changed = list(words)
+        for at in rng.sample(range(5, 115, 12), 2):
+            changed[at] = f"x{i}_{at}"
+        rows += [(i, " ".join(words)), (i + 1, " ".join(changed))]
+    sets = D.shingle_sets(spark.createDataFrame(rows, "doc_id long, text string"))
+    near = {(r.a, r.b): r.score for r in D.near_pairs(sets).collect()}
+    assert len(near) == 60 and max(near.values()) < 0.87
+    assert {(r.a, r.b): r.score for r in D.lsh_pairs(sets).collect()} == near
+
+
 def test_components_report_unsettled_labels(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "src long, dst long")
     with pytest.raises(RuntimeError, match="2 rounds"):
