@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 SPACES = "[\\u00a0\\u1680\\u2000-\\u200a\\u202f\\u205f\\u3000]"
 INVISIBLE = "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f\\u00ad\\u200b-\\u200f\\u2060\\ufeff]"
 DASHES = "[\\u2010-\\u2015\\u2043\\u2212\\ufe58\\ufe63\\uff0d]"
-QUOTES_FROM = "“”„‟‹›ʺ‘’‚‛′ʹ`"
-QUOTES_TO = "«»«««»«'''''''"
+QUOTES_FROM = "“”„‟″‹›ʺ‘’‚‛′ʹ`´"
+QUOTES_TO = "«»««««»«''''''''"
 PUNCTUATION = "«»\"'`.,;:!?()[]{}—–-…%№*/\\|+=<>@#$^&~"
 EDGE_PUNCTUATION = " .,;:!?()[]{}-—–…/\\|*#№"
 NAME_QUOTES = "«»\"'„“”‘’`"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..session import settle
+from .skew import join_counted
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -17,12 +18,16 @@ BANDS, ROWS = 40, 6
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, digest, first, size) of documents that have words; ``first`` is the smallest id of equal texts."""
+    """(id, digest, first, size) of documents that have words; ``first`` is the smallest id of equal texts.
+
+    Null and empty texts, and texts of punctuation alone, have no words and are left out; an empty
+    table gives no rows.
+    """
     # the comparison key is the words joined by spaces
     digest = X.let(X.comparison_key(F.col("text")), lambda k: F.when(k != "", F.sha2(k, 256)))
     keyed = settle(docs.select(id_col, digest.alias("digest"))).where("digest IS NOT NULL")
     groups = keyed.groupBy("digest").agg(F.min(id_col).alias("first"), F.count("*").alias("size"))
-    return keyed.join(groups, "digest").select(id_col, "digest", "first", "size")
+    return join_counted(keyed, settle(groups), "digest").select(id_col, "digest", "first", "size")
 
 
 def exact_pairs(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -32,7 +37,10 @@ def exact_pairs(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, k: int = SHINGLE, id_col: str = "doc_id") -> DataFrame:
-    """(id, n, sh): sorted 64-bit hashes of the distinct shingles of each distinct text's first document."""
+    """(id, n, sh): sorted 64-bit hashes of the distinct shingles of each distinct text's first document.
+
+    Null texts and texts of fewer than ``k`` words have no row.
+    """
     ws = X.words(F.col("text"))
     firsts = docs.select(id_col, ws.alias("ws"), X.text_digest(ws).alias("digest")).where(F.size("ws") >= k)
     firsts = firsts.groupBy("digest").agg(F.min_by("ws", id_col).alias("ws"), F.min(id_col).alias(id_col))
@@ -45,8 +53,9 @@ def near_pairs(sets: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc
 
     Prefix filter: with shingles ordered from rare to frequent, two sets that similar share one of
     their first n - ceil(t n) + 1. Pairs are then checked on their whole sets. Frequent shingles
-    come last, so they hardly ever serve as a join key.
+    come last, so they hardly ever serve as a join key. An empty table gives no pairs.
     """
+    sets = settle(sets)
     each = sets.select(id_col, "n", F.explode("sh").alias("s"))
     df = each.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
     ranked = each.join(df, "s").groupBy(id_col, "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("shared"))
@@ -89,7 +98,8 @@ def lsh_pairs(sets: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS,
     A pair of Jaccard 0.8 is missed with a probability of about 5e-6, a more similar one more rarely;
     ``near_pairs`` misses none.
     """
-    keyed = minhash_bands(sets, bands, rows, id_col=id_col)
+    sets = settle(sets)
+    keyed = settle(minhash_bands(sets, bands, rows, id_col=id_col))
     a, b = keyed.withColumnRenamed(id_col, "a"), keyed.withColumnRenamed(id_col, "b")
     candidates = a.join(b, ["band", "key"]).where("a < b").select("a", "b").distinct()
     sa, sb = sets.select(F.col(id_col).alias("a"), F.col("sh").alias("sa")), sets.select(F.col(id_col).alias("b"), F.col("sh").alias("sb"))
@@ -112,7 +122,7 @@ def band_pairs(rows: DataFrame, threshold: float = 0.9, days: int = 3) -> DataFr
     """(a, b, score): rows (id, ts, v) at most ``days`` apart with dot product >= threshold; a is the earlier.
 
     Interval join by buckets of ``days``: the left side goes to its own and the next bucket, so
-    each pair meets once.
+    each pair meets once. Rows with a null ts or v have no pairs; nor has an empty table.
     """
     seconds = days * 86_400
     at = F.unix_seconds(F.col("ts").cast("timestamp"))
@@ -135,9 +145,14 @@ def knn_pairs(rows: DataFrame, k: int = 10, threshold: float = 0.85) -> DataFram
     """(a, b, score) with a < b: pairs of one kind where either is among the other's k nearest at or above threshold.
 
     ``rows`` has id, kind, v. Blocks of one kind are multiplied in numpy, each against each, in
-    tasks of bounded size; ties go to the smaller id.
+    tasks of bounded size; ties go to the smaller id. Vectors that are null or empty or hold a null
+    or NaN, and rows without id or kind, take no part; vectors of different length have no pairs;
+    an empty table gives none.
     """
     block = 2048
+    fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")))
+    rows = rows.where(F.col("id").isNotNull() & F.col("kind").isNotNull() & (F.size("v") > 0) & fine)
+    rows = rows.select("id", F.struct("kind", F.size("v").alias("dim")).alias("kind"), "v")
     sizes = rows.groupBy("kind").agg(F.ceil(F.count("*") / block).cast("int").alias("grid"))
     placed = rows.join(sizes, "kind").withColumn("own", F.pmod(F.xxhash64("id"), F.col("grid")).cast("int"))
     asks = placed.select("kind", F.col("own").alias("p"), F.explode(F.sequence(F.lit(0), F.col("grid") - 1)).alias("q"), F.lit(0).alias("side"), "id", "v")

@@ -99,13 +99,17 @@ def merge_edges(emb: DataFrame, votes: DataFrame) -> DataFrame:
     return both.groupBy("a", "b").agg(F.sort_array(F.collect_set("channel")).alias("channels"), F.max("score").alias("score"))
 
 
-def drop_geo_conflicts(edges: DataFrame, forms: DataFrame, places: Column, marker=None) -> DataFrame:
+def drop_geo_conflicts(edges: DataFrame, forms: DataFrame, places: DataFrame, marker=None) -> DataFrame:
     """Edges without those between two organisations of different geographic qualifiers.
 
-    ``forms`` has form_id, type, alias_key; ``places`` is an array of place words.
+    ``forms`` has form_id, type, alias_key; ``places`` alias_key, one place word each. Only a
+    form's own words can be places in it, so words are joined with places, not places collected.
     """
     marker = marker or X.geo_marker
-    marked = forms.where("type = 'ORG'").select("form_id", marker(F.col("alias_key"), places).alias("m"))
+    orgs = forms.where("type = 'ORG'").select("form_id", "alias_key")
+    words = orgs.select("form_id", F.explode(F.split("alias_key", " ")).alias("word")).join(places.select(F.col("alias_key").alias("word")).distinct(), "word")
+    own = words.groupBy("form_id").agg(F.collect_set("word").alias("places"))
+    marked = orgs.join(own, "form_id", "left").select("form_id", marker(F.col("alias_key"), F.coalesce("places", F.array().cast("array<string>"))).alias("m"))
     out = edges.join(marked.select(F.col("form_id").alias("a"), F.col("m").alias("ma")), "a", "left").join(marked.select(F.col("form_id").alias("b"), F.col("m").alias("mb")), "b", "left")
     return out.where("ma IS NULL OR mb IS NULL OR ma = mb").select("a", "b", "channels", "score")
 
@@ -128,10 +132,15 @@ def shares_of(column: str, values: tuple[str, ...]) -> Column:
 
 
 def number_entities(clusters: DataFrame) -> DataFrame:
-    """Adds entity_id: prefix of the type and the number within it by falling mentions, then canonical name."""
+    """Adds entity_id: prefix of the type and the number within it by falling mentions, then canonical name, then cluster.
+
+    Numbers come from global places less the first place of the type, so no type is one task.
+    """
     prefix = F.coalesce(F.create_map(*[F.lit(x) for kv in PREFIX.items() for x in kv])[F.col("type")], F.lower("type"))
-    n = F.row_number().over(Window.partitionBy("type").orderBy(F.desc("n_mentions"), "canonical"))
-    return clusters.withColumn("entity_id", F.concat(prefix, F.lit("_"), F.lpad(n.cast("string"), 6, "0")))
+    placed = settle(numbered(clusters, [F.asc("type"), F.desc("n_mentions"), F.asc("canonical"), F.asc("cluster")], "__place"))
+    firsts = placed.groupBy("type").agg(F.min("__place").alias("__first"))
+    number = (F.col("__place") - F.col("__first") + 1).cast("string")
+    return placed.join(firsts, "type").withColumn("entity_id", F.concat(prefix, F.lit("_"), F.lpad(number, 6, "0"))).drop("__place", "__first")
 
 
 def entities(mentions: DataFrame) -> DataFrame:
@@ -154,6 +163,26 @@ def method_counts(forms: DataFrame) -> DataFrame:
     return forms.groupBy("entity_id").agg(*[F.count_if(F.col("method") == m).alias(m) for m in METHODS])
 
 
+def entity_forms(forms: DataFrame) -> DataFrame:
+    """(entity_id, aliases, n_aliases, methods): names by falling mentions, ties to the smaller, and forms by method.
+
+    ``forms`` has entity_id, name, n_mentions, method; a name counts once, with its most frequent form.
+    """
+    methods = F.struct(*[F.count_if(F.col("method") == m).alias(m) for m in METHODS]).alias("methods")
+    names = forms.groupBy("entity_id", "name").agg(F.max("n_mentions").alias("n"))
+    order = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "name")))
+    listed = names.groupBy("entity_id").agg(F.transform(order, lambda x: x["name"]).alias("aliases"), F.count("*").alias("n_aliases"))
+    return listed.join(forms.groupBy("entity_id").agg(methods), "entity_id")
+
+
+def entity_judgements(norm: DataFrame) -> DataFrame:
+    """(entity_id, min_confidence, n_veto_splits): the least confidence of accepted groups of several forms, and vetoed forms.
+
+    ``norm`` has entity_id, group_confidence (null for forms that stand alone), veto_applied.
+    """
+    return norm.groupBy("entity_id").agg(F.min("group_confidence").alias("min_confidence"), F.count_if(F.col("veto_applied")).alias("n_veto_splits"))
+
+
 def compression(forms: DataFrame, norm: DataFrame, entity: DataFrame) -> DataFrame:
     """(type, surface_forms, normalized_forms, entities, surface_to_entities) by type, and a TOTAL row."""
     tagged = [d.select("type", F.lit(k).alias("k")) for k, d in enumerate((forms, norm, entity))]

@@ -14,7 +14,7 @@ def numbered(df: DataFrame, order: list[Column], name: str, first: int = 0) -> D
     Rows are dealt by ranges of the order and settled; each range is numbered on its own, and
     starts at the sum of the counts of the ranges before it, one number per range.
     """
-    ranged = settle(df.repartitionByRange(*order)).withColumn("__range", F.spark_partition_id())
+    ranged = settle(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
     counts = ranged.groupBy("__range").agg(F.count("*").alias("n"))
     before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("__range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))  # one row per range

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,20 +29,26 @@ def candidate_groups(edges: DataFrame, max_size: int = 20, start: float = 0.85,
 def make_batches(groups: DataFrame, size: int = 100) -> DataFrame:
     """(type, batch, group, first): groups in order, packed next-fit into batches of ``size`` forms per type.
 
-    ``groups`` has type, group, n. The fold runs over the group sizes of one type, ten bytes each.
+    ``groups`` has type, group, n. Next-fit is sequential within a type: its rows stream in order
+    through one task that holds a batch number and a fill, whatever their number.
     """
-    ordered = groups.groupBy("type").agg(F.sort_array(F.collect_list(F.struct("group", "n"))).alias("gs"))
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).cast("long").alias("fill"), F.array().cast("array<struct<group: bigint, batch: int, first: bigint>>").alias("out"))
-
-    def place(acc, g):
-        over = (acc["fill"] > 0) & (acc["fill"] + g["n"] > size)
-        batch = F.when(over, acc["batch"] + 1).otherwise(acc["batch"])
-        fill = F.when(over, F.lit(0).cast("long")).otherwise(acc["fill"])
-        one = F.struct(g["group"].cast("long").alias("group"), batch.alias("batch"), fill.alias("first"))
-        return F.struct(batch.alias("batch"), (fill + g["n"]).alias("fill"), F.concat(acc["out"], F.array(one)).alias("out"))
-
-    folded = ordered.select("type", F.explode(F.aggregate("gs", start, place)["out"]).alias("o"))
-    return folded.select("type", "o.batch", "o.group", "o.first")
+
+    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kind, batch, fill = None, 0, 0
+        for frame in frames:
+            out = []
+            for t, n in zip(frame["type"], frame["n"]):
+                if t != kind:
+                    kind, batch, fill = t, 0, 0
+                if fill and fill + n > size:
+                    batch, fill = batch + 1, 0
+                out.append((batch, fill))
+                fill += n
+            numbers = pd.DataFrame(out, columns=["batch", "first"], index=frame.index)
+            yield pd.DataFrame({"type": frame["type"], "batch": numbers["batch"], "group": frame["group"], "first": numbers["first"]})
+
+    ordered = groups.select("type", F.col("group").cast("long").alias("group"), F.col("n").cast("long").alias("n")).repartition("type").sortWithinPartitions("type", "group")
+    return ordered.mapInPandas(place, "type string, batch int, group long, first long")
 
 
 def prompts(forms: DataFrame) -> DataFrame:

@@ -270,11 +270,47 @@ def semantic_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.band_pairs(v, threshold=0.3).withColumn("score", F.round("score", 6))
 
 
-@query(f"""WITH {VEC}, near AS (
+#: Semantic edges are cut in steps inside components of more than SPLIT_SIZE documents.
+SPLIT_SIZE, SPLIT_START, SPLIT_STEP, SPLIT_CAP = 10, 0.3, 0.1, 0.5
+
+
+def _split_sql() -> str:
+    """Components of all three levels' edges, split round by round; the last round's are final."""
+    out = [
+        f"{VEC}",
+        "sem AS (SELECT a.id AS a, b.id AS b, list_inner_product(a.v, b.v) AS score FROM rows_ a JOIN rows_ b ON (b.t > a.t OR (b.t = a.t AND b.id > a.id)) AND b.t - a.t <= 259200 WHERE list_inner_product(a.v, b.v) >= 0.3)",
+        "levels AS (SELECT a, b, level, score, CASE level WHEN 'exact' THEN 0 ELSE 1 END AS o FROM pairs UNION ALL SELECT least(a, b), greatest(a, b), 'semantic', score, 2 FROM sem)",
+        "e0 AS MATERIALIZED (SELECT a, b, arg_max(level, o) AS level, arg_max(score, o) AS score FROM levels GROUP BY a, b)",
+        "nodes AS (SELECT a AS node FROM e0 UNION SELECT b FROM e0)",
+    ]
+    k, threshold = 0, SPLIT_START
+    while True:
+        out.append(f"s{k} AS MATERIALIZED (SELECT a, b FROM e{k} UNION SELECT b, a FROM e{k})")
+        out.append(f"w{k}(x, y) AS (SELECT node, node FROM nodes UNION SELECT w.x, s.b FROM w{k} w JOIN s{k} s ON s.a = w.y)")
+        out.append(f"c{k} AS MATERIALIZED (SELECT x AS node, min(y) AS component FROM w{k} GROUP BY x)")
+        if threshold >= SPLIT_CAP:
+            return ", ".join(out) + f", final_ AS (SELECT * FROM c{k})"
+        threshold = round(threshold + SPLIT_STEP, 4)
+        out.append(f"z{k} AS (SELECT component, count(*) AS n FROM c{k} GROUP BY 1)")
+        out.append(f"e{k + 1} AS MATERIALIZED (SELECT e.* FROM e{k} e JOIN c{k} c ON c.node = e.a JOIN z{k} z USING (component) WHERE NOT (z.n > {SPLIT_SIZE} AND level = 'semantic' AND score < {threshold}))")
+        k += 1
+
+
+@query(f"WITH RECURSIVE {PAIRS}, {_split_sql()} SELECT node, component FROM final_")
+def semantic_story_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stories over exact, near and semantic edges, an embedding's number being that of its document."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.timestamp_seconds(F.col("vec_id") * 3600).alias("ts"), F.col("embedding").alias("v"))
+    semantic = D.band_pairs(v, threshold=0.3).select("a", "b", F.lit("semantic").alias("level"), "score")
+    return S.split_stories(_pairs(spark, sf_dir).unionByName(semantic), SPLIT_SIZE, SPLIT_START, SPLIT_STEP, SPLIT_CAP)
+
+
+NEAREST = f"""{VEC}, knn AS (
   SELECT a.id AS a, b.id AS b, list_inner_product(a.v, b.v) AS score, row_number() OVER (PARTITION BY a.id ORDER BY list_inner_product(a.v, b.v) DESC, b.id) AS r
   FROM rows_ a JOIN rows_ b ON a.kind = b.kind AND a.id <> b.id
-)
-SELECT least(a, b) AS a, greatest(a, b) AS b, round(max(score), 6) AS score FROM near WHERE r <= 10 AND score >= 0.3 GROUP BY 1, 2""")
+), nearest AS (SELECT least(a, b) AS a, greatest(a, b) AS b, round(max(score), 6) AS score FROM knn WHERE r <= 10 AND score >= 0.3 GROUP BY 1, 2)"""
+
+
+@query(f"WITH {NEAREST} SELECT a, b, score FROM nearest")
 def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("kind"), F.col("embedding").alias("v"))
     return D.knn_pairs(v, threshold=0.3).withColumn("score", F.round("score", 6))

@@ -1,4 +1,4 @@
-"""Queries over model output, on literal answers, and topic queries over ``documents`` by language."""
+"""Queries over model output, made up from table columns, and topic queries over ``documents`` by language."""
 
 from __future__ import annotations
 
@@ -12,28 +12,34 @@ from ..session import table
 from .base import query
 from .corpus import WORDED
 
-GOOD = '{"summary": "s", "entities": [{"name": "A", "type": "ORG", "role": "actor", "sentiment": "pos", "normalized_id": "a"}], "topic": "спорт", "event_type": "прочее", "is_opinion": false, "confidence": 0.5}'
-RAW = {
-    1: GOOD,
-    2: GOOD.replace('"confidence": 0.5', '"confidence": 1.5'),
-    3: GOOD.replace('"topic": "спорт"', '"topic": "погода"'),
-    4: GOOD.replace('"is_opinion": false', '"is_opinion": false, "extra": 1'),
-    5: GOOD.replace('"role": "actor", ', ""),
-    6: '{"summary": "cut',
-    7: GOOD.replace('"type": "ORG"', '"type": "ANIMAL"'),
-    8: GOOD.replace('"summary": "s"', f'"summary": "{"s" * 401}"'),
-    9: '{"summary": "", "entities": [], "topic": "культура", "event_type": "заявление", "is_opinion": true, "confidence": 0}',
-    10: GOOD.replace('"normalized_id": "a"', '"normalized_id": "a", "more": 2'),
-}
-
-
-def _raw(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(RAW.items()), "article_id long, raw string")
+def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An answer to each order, with faults that follow from its columns; the SQL says which."""
+    key, n = F.col("o_orderkey"), (F.col("o_orderkey") % 25).cast("int")
+    entity = lambda i: F.struct(
+        F.concat(F.lit("n"), i.cast("string")).alias("name"),
+        F.when(key % 13 == 0, F.lit("ANIMAL")).otherwise(F.element_at(F.array(*map(F.lit, E.ENTITY_TYPES)), i % 6 + 1)).alias("type"),
+        F.when(key % 17 != 0, F.element_at(F.array(*map(F.lit, E.ROLES)), i % 3 + 1)).alias("role"),
+        F.element_at(F.array(*map(F.lit, E.SENTIMENTS)), i % 4 + 1).alias("sentiment"),
+        F.lit("id").alias("normalized_id"),
+    )
+    numbers = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    answer = F.struct(
+        F.repeat(F.lit("s"), (key % 500).cast("int")).alias("summary"),
+        F.transform(numbers, entity).alias("entities"),
+        F.when(key % 19 == 0, F.lit("погода")).otherwise(F.element_at(F.array(*map(F.lit, E.TOPICS)), (key % len(E.TOPICS) + 1).cast("int"))).alias("topic"),
+        F.element_at(F.array(*map(F.lit, E.EVENT_TYPES)), (key % len(E.EVENT_TYPES) + 1).cast("int")).alias("event_type"),
+        F.when(key % 7 != 0, key % 2 == 0).alias("is_opinion"),
+        (F.col("o_custkey") % 12 / 10.0).alias("confidence"),
+        F.when(key % 23 == 0, F.lit(1)).alias("extra"),
+    )
+    raw = F.to_json(answer)
+    return table(spark, sf_dir, "orders").select(key.alias("article_id"), F.when(key % 11 == 0, F.substring(raw, 1, 30)).otherwise(raw).alias("raw"))
 
 
-@query(f"SELECT i::BIGINT AS article_id, i IN (1, 9) AS ok FROM (VALUES {', '.join(f'({k})' for k in RAW)}) v(i)")
+@query("""SELECT o_orderkey AS article_id, o_orderkey % 500 <= 400 AND o_orderkey % 25 <= 20 AND (o_orderkey % 25 = 0 OR (o_orderkey % 13 <> 0 AND o_orderkey % 17 <> 0))
+AND o_orderkey % 19 <> 0 AND o_orderkey % 7 <> 0 AND o_custkey % 12 <= 10 AND o_orderkey % 23 <> 0 AND o_orderkey % 11 <> 0 AS ok FROM orders""")
 def validated_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _raw(spark).select("article_id", E.is_valid(F.col("raw")).alias("ok"))
+    return _raw(spark, sf_dir).select("article_id", E.is_valid(F.col("raw")).alias("ok"))
 
 
 #: Documents with labels from table columns, as two runs of a model would give.
@@ -56,6 +62,12 @@ def _run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumn("entities", F.when(F.col("ok"), F.transform(numbers, entity)))
 
 
+def _shortened(full: DataFrame) -> DataFrame:
+    """A second run over the same articles that differs in some topics and loses some first entities."""
+    short = full.withColumn("topic", F.when(F.col("article_id") % 9 == 0, F.lit("other")).otherwise(F.col("topic")))
+    return short.withColumn("entities", F.when(F.col("article_id") % 11 == 0, F.slice("entities", F.lit(2), F.greatest(F.lit(0), F.size("entities") - 1))).otherwise(F.col("entities")))
+
+
 ENTS = f"""run AS ({RUN}), ents AS (SELECT article_id, 'n' || (i + article_id % 5) AS name, (['ORG','PER','LOC','GPE','PRODUCT','EVENT'])[(i + article_id) % 6 + 1] AS type, (['actor','object','mentioned'])[i % 3 + 1] AS role,
   (['pos','neu','neg','unknown'])[(i + article_id) % 4 + 1] AS sentiment FROM (SELECT article_id, unnest(generate_series(1, n_entities)) AS i FROM run WHERE ok))"""
 
@@ -85,28 +97,55 @@ def most_frequent_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.top_share(_run(spark, sf_dir), "topic")
 
 
-@query(f"""WITH {ENTS}, j AS (SELECT article_id, topic <> CASE WHEN article_id % 9 = 0 THEN 'other' ELSE topic END AS t, n_entities, article_id % 11 = 0 AS cut FROM run WHERE ok AND article_id % 2 = 0),
+@query(f"""WITH {ENTS}, j AS (SELECT article_id, topic <> CASE WHEN article_id % 9 = 0 THEN 'other' ELSE topic END AS t, n_entities, article_id % 11 = 0 AS cut FROM run WHERE ok),
 k AS (SELECT *, CASE WHEN NOT cut OR n_entities = 0 THEN 1.0 ELSE (n_entities - 1)::DOUBLE / n_entities END AS jac FROM j)
 SELECT count(*) AS documents, avg(t::INTEGER::DOUBLE) AS topic_changed, 0.0::DOUBLE AS event_type_changed, 0.0::DOUBLE AS is_opinion_changed, round(avg(jac), 9) AS entities_jaccard_mean, avg((jac < 1)::INTEGER::DOUBLE) AS entities_changed,
 1.0::DOUBLE AS summary_len_short, 1.0::DOUBLE AS summary_len_full, avg((t OR jac < 1)::INTEGER::DOUBLE) AS any_changed FROM k""")
 def run_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     full = _run(spark, sf_dir)
-    short = full.where("article_id % 2 = 0").withColumn("topic", F.when(F.col("article_id") % 9 == 0, F.lit("other")).otherwise(F.col("topic")))
-    short = short.withColumn("entities", F.when(F.col("article_id") % 11 == 0, F.slice("entities", F.lit(2), F.greatest(F.lit(0), F.size("entities") - 1))).otherwise(F.col("entities")))
-    return E.run_difference(short, full).withColumn("entities_jaccard_mean", F.round("entities_jaccard_mean", 9))
+    return E.run_difference(_shortened(full), full).withColumn("entities_jaccard_mean", F.round("entities_jaccard_mean", 9))
 
 
-@query("SELECT unnest(['invalid_json', 'neutral_degenerate', 'truncated', 'few_topics']) AS flag")
-def run_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    figures = "0.9 AS valid_share, 0.5 AS topic_share, 0.6 AS event_share, 'neu' AS sentiment_top, 0.85 AS sentiment_share, 0.1 AS empty_share, 0.05 AS unseen_share, 0.02 AS truncated_share, 3 AS topics_used, 11 AS topics_known, 0.2 AS any_changed"
-    return E.flags(spark.sql(f"SELECT {figures}"))
+#: Text in which entity names are looked for.
+SEEN = "n1 n2 n3 n4 n5 n6"
 
 
-@query("""SELECT k::BIGINT AS k, seen FROM (VALUES (1, true), (2, true), (3, false), (4, false), (5, true), (6, false)) v(k, seen)""")
+@query(f"""WITH {ENTS}, f AS (SELECT
+  (SELECT count(*) FILTER (ok)::DOUBLE / count(*) < 1 FROM run) AS invalid_json,
+  (SELECT max(n)::DOUBLE / sum(n)::DOUBLE > 0.6 FROM (SELECT count(*) AS n FROM run WHERE topic IS NOT NULL GROUP BY topic)) AS topic_degenerate,
+  (SELECT max(n)::DOUBLE / sum(n)::DOUBLE > 0.6 FROM (SELECT count(*) AS n FROM run WHERE event_type IS NOT NULL GROUP BY event_type)) AS event_type_degenerate,
+  (SELECT arg_min(sentiment, {{'a': -n, 'b': sentiment}}) = 'neu' AND max(n)::DOUBLE / sum(n)::DOUBLE > 0.8 FROM (SELECT sentiment, count(*) AS n FROM ents GROUP BY 1)) AS neutral_degenerate,
+  (SELECT count(*) FILTER (n_entities = 0)::DOUBLE / count(*) > 0.1 FROM run WHERE ok) AS empty_entities,
+  (SELECT count(*) FILTER (NOT contains('{SEEN}', name))::DOUBLE / count(*) > 0.05 FROM ents) AS unseen_entities,
+  (SELECT count(*) FILTER (completion_tokens >= 1024)::DOUBLE / count(*) > 0.01 FROM run) AS truncated,
+  (SELECT count(DISTINCT topic) < {len(E.TOPICS)} / 3.0 FROM run) AS few_topics,
+  (SELECT avg((topic <> CASE WHEN article_id % 9 = 0 THEN 'other' ELSE topic END OR (article_id % 11 = 0 AND n_entities > 0))::INTEGER::DOUBLE) > 0.25 FROM run WHERE ok) AS truncation_matters)
+SELECT flag FROM (UNPIVOT f ON COLUMNS(*) INTO NAME flag VALUE raised) WHERE raised""")
+def run_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    full = _run(spark, sf_dir)
+    names = full.where("ok").select(F.explode("entities").alias("e"))
+    unseen = names.agg(F.avg((~X.seen_in_text(F.col("e.name"), F.lit(SEEN))).cast("double")).alias("unseen_share"))
+    parts = [
+        E.run_summary(full).select("valid_share", "truncated_share", F.col("empty_entities_share").alias("empty_share")),
+        E.top_share(full, "topic").select(F.col("share").alias("topic_share")),
+        E.top_share(full, "event_type").select(F.col("share").alias("event_share")),
+        E.top_share(names.select("e.sentiment"), "sentiment").select(F.col("value").alias("sentiment_top"), F.col("share").alias("sentiment_share")),
+        full.agg(F.count_distinct("topic").alias("topics_used"), F.lit(len(E.TOPICS)).alias("topics_known")),
+        unseen,
+        E.run_difference(_shortened(full), full).select("any_changed"),
+    ]
+    figures = parts[0]
+    for part in parts[1:]:
+        figures = figures.crossJoin(F.broadcast(part))  # one row each
+    return E.flags(figures)
+
+
+@query(r"""WITH n AS (SELECT doc_id, trim(replace(lower(substr(text, 150, 30)), 'ё', 'е')) AS n, replace(lower(substr(text, 1, 170)), 'ё', 'е') AS hay FROM documents),
+s AS (SELECT *, list_transform(regexp_extract_all(n, '[\p{L}\p{M}\p{Nd}\p{Pc}]{4,}'), lambda w: substr(w, 1, 5)) AS stems FROM n)
+SELECT doc_id, coalesce(n <> '' AND (contains(hay, n) OR (len(stems) > 0 AND len(list_filter(stems, lambda w: NOT contains(hay, w))) = 0)), false) AS seen FROM s""")
 def names_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(1, "Сбербанк"), (2, "Сбербанка России"), (3, "ВТБ"), (4, ""), (5, "Берег"), (6, "дом на")]
-    hay = F.lit("сбербанк и россия на берегу")
-    return spark.createDataFrame(rows, "k long, name string").select("k", X.seen_in_text(F.col("name"), hay).alias("seen"))
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", X.seen_in_text(F.substring("text", 150, 30), X.fold_yo(F.substring("text", 1, 170))).alias("seen"))
 
 
 @query("SELECT o_orderkey, ((row_number() OVER (ORDER BY o_orderkey) - 1) // 5000)::BIGINT AS shard_id FROM orders")

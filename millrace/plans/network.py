@@ -102,12 +102,12 @@ def neighbour_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.neighbour_communities(e, _members(e))
 
 
-CHAIN = "ch AS (SELECT vec_id AS a, vec_id + CASE WHEN vec_id % 7 = 0 THEN 3 ELSE 14 END AS b FROM embeddings WHERE vec_id % 5 <> 0)"
+CHAIN = "ch AS (SELECT vec_id AS a, vec_id + CASE WHEN vec_id % 7 = 0 THEN 3 ELSE 14 END AS b FROM embeddings)"
 
 
 def _chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("vec_id")
-    return table(spark, sf_dir, "embeddings").where(v % 5 != 0).select(v.alias("a"), (v + F.when(v % 7 == 0, 3).otherwise(14)).alias("b"))
+    return table(spark, sf_dir, "embeddings").select(v.alias("a"), (v + F.when(v % 7 == 0, 3).otherwise(14)).alias("b"))
 
 
 REACH = f"""{CHAIN}, sym AS (SELECT a, b FROM ch UNION SELECT b, a FROM ch), reach(x, y) AS (SELECT a, a FROM sym UNION SELECT r.x, s.b FROM reach r JOIN sym s ON s.a = r.y),

@@ -65,7 +65,7 @@ DENSE = f"""{ARTICLES}, doc_keys AS (
   SELECT story_id, date, 'topic' AS kind, label AS key FROM articles
   UNION ALL SELECT story_id, date, 'entity', 'k' || entity_id FROM articles
 ), best AS (
-  SELECT key FROM doc_keys WHERE kind = 'entity' GROUP BY key ORDER BY count(DISTINCT story_id) DESC, key LIMIT 60
+  SELECT key FROM doc_keys WHERE kind = 'entity' GROUP BY key ORDER BY count(DISTINCT story_id) DESC, key LIMIT 300
 ), kept AS (SELECT * FROM doc_keys WHERE kind = 'topic' OR key IN (SELECT key FROM best)),
 cal AS (SELECT unnest(generate_series((SELECT min(date) FROM articles), (SELECT max(date) FROM articles), INTERVAL 1 DAY))::DATE AS date),
 totals AS (SELECT date, count(DISTINCT story_id) AS day_total FROM articles GROUP BY date),
@@ -135,7 +135,7 @@ def sentiment_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.sentiment_daily(a, a)
 
 
-@query(f"""WITH {ARTICLES}, best AS (SELECT entity_id FROM articles GROUP BY 1 ORDER BY count(*) DESC, entity_id LIMIT 10),
+@query(f"""WITH {ARTICLES}, best AS (SELECT entity_id FROM articles GROUP BY 1 ORDER BY count(*) DESC, entity_id LIMIT 20),
 part AS (
   SELECT p.entity_id, date_trunc('week', d.date)::DATE AS week, p.sentiment, story_id FROM (SELECT DISTINCT story_id, date FROM articles) d
   JOIN (SELECT DISTINCT story_id, entity_id, sentiment FROM articles WHERE entity_id IN (SELECT entity_id FROM best)) p USING (story_id)
@@ -145,7 +145,7 @@ SELECT entity_id, week, {", ".join(f"count(*) FILTER (sentiment = '{s}') AS {s}"
 FROM part GROUP BY entity_id, week""")
 def entity_sentiment_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = _articles(spark, sf_dir)
-    best = a.groupBy("entity_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "entity_id").limit(10)
+    best = a.groupBy("entity_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "entity_id").limit(20)
     return S.entity_sentiment_weekly(a, a, best)
 
 
@@ -218,12 +218,12 @@ def rolling_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.rolling_mean(_volume(_articles(spark, sf_dir)), "articles")
 
 
-@query(f"""WITH {VOLUME}, best AS (SELECT label FROM series GROUP BY label ORDER BY sum(n_stories) DESC, label LIMIT 3),
+@query(f"""WITH {VOLUME}, best AS (SELECT label FROM series GROUP BY label ORDER BY sum(n_stories) DESC, label LIMIT 8),
 t AS (SELECT date_trunc('week', date)::DATE + 6 AS week, sum(enriched_stories) AS total FROM volume GROUP BY 1)
 SELECT week, label, sum(n_stories)::DOUBLE / any_value(total)::DOUBLE AS share FROM (SELECT *, date_trunc('week', date)::DATE + 6 AS week FROM series WHERE label IN (SELECT label FROM best)) s JOIN t USING (week) GROUP BY week, label""")
 def weekly_label_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = _articles(spark, sf_dir)
-    return S.weekly_share(S.daily_share(a, _labelled(a)), _volume(a), top=3)
+    return S.weekly_share(S.daily_share(a, _labelled(a)), _volume(a), top=8)
 
 
 @query(f"""WITH {VOLUME} SELECT avg(articles) FILTER (weekday >= 5) / avg(articles) FILTER (weekday < 5) AS articles_ratio,
@@ -233,7 +233,7 @@ def weekend_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _dense(articles: DataFrame) -> DataFrame:
-    return S.dense_series(articles, _doc_keys(articles), top_entities=60)
+    return S.dense_series(articles, _doc_keys(articles), top_entities=300)
 
 
 def _flagged(articles: DataFrame) -> DataFrame:
@@ -276,7 +276,7 @@ def burst_weekdays(spark: SparkSession, sf_dir: str) -> DataFrame:
 KNOWN = "(1, DATE '2024-01-05', DATE '2024-01-06', 'early', 'k1;k2'), (2, DATE '2024-01-05', DATE '2024-01-20', 'middle', 'K5;k7'), (3, DATE '2024-01-18', DATE '2024-01-29', 'late', 'k')"
 MATCHED = f"""{STATES}, known AS (SELECT * FROM (VALUES {KNOWN}) v(position, e_start, e_end, event, keys)),
 top AS (
-  SELECT *, row_number() OVER (ORDER BY weight DESC, key, "start") AS rank FROM (SELECT * FROM bursts WHERE kind = 'entity' ORDER BY weight DESC, key, "start" LIMIT 40)
+  SELECT *, row_number() OVER (ORDER BY weight DESC, key, "start") AS rank FROM (SELECT * FROM bursts WHERE kind = 'entity' ORDER BY weight DESC, key, "start" LIMIT 100)
 ), hits AS (
   SELECT t.rank, arg_min(k.event, k.position) AS what_it_was FROM top t JOIN known k
   ON t.peak_date BETWEEN k.e_start - 3 AND k.e_end + 3 AND len(list_filter(string_split(lower(k.keys), ';'), lambda w: contains(lower(t.key), w))) > 0 GROUP BY t.rank
@@ -288,7 +288,7 @@ def _known(spark: SparkSession) -> DataFrame:
 
 
 def _matched(spark: SparkSession, articles: DataFrame) -> DataFrame:
-    return B.match_events(B.ranked(_bursts(articles), n=40), _known(spark))
+    return B.match_events(B.ranked(_bursts(articles), n=100), _known(spark))
 
 
 @query(f'WITH RECURSIVE {MATCHED} SELECT rank::INTEGER AS rank, key, "start", peak_date, weight, what_it_was FROM matched')
@@ -309,4 +309,4 @@ def peak_headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = _articles(spark, sf_dir)
     keys = a.select(F.col("event_id").alias("article_id"), "date", F.lit("entity").alias("kind"), F.concat(F.lit("k"), "entity_id").alias("key"))
     titles = a.select(F.col("event_id").alias("article_id"), F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("title"))
-    return B.peak_headlines(B.ranked(_bursts(a), n=40), keys, titles)
+    return B.peak_headlines(B.ranked(_bursts(a), n=100), keys, titles)

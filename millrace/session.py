@@ -4,25 +4,40 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the folder in ``spark.checkpoint.dir``; only where none is set (tests) use a new local one."""
+    """Return the folder in ``spark.checkpoint.dir``.
+
+    Where none is set a new local one serves, but only in sessions of one machine (tests,
+    benchmarks): executors of a cluster could not read it.
+    """
     sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="millrace-"))
         current = sc._jsc.sc().getCheckpointDir()
     return current.get()
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into the shared checkpoint folder and cut its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute ``df`` once into a Parquet table in the shared checkpoint folder and read it from there.
+
+    The lineage is cut, a lost executor costs a read, and unlike ``checkpoint()`` the last stage
+    isn't computed twice. Columns are stored by position, so names that clash do no harm.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/settled-{uuid.uuid4().hex}"
+    names = [f"c{i}" for i in range(len(df.columns))]
+    stored = df.toDF(*names)
+    stored.write.parquet(path)
+    return spark.read.schema(stored.schema).parquet(path).toDF(*df.columns)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -15,12 +15,14 @@ from millrace.operators import bursts as B
 from millrace.operators import clean as C
 from millrace.operators import dedup as D
 from millrace.operators import enrichment as E
+from millrace.operators import mentions as M
 from millrace.operators import network as N
 from millrace.operators import resolve as R
 from millrace.operators import series as S
 from millrace.operators import stories as T
 from millrace.operators import topics as P
 from millrace.operators.graph import connected_components
+from millrace.operators.skew import join_counted
 
 
 def one(spark, expression, **values):
@@ -124,11 +126,25 @@ def test_lsh_finds_pairs_near_the_threshold(spark):
     assert {(r.a, r.b): r.score for r in D.lsh_pairs(sets).collect()} == near
 
 
-def test_components_report_unsettled_labels(spark):
-    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "src long, dst long")
-    with pytest.raises(RuntimeError, match="2 rounds"):
-        connected_components(chain, rounds=2, small=0)
-    assert {r.component for r in connected_components(chain, small=0).collect()} == {0}
+def test_components_of_a_long_path(spark):
+    order = list(range(5000))
+    random.Random(4).shuffle(order)
+    path = spark.createDataFrame(list(zip(order, order[1:])), "src long, dst long")
+    found = connected_components(path).collect()
+    assert len(found) == 5000 and {r.component for r in found} == {0}
+
+
+def test_join_counted_is_a_join(spark):
+    rng = random.Random(6)
+    keys = [0] * 4000 + [rng.randrange(1, 3000) for _ in range(3000)] + [None] * 5
+    rows = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "i long, k long")
+    groups = rows.where("k IS NOT NULL").groupBy("k").agg(F.count("*").alias("size"), F.min("i").alias("first"))
+    first = {}
+    for i, k in enumerate(keys):
+        first.setdefault(k, i)
+    got = {r.i: r["first"] for r in join_counted(rows, groups, "k").collect()}
+    assert got == {i: first[k] for i, k in enumerate(keys) if k is not None}
+    assert join_counted(rows.limit(0), groups.limit(0), "k").count() == 0
 
 
 def test_components_and_chain_split(spark):
@@ -139,8 +155,9 @@ def test_components_and_chain_split(spark):
         for a, b in edges:
             label[a] = label[b] = min(label[a], label[b])
     table = spark.createDataFrame(edges, "src long, dst long")
-    for small in (0, 1000):
-        assert {r.node: r.component for r in connected_components(table, small=small).collect()} == label
+    assert {r.node: r.component for r in connected_components(table).collect()} == label
+    odd = spark.createDataFrame([(1, None), (None, 2), (3, 3)], "src long, dst long")
+    assert [tuple(r) for r in connected_components(odd).collect()] == [(3, 3)]
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
     chain = spark.createDataFrame([(i, i + 1, "semantic", 0.905) for i in range(60)], "a long, b long, level string, score double")
     assert T.split_stories(chain).select("component").distinct().count() == 61
@@ -236,6 +253,105 @@ def test_agreement(spark):
 # --- resolution, model output, topics
 
 
+GOOD = '{"summary": "s", "entities": [{"name": "A", "type": "ORG", "role": "actor", "sentiment": "pos", "normalized_id": "a"}], "topic": "спорт", "event_type": "прочее", "is_opinion": false, "confidence": 0.5}'
+RAW = {
+    1: GOOD,
+    2: GOOD.replace('"confidence": 0.5', '"confidence": 1.5'),
+    3: GOOD.replace('"topic": "спорт"', '"topic": "погода"'),
+    4: GOOD.replace('"is_opinion": false', '"is_opinion": false, "extra": 1'),
+    5: GOOD.replace('"role": "actor", ', ""),
+    6: '{"summary": "cut',
+    7: GOOD.replace('"type": "ORG"', '"type": "ANIMAL"'),
+    8: GOOD.replace('"summary": "s"', f'"summary": "{"s" * 401}"'),
+    9: '{"summary": "", "entities": [], "topic": "культура", "event_type": "заявление", "is_opinion": true, "confidence": 0}',
+    10: GOOD.replace('"normalized_id": "a"', '"normalized_id": "a", "more": 2'),
+}
+
+
+def test_answers_are_validated(spark):
+    rows = spark.createDataFrame([*RAW.items(), (11, None), (12, "")], "k long, raw string")
+    assert {r.k for r in rows.select("k", E.is_valid(F.col("raw")).alias("ok")).where("ok").collect()} == {1, 9}
+
+
+def test_flags(spark):
+    figures = "0.9 AS valid_share, 0.5 AS topic_share, 0.6 AS event_share, 'neu' AS sentiment_top, 0.85 AS sentiment_share, 0.1 AS empty_share, 0.05 AS unseen_share, 0.02 AS truncated_share, 3 AS topics_used, 11 AS topics_known, 0.2 AS any_changed"
+    assert {r.flag for r in E.flags(spark.sql(f"SELECT {figures}")).collect()} == {"invalid_json", "neutral_degenerate", "truncated", "few_topics"}
+
+
+def test_names_seen(spark):
+    names = {"Сбербанк": True, "Сбербанка России": True, "ВТБ": False, "": False, "Берег": True, "дом на": False}
+    got = spark.createDataFrame([(k,) for k in names], "name string").select("name", X.seen_in_text(F.col("name"), F.lit("сбербанк и россия на берегу")).alias("seen"))
+    assert {r.name: r.seen for r in got.collect()} == names
+
+
+def test_geo_conflicts(spark):
+    rows = [(0, "ORG", "мчс"), (1, "ORG", "гу мчс по москва"), (2, "ORG", "мчс россия"), (3, "LOC", "москва"), (4, "ORG", "комитет по чрезвычайный ситуация"), (5, "ORG", "гу мчс по свердловский область")]
+    forms = spark.createDataFrame(rows, "form_id long, type string, alias_key string")
+    every = [(a, b) for a in range(6) for b in range(a + 1, 6)]
+    edges = spark.createDataFrame([(a, b, ["emb"], 0.9) for a, b in every], "a long, b long, channels array<string>, score double")
+    places = spark.createDataFrame([("москва",), ("москва",)], "alias_key string")
+    mark = {0: "", 1: "москва", 2: "", 4: "", 5: "область свердловский"}
+    got = {(r.a, r.b) for r in M.drop_geo_conflicts(edges, forms, places).collect()}
+    assert got == {(a, b) for a, b in every if a == 3 or b == 3 or mark[a] == mark[b]}
+
+
+def test_candidate_groups_against_brute_force(spark):
+    rng = random.Random(3)
+    edges = [(a, b, ["emb"] if rng.random() < 0.8 else ["emb", "llm_vote"], round(rng.uniform(0.85, 1), 3)) for a in range(60) for b in range(a + 1, 60) if rng.random() < 0.05]
+
+    def parts(kept):
+        label = {x: x for a, b, *_ in edges for x in (a, b)}
+        for _ in label:
+            for a, b, *_ in kept:
+                label[a] = label[b] = min(label[a], label[b])
+        return label
+
+    kept, threshold = edges, 0.85
+    while threshold < 0.99:
+        label = parts(kept)
+        size = {c: sum(x == c for x in label.values()) for c in label.values()}
+        threshold = round(threshold + 0.02, 4)
+        kept = [e for e in kept if size[label[e[0]]] <= 6 or "llm_vote" in e[2] or e[3] >= threshold]
+    label, want = parts(kept), set()
+    for c in set(label.values()):
+        members = sorted(x for x in label if label[x] == c)
+        blocks = [members[k : k + 6] for k in range(0, len(members), 6)]
+        want |= {(x, block[0]) for block in blocks if len(block) > 1 for x in block}
+    table = spark.createDataFrame(edges, "a long, b long, channels array<string>, score double")
+    assert {(r.form_id, r.group) for r in R.candidate_groups(table, max_size=6).collect()} == want
+
+
+def test_knn_leaves_out_unsound_vectors(spark):
+    rows = [(1, 0, [1.0, 0.0]), (2, 0, [0.9, 0.1]), (3, 0, None), (4, 0, [None, 1.0]), (5, 0, [float("nan"), 1.0]), (6, 0, []), (7, 0, [1.0]), (None, 0, [1.0, 0.0]), (8, None, [1.0, 0.0]), (9, 1, [1.0, 0.0])]
+    table = spark.createDataFrame(rows, "id long, kind int, v array<double>")
+    assert [(r.a, r.b) for r in D.knn_pairs(table, threshold=0.5).collect()] == [(1, 2)]
+    assert D.knn_pairs(table.limit(0)).count() == 0
+
+
+def test_duplicates_of_odd_texts(spark):
+    same = "one two three four five six"
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "..."), (4, same), (5, same), (6, "short text"), (7, None)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in D.exact_groups(docs).where("size > 1").collect()) == [4, 5]
+    sets = D.shingle_sets(docs)
+    assert D.near_pairs(sets).count() == D.lsh_pairs(sets).count() == 0
+    assert D.exact_groups(docs.limit(0)).count() == D.near_pairs(D.shingle_sets(docs.limit(0))).count() == 0
+
+
+def test_batches_next_fit(spark):
+    rng = random.Random(8)
+    sizes = [("a", g, rng.randrange(1, 60)) for g in range(50)] + [("b", 100, 250), ("b", 101, 1)]
+    want, kind, batch, fill = [], None, 0, 0
+    for t, g, n in sizes:
+        if t != kind:
+            kind, batch, fill = t, 0, 0
+        if fill and fill + n > 100:
+            batch, fill = batch + 1, 0
+        want.append((t, batch, g, fill))
+        fill += n
+    got = R.make_batches(spark.createDataFrame(sizes, "type string, group long, n long"))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_groups_are_cut(spark):
     edges = spark.createDataFrame([(i, i + 1, ["emb"] if i % 2 else ["emb", "llm_vote"], 0.86) for i in range(30)], "a long, b long, channels array<string>, score double")
     got = R.candidate_groups(edges).collect()
