@@ -1,13 +1,16 @@
 """LM scoring by a weighted backoff automaton.
 
-The states are the root and one for each word; a smoothed bigram is an arc from its first
-word's state, a failure arc leads to the root, whose arcs are the smoothed unigrams. A text is
-read once from left to right: where the state has an arc for the next word its weight is
-added, else the failure arc's and the root arc's, and the word's state is the next.
+States are the root, one for each word, and one for each pair of words that the training texts
+hold STATE times or more. An arc out of a state is a smoothed n-gram: its weight is the log
+probability of the next word, and it leads to the longest state that the text then ends in.
+Failure arcs lead from a pair's state to that of its second word and from a word's state to the
+root, whose arcs are the smoothed unigrams. Texts are read once from left to right, all texts of
+a batch together: each carries its state, and adds up the weights of the arcs that it takes.
 
 Counts are taken over all training documents. Each batch of texts asks shards of the n-gram
-space for the counts of its own n-grams and builds the part of the automaton that it can reach,
-so nothing that grows with the corpus is ever in one place.
+space for the counts of its own n-grams, first of words and pairs, then of the triples that
+leave its states, and builds the part of the automaton that it can reach, so nothing that grows
+with the corpus is ever in one place.
 """
 
 from __future__ import annotations
@@ -16,207 +19,288 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as ex
 from .common import held_out
+from .exchange import ddl
 
 FOLDS = 7
-#: Weight of a seen context's own statistics: TRUST * c / (c + HALF) after c occurrences.
-TRUST, HALF = 0.8, 10.0
+#: Weight of a context's own statistics, by its order: TRUST * c / (c + HALF) after c occurrences.
+TRUST, HALF = {1: 0.8, 2: 0.5}, 10.0
+#: Occurrences from which on a pair of words is a state.
+STATE = 16
 #: What stands for a text's end, and for the context at its start; no word can hold a line feed.
 END, START = b"\n", b"\n\n"
-_END_KEY = np.uint64(xxhash.xxh3_64_intdigest(END))
+ROOT = -1
+#: The two lowest bits of a key are the length of its n-gram.
+_WORD, _PAIR, _TRIPLE = np.uint64(1), np.uint64(2), np.uint64(3)
+
+
+def _tagged(hashes: np.ndarray, tag: np.uint64) -> np.ndarray:
+    return hashes & ~np.uint64(3) | tag
+
+
+_END_KEY = _tagged(np.array([xxhash.xxh3_64_intdigest(END)], np.uint64), _WORD)[0]
+
+
+class NgramCounts(ex.Counts):
+    """Sums of counts; the totals are training tokens, distinct training tokens and training texts."""
+
+    everywhere = True
+
+    def totals(self, keys: np.ndarray, sums: np.ndarray) -> np.ndarray:
+        words = keys & np.uint64(3) == _WORD
+        return np.array([sums[words].sum(), (sums[words] > 0).sum(), sums[keys == _END_KEY].sum()], np.int64)
+
+
+def own_share(order: int, count: np.ndarray) -> np.ndarray:
+    """The weight of a context's own statistics."""
+    return TRUST[order] * count / (count + HALF)
 
 
 @dataclass
 class Automaton:
-    """Arcs out of word states, failure arcs and root arcs of a set of numbered words.
-
-    ``pairs`` holds first * size + second, sorted; ``arcs`` is NaN for pairs without an arc. The
-    state at a text's start is the number ``size``.
-    """
+    """States: 0 to words - 1 for words (START included), then the pairs; ``keys`` is state * words + word of each arc, sorted."""
 
-    size: int
-    pairs: np.ndarray
-    arcs: np.ndarray
-    failure: np.ndarray
+    words: int
     root: np.ndarray
+    failure: np.ndarray
+    fall: np.ndarray
+    keys: np.ndarray
+    weight: np.ndarray
+    target: np.ndarray
 
     @classmethod
-    def build(cls, count: np.ndarray, pairs: np.ndarray, pair_count: np.ndarray, starts: int, total: int, distinct: int) -> Automaton:
-        """From counts of words, of pairs and of training texts, and the corpus totals.
+    def build(cls, grams: "Grams", total: int, distinct: int) -> "Automaton":
+        """From the counts of a batch's n-grams and the corpus totals.
 
         P(w) = (c(w) + 1) / (N + V + 1), one share being left for words never seen;
-        P(w | u) = r c(u, w) / c(u) + (1 - r) P(w) with r = TRUST c(u) / (c(u) + HALF).
+        P(w | u) = r c(u, w) / c(u) + (1 - r) P(w); P(w | u, v) = r c(u, v, w) / c(u, v) + (1 - r) P(w | v),
+        where the state (u, v) exists, with r = own_share() of the context's count.
         """
-        size = len(count)
-        root = (count + 1) / (total + 1 * (distinct + 1))
-        context = np.append(count, starts).astype(float)
-        trust = TRUST * context / (context + HALF)
-        first, second = pairs // size, pairs % size
-        with np.errstate(divide="ignore", invalid="ignore"):
-            p = trust[first] * pair_count / context[first] + (1 - trust[first]) * root[second]
-        arcs = np.where(pair_count > 0, np.log10(p), np.nan)
-        return cls(size, pairs, arcs, np.log10(1 - trust), np.log10(root))
-
-    def step(self, state: int, word: int) -> tuple[int, float]:
-        """The next state and the weight of getting there."""
-        key = state * self.size + word
-        at = int(np.searchsorted(self.pairs, key))
-        if at < len(self.pairs) and self.pairs[at] == key and not np.isnan(self.arcs[at]):
-            return word, float(self.arcs[at])
-        return word, float(self.failure[state] + self.root[word])
-
-    def walk(self, words: np.ndarray, state: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        """Weights of all steps of a traversal: each word, the state before it and the number of their pair."""
-        arc = self.arcs[pair]
-        return np.where(np.isnan(arc), self.failure[state] + self.root[words], arc)
+        n = len(grams.count)
+        root = (grams.count + 1) / (total + 1 * (distinct + 1))
+        first, second = grams.pair // n, grams.pair % n
+        context = grams.context.astype(float)
+        share = own_share(1, context)
+        seen = np.flatnonzero(grams.pair_count > 0)
+        u, w = first[seen], second[seen]
+        p2 = share[u] * grams.pair_count[seen] / context[u] + (1 - share[u]) * root[w]
+        # the state that a text ends in after a pair
+        after = second.copy()
+        after[grams.state] = n + np.arange(len(grams.state))
+        held = grams.pair_count[grams.state].astype(float)
+        share3 = own_share(2, held)
+        full = np.flatnonzero(grams.triple_count > 0)
+        s, last = grams.triple[full] // len(grams.pair), grams.triple[full] % len(grams.pair)
+        lower = np.zeros(len(grams.pair))
+        lower[seen] = p2
+        p3 = share3[s] * grams.triple_count[full] / held[s] + (1 - share3[s]) * lower[last]
+        keys = np.concatenate([grams.pair[seen], (n + s) * n + second[last]])
+        order = np.argsort(keys)
+        return cls(
+            n,
+            np.log10(root),
+            np.log10(np.concatenate([1 - share, 1 - share3])),
+            np.concatenate([np.full(n, ROOT), second[grams.state]]),
+            keys[order],
+            np.log10(np.concatenate([p2, p3]))[order],
+            np.concatenate([after[seen], after[last]])[order],
+        )
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Next states and weights of reading one word in each of many states, over failure arcs where there is no other."""
+        at, weight, out = state.copy(), np.zeros(len(state)), word.copy()
+        todo = np.arange(len(state))
+        while len(todo):
+            here, read = at[todo], word[todo]
+            done = here == ROOT
+            weight[todo[done]] += self.root[read[done]]
+            todo, here, read = todo[~done], here[~done], read[~done]
+            key = here * self.words + read
+            arc = np.searchsorted(self.keys, key)
+            hit = arc < len(self.keys)
+            hit[hit] = self.keys[arc[hit]] == key[hit]
+            weight[todo[hit]] += self.weight[arc[hit]]
+            out[todo[hit]] = self.target[arc[hit]]
+            todo, here = todo[~hit], here[~hit]
+            weight[todo] += self.failure[here]
+            at[todo] = self.fall[here]
+        return out, weight
+
+    def score(self, words: np.ndarray, begin: np.ndarray, length: np.ndarray, start: int) -> np.ndarray:
+        """Log10 probability of each text by one traversal from left to right, all texts together."""
+        by_length = np.argsort(-length, kind="stable")
+        first, size = begin[by_length], length[by_length]
+        state, total = np.full(len(first), start, np.int64), np.zeros(len(first))
+        for k in range(int(size.max(initial=0))):
+            on = int(np.searchsorted(-size, -k, "left"))  # texts longer than k
+            state[:on], weight = self.step(state[:on], words[first[:on] + k])
+            total[:on] += weight
+        out = np.empty(len(first))
+        out[by_length] = total
+        return out
 
 
 @dataclass
-class Batch:
-    """Numbered texts of a batch: tokens end to end, each text's end included."""
+class Grams:
+    """Numbered n-grams of a batch with their corpus counts, as far as they are known yet.
+
+    ``pair`` is first * words + second, sorted; ``state`` the pairs that are states; ``triple`` is
+    state * pairs + last pair, sorted; ``context`` counts what follows each word.
+    """
 
-    words: np.ndarray
+    count: np.ndarray
+    context: np.ndarray
+    pair: np.ndarray
+    pair_count: np.ndarray
     state: np.ndarray
-    start: np.ndarray
-    length: np.ndarray
-    trained: np.ndarray
-    hashes: np.ndarray
+    triple: np.ndarray
+    triple_count: np.ndarray
 
-    @classmethod
-    def read(cls, texts: list[bytes | None], held: np.ndarray) -> Batch:
+
+class Batch:
+    """Texts of a batch as numbered tokens, each with START before and END after its words."""
+
+    def __init__(self, texts: list[bytes | None], held: np.ndarray):
         ids = ex.Ids()
-        end = ids[END]
+        self.start, self.end = ids[START], ids[END]
         parts = []
         for text in texts:
-            words = (text or b"").lower().split()
-            words.append(END)
-            parts.append(ids.of(words))
+            parts.append(ids.of([START, *(text or b"").lower().split(), END]))
         length = np.array([len(p) for p in parts], np.int64)
-        words = np.concatenate(parts or [np.zeros(0, np.int32)]).astype(np.int64)
-        start = np.cumsum(length) - length
-        state = np.empty_like(words)
-        state[1:] = words[:-1]
-        state[start] = len(ids)
-        assert end == 0
-        return cls(words, state, start, length, np.repeat(~held, length), ids.hashes())
-
-    def unigrams(self) -> tuple[np.ndarray, np.ndarray]:
-        return self.hashes, np.bincount(self.words[self.trained], minlength=len(self.hashes))
-
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct pairs as sorted numbers, their keys and training counts, and which pair each step is."""
-        size = len(self.hashes)
-        number = self.state * size + self.words
-        order = np.argsort(number)
-        ranked = number[order]
-        new = np.ones(len(ranked), bool)
-        new[1:] = ranked[1:] != ranked[:-1]
-        pair = np.empty(len(ranked), np.int64)
-        pair[order] = np.cumsum(new) - 1
-        distinct = ranked[new]
-        count = np.bincount(pair[self.trained], minlength=len(distinct))
-        hashes = np.append(self.hashes, np.uint64(xxhash.xxh3_64_intdigest(START)))
-        keys = ex.mix(hashes[distinct // size] * np.uint64(0xD6E8FEB86659FD93) + self.hashes[distinct % size])
-        return distinct, keys, count, pair
-
-
-def _ask(batch: int, texts: list, held: np.ndarray, shards: int) -> dict[str, list]:
-    read = Batch.read(texts, held)
-    uni, uni_count = read.unigrams()
-    _, bi, bi_count, _ = read.pairs()
-    rows: dict[str, list] = {k: [] for k in ("shard", "batch", "uni", "uni_count", "bi", "bi_count")}
-    packed = []
-    for keys, count in ((uni, uni_count), (bi, bi_count)):
-        keys, count = ex.distinct_sums(keys, count)
-        packed.append((keys, count, ex.cuts(keys, shards)))
-    for s in range(shards):
-        rows["shard"].append(s)
-        rows["batch"].append(batch)
-        for name, (keys, count, cut) in zip(("uni", "bi"), packed):
-            rows[name].append(ex.pack_keys(keys[cut[s] : cut[s + 1]]))
-            rows[f"{name}_count"].append(ex.pack_counts(count[cut[s] : cut[s + 1]]))
-    return rows
-
-
-_ASK = pa.schema([("shard", pa.int32()), ("batch", pa.int32()), ("uni", pa.binary()), ("uni_count", pa.binary()), ("bi", pa.binary()), ("bi_count", pa.binary())])
-_TELL = pa.schema([("batch", pa.int32()), ("shard", pa.int32()), ("uni_count", pa.binary()), ("bi_count", pa.binary()), ("n", pa.int64()), ("v", pa.int64()), ("ends", pa.int64())])
+        self.seq = np.concatenate(parts or [np.zeros(0, np.int32)]).astype(np.int64)
+        self.begin, self.length = np.cumsum(length) - length + 1, length - 1
+        self.trained = np.repeat(~held, length)
+        self.hashes = ids.hashes()
+        self.words = len(self.hashes)
+        token = np.ones(len(self.seq), bool)
+        token[self.begin - 1] = False
+        self.at = np.flatnonzero(token)  # places of tokens that are read, START being none
+        self.count = np.bincount(self.seq[self.at][self.trained[self.at]], minlength=self.words)
+        self.pair, self.pair_of = np.unique(self.seq[self.at - 1] * self.words + self.seq[self.at], return_inverse=True)
+        self.own_pairs = np.bincount(self.pair_of[self.trained[self.at]], minlength=len(self.pair))
+        first, second = self.hashes[self.pair // max(1, self.words)], self.hashes[self.pair % max(1, self.words)]
+        self.pair_hash = ex.mix(first * np.uint64(0xD6E8FEB86659FD93) + second)
+
+    def first_asks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted keys of words and pairs, their training counts here, and where each word's and pair's key is."""
+        keys, where = np.unique(np.concatenate([_tagged(self.hashes, _WORD), _tagged(self.pair_hash, _PAIR)]), return_inverse=True)
+        counts = np.zeros(len(keys), np.int64)
+        np.add.at(counts, where, np.concatenate([self.count, self.own_pairs]))
+        return keys, counts, where
+
+    def grams(self, told: pa.Table, where: np.ndarray, state: int) -> tuple[Grams, np.ndarray, np.ndarray]:
+        """What the first answers tell, with the triples out of states; corpus totals; the triple that each token ends, or -1."""
+        known, totals = ex.told_to(_COUNTS, told)
+        known = known[where]
+        count, pair_count = known[: self.words], known[self.words :]
+        context = count.copy()
+        context[self.start], context[self.end] = totals[2], 0  # nothing follows an end
+        states = np.flatnonzero((pair_count >= state) & (self.pair % self.words != self.end))
+        number = np.full(len(self.pair), -1)
+        number[states] = np.arange(len(states))
+        # tokens whose two words before are a state, and whose last pair was seen
+        pair_at = np.full(len(self.seq), -1)
+        pair_at[self.at] = self.pair_of
+        before, last = pair_at[self.at - 1], self.pair_of
+        live = (before >= 0) & (pair_count[last] > 0)
+        live[live] = number[before[live]] >= 0
+        triple, of = np.unique(number[before[live]] * len(self.pair) + last[live], return_inverse=True)
+        triple_of = np.full(len(self.at), -1)
+        triple_of[live] = of
+        return Grams(count, context, self.pair, pair_count, states, triple, np.zeros(0, np.int64)), totals, triple_of
+
+    def second_asks(self, grams: Grams, triple_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted keys of the triples, their training counts here, and where each one's key is."""
+        own = np.bincount(triple_of[(triple_of >= 0) & self.trained[self.at]], minlength=len(grams.triple))
+        pairs = max(1, len(grams.pair))
+        hashed = ex.mix(self.pair_hash[grams.state[grams.triple // pairs]] * np.uint64(0x2545F4914F6CDD1D) + self.hashes[grams.pair[grams.triple % pairs] % max(1, self.words)])
+        keys, where = np.unique(_tagged(hashed, _TRIPLE), return_inverse=True)
+        counts = np.zeros(len(keys), np.int64)
+        np.add.at(counts, where, own)
+        return keys, counts, where
+
+
+_COUNTS = NgramCounts()
+_TRIPLES = ex.Counts()
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-_DDL = {"string": "string", "int32": "int", "int64": "long", "binary": "binary", "bool": "boolean", "double": "double"}
-
-
-def ddl(schema: pa.Schema) -> str:
-    return ", ".join(f"{f.name} {_DDL[str(f.type)]}" for f in schema)
-
-
-def _tell(table: pa.Table) -> pa.Table:
-    """A shard's answer to each batch, with the shard's share of the corpus totals."""
-    asked = table.to_pydict()
-    out: dict[str, list] = {f.name: [] for f in _TELL}
-    totals = {}
-    for name in ("uni", "bi"):
-        distinct, sums, where = ex.combine((ex.unpack_keys(k), ex.unpack_counts(c)) for k, c in zip(asked[name], asked[f"{name}_count"]))
-        totals[name] = (distinct, sums)
-        out[f"{name}_count"] = [ex.pack_counts(sums[w]) for w in where]
-    keys, sums = totals["uni"]
-    at = np.searchsorted(keys, _END_KEY)
-    ends = int(sums[at]) if at < len(keys) and keys[at] == _END_KEY else 0
-    rows = len(asked["batch"])
-    out |= {"batch": asked["batch"], "shard": asked["shard"], "n": [int(sums.sum())] * rows, "v": [int((sums > 0).sum())] * rows, "ends": [ends] * rows}
-    return pa.table(out, _TELL)
-
-
-def _score(texts: list, doc_ids: pa.Array, held: np.ndarray, answers: pa.Table) -> pa.Table:
-    read = Batch.read(texts, held)
-    told = answers.sort_by("shard").to_pydict()
-    total, distinct, starts = sum(told["n"]), sum(told["v"]), sum(told["ends"])
-    size = len(read.hashes)
-
-    def counts(keys: np.ndarray, blobs: list[bytes]) -> np.ndarray:
-        """The answers, which are in the order of distinct keys, in the order of ``keys``."""
-        every = np.concatenate([ex.unpack_counts(b) for b in blobs])
-        order = np.argsort(keys)
-        ranked = keys[order]
-        new = np.ones(len(ranked), bool)
-        new[1:] = ranked[1:] != ranked[:-1]
-        out = np.empty(len(keys), np.int64)
-        out[order] = every[np.cumsum(new) - 1]
-        return out
 
-    count = counts(read.hashes, told["uni_count"])
-    number, keys, _, pair = read.pairs()
-    automaton = Automaton.build(count, number, counts(keys, told["bi_count"]), starts, total, distinct)
-    weights = automaton.walk(read.words, read.state, pair)
-    base = automaton.root[read.words]
-    known = (count > 0)[read.words].astype(np.int64)
-    sums = [np.add.reduceat(x, read.start) if len(x) else x for x in (known, base, weights)]
-    n = len(held)
-    return pa.table([doc_ids, pa.array(held), pa.array(read.length), pa.array(sums[0]), pa.array(np.full(n, total)), pa.array(sums[1]), pa.array(sums[2])], schema=_OUT)
+
+def _read(table: pa.Table) -> Batch:
+    return Batch(table.column("text").to_pylist(), table.column("held").to_numpy())
+
+
+def _score(table: pa.Table, first: pa.Table, second: pa.Table, state: int) -> pa.Table:
+    batch = _read(table)
+    grams, totals, triple_of = batch.grams(first, batch.first_asks()[2], state)
+    known, _ = ex.told_to(_TRIPLES, second)
+    grams.triple_count = known[batch.second_asks(grams, triple_of)[2]]
+    del triple_of, known
+    automaton = Automaton.build(grams, int(totals[0]), int(totals[1]))
+    score = automaton.score(batch.seq, batch.begin, batch.length, batch.start)
+    tokens = batch.seq[batch.at]
+    starts = np.cumsum(batch.length) - batch.length
+    n_known = np.add.reduceat((grams.count > 0)[tokens].astype(np.int64), starts)
+    base = np.add.reduceat(automaton.root[tokens], starts)
+    n = len(score)
+    doc_id, held = table.column("doc_id").combine_chunks(), table.column("held").combine_chunks()
+    return pa.table([doc_id, held, pa.array(batch.length), pa.array(n_known), pa.array(np.full(n, totals[0])), pa.array(base), pa.array(score)], schema=_OUT)
 
 
-def score(docs: DataFrame, folds: int = FOLDS, batch_bytes: int = ex.BATCH_BYTES) -> DataFrame:
+def score(docs: DataFrame, folds: int = FOLDS, state: int = STATE, batch_bytes: int = ex.BATCH_BYTES, fan: int = ex.FAN) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Null and empty texts consist of an end alone; long texts are read whole; a repeated row
     counts each time; a null doc_id has fold 0; an empty table gives no rows; other columns
-    are not looked at. n-grams are told apart by 64-bit hashes of their words.
+    are not looked at. n-grams are told apart by 62-bit hashes of their words.
     """
-    batches = shards = ex.batch_count(docs, batch_bytes)
-    rows = ex.dealt(docs, batches, held_out(F.col("doc_id"), folds).alias("held"))
+    batches = ex.batch_count(docs, batch_bytes)
+    route = ex.Route.plan(batches, fan)
+    dealt = ex.dealt(docs, batches, held_out(F.col("doc_id"), folds).alias("held"))
+    rows = dealt.rows
 
     def ask(table: pa.Table) -> pa.Table:
-        held = table.column("held").to_numpy()
-        return pa.table(_ask(table.column("batch")[0].as_py(), table.column("text").to_pylist(), held, shards), _ASK)
+        keys, counts, _ = _read(table).first_asks()
+        return ex.asks(_COUNTS, (keys, counts), table.column("number")[0].as_py(), route)
+
+    def ask_again(left: pa.Table, told: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return ex.ask_schema(_TRIPLES).empty_table()
+        batch = _read(left)
+        grams, _, triple_of = batch.grams(told, batch.first_asks()[2], state)
+        keys, counts, _ = batch.second_asks(grams, triple_of)
+        return ex.asks(_TRIPLES, (keys, counts), left.column("number")[0].as_py(), route)
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return _OUT.empty_table()
-        return _score(left.column("text").to_pylist(), left.column("doc_id").combine_chunks(), left.column("held").to_numpy(), right)
-
-    asked = rows.groupBy("batch").applyInArrow(ask, ddl(_ASK))
-    told = asked.groupBy("shard").applyInArrow(_tell, ddl(_TELL))
-    return rows.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(answer, ddl(_OUT))
+        first = right.column("first")
+        return _score(left, right.filter(first), right.filter(pc.invert(first)), state)
+
+    told = dealt.named(ex.exchange(rows.groupBy("batch").applyInArrow(ask, ddl(ex.ask_schema(_COUNTS))), _COUNTS, route))
+    again = rows.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(ask_again, ddl(ex.ask_schema(_TRIPLES)))
+    more = dealt.named(ex.exchange(again, _TRIPLES, route))
+    answers = told.withColumn("first", F.lit(True)).unionByName(more.withColumn("first", F.lit(False)))
+    return rows.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(answer, ddl(_OUT))
+
+
+#: The columns of ``score`` that don't depend on the automaton, for documents as the query reads them.
+BASE_SQL = r"""
+WITH tokens AS (
+  SELECT doc_id, unnest(list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), chr(10))) AS w FROM documents
+), held AS (
+  SELECT doc_id, held_out FROM folds
+), counts AS (
+  SELECT w, count(*) AS c FROM tokens JOIN held USING (doc_id) WHERE NOT held_out GROUP BY w
+), totals AS (
+  SELECT sum(c) AS n, count(*) AS v FROM counts
+)
+SELECT doc_id, any_value(held_out) AS held_out, count(*) AS n_tokens, count(c) AS n_known, any_value(n)::BIGINT AS train_tokens,
+  sum(log10((coalesce(c, 0) + 1)::DOUBLE / (n + 1 * (v + 1))::DOUBLE)) AS base_score
+FROM tokens JOIN held USING (doc_id) LEFT JOIN counts USING (w), totals GROUP BY doc_id
+"""

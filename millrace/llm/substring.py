@@ -3,25 +3,28 @@
 A window of words belongs to the shard of its anchor, the word 5-gram of least hash in it, so
 equal windows meet in one shard and each shard indexes only what is dealt to it. Anchors that
 one document alone holds settle their windows at once. The others' windows travel as segments,
-maximal runs of windows of one anchor; a shard builds a compressed FM-index over its distinct
-segments and streams them against it: matching statistics of a window's length or more give
-the interval of its occurrences, and the least doc_id in the interval is the answer.
-Windows of anchors that very many documents hold are dealt one by one, by their own hash.
+maximal runs of windows of one anchor. A shard builds a compressed FM-index over its distinct
+segments, with the least doc_id of each, and streams the segments of the documents against it:
+where the matching statistic reaches a window's length, the interval of its occurrences is
+reported, and the least doc_id in the interval is the answer. Windows of anchors that very many
+documents hold are dealt one by one, by their own hash.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import exchange as ex
+from .exchange import ddl
 from .fmindex import FMIndex
-from .lm import ddl
 
 WINDOW = 13
 ANCHOR = 5
@@ -89,10 +92,6 @@ class Runs:
     anchor: np.ndarray
 
 
-_ASK = pa.schema([("shard", pa.int32()), ("batch", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
-_TELL = pa.schema([("batch", pa.int32()), ("shard", pa.int32()), ("counts", pa.binary())])
-_SEGMENTS = pa.schema([("shard", pa.int32()), ("batch", pa.int32()), ("lengths", pa.binary()), ("words", pa.binary()), ("least", pa.binary())])
-_FOUND = pa.schema([("batch", pa.int32()), ("shard", pa.int32()), ("least", pa.binary())])
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 
 
@@ -107,10 +106,10 @@ def _holders(batch: Batch, runs: Runs) -> tuple[np.ndarray, np.ndarray]:
 
 
 @dataclass
-class Segments:
-    """Distinct segments of a batch, ordered by shard, and where each window's answer will be."""
+class Pieces:
+    """Distinct segments of a batch in the order of their keys, and where each window's answer will be."""
 
-    shard: np.ndarray
+    key: np.ndarray
     start: np.ndarray
     length: np.ndarray
     least: np.ndarray
@@ -118,13 +117,13 @@ class Segments:
     answer: np.ndarray
 
     @classmethod
-    def cut(cls, batch: Batch, runs: Runs, counts: np.ndarray, keys: np.ndarray, shards: int, hot: int) -> "Segments":
+    def cut(cls, batch: Batch, runs: Runs, counts: np.ndarray, keys: np.ndarray, hot: int) -> "Pieces":
         held = counts[np.searchsorted(keys, runs.anchor)] if len(keys) else np.zeros(0, np.int64)
         live = held > 1
         first, windows, anchor, alone = runs.start[live], runs.windows[live], runs.anchor[live], held[live] > hot
         if not len(first):
             none = np.zeros(0, np.int64)
-            return cls(none, none, none, none, none, none)
+            return cls(none.view(np.uint64), none, none, none, none, none)
         # windows of hot anchors are segments of their own
         pieces = np.where(alone, windows, 1)
         start = np.repeat(first, pieces) + (np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces))
@@ -137,136 +136,149 @@ class Segments:
         for k in range(batch.window):
             whole = whole * np.uint64(0xD6E8FEB86659FD93) + batch.hashes[at + k]
         whole = ex.mix(whole)
-        target = np.where(alone, whole[head], ex.mix(anchor))
+        key = np.where(alone, whole[head], ex.mix(anchor))
         # segments of equal words: a hash over the window hashes in order
         content = np.add.reduceat(ex.mix(whole + place.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)), head)
         content = ex.mix(content + windows.astype(np.uint64))
-        shard = ex.shard_of(target, shards)
-        order = np.lexsort((batch.doc_id[batch.row[start]], content, shard))
+        order = np.lexsort((batch.doc_id[batch.row[start]], content, key))
         first = np.ones(len(order), bool)
-        first[1:] = (content[order][1:] != content[order][:-1]) | (shard[order][1:] != shard[order][:-1])
+        first[1:] = (content[order][1:] != content[order][:-1]) | (key[order][1:] != key[order][:-1])
         group = np.cumsum(first) - 1
         of_segment = np.empty(len(order), np.int64)
         of_segment[order] = group
         pick = order[first]
         offset = np.cumsum(windows[pick]) - windows[pick]
         answer = np.repeat(offset[of_segment], windows) + place
-        return cls(shard[pick], start[pick], windows[pick] + batch.window - 1, batch.doc_id[batch.row[start[pick]]], at, answer)
+        return cls(key[pick], start[pick], windows[pick] + batch.window - 1, batch.doc_id[batch.row[start[pick]]], at, answer)
+
+
+def _gather(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Positions start, start + 1, ... of each of many runs, end to end."""
+    return np.repeat(start - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+
+
+@dataclass
+class Merged:
+    """Distinct segments in key order: words end to end and the least doc_id of the documents that hold each."""
+
+    key: np.ndarray
+    length: np.ndarray
+    words: np.ndarray
+    least: np.ndarray
+
+
+class Segments:
+    """Segments on their way to the shard of their key; the answer to each window is a doc_id."""
+
+    fields = ("keys", "lengths", "words", "least")
+    everywhere = False
+
+    def __init__(self, window: int):
+        self.window = window
+
+    def merge(self, rows: list[tuple[bytes, ...]]) -> tuple[Merged, list[np.ndarray]]:
+        key, length, words, least = (np.concatenate([np.frombuffer(r[i], t) for r in rows]) for i, t in enumerate((np.uint64, np.int32, np.uint64, np.int64)))
+        length = length.astype(np.int64)
+        start, windows = np.cumsum(length) - length, length - self.window + 1
+        place = np.arange(len(words)) - np.repeat(start, length)
+        content = np.add.reduceat(ex.mix(words + place.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)), start)
+        content = ex.mix(content + length.astype(np.uint64))
+        order = np.lexsort((least, content, key))
+        first = np.ones(len(order), bool)
+        first[1:] = (content[order][1:] != content[order][:-1]) | (key[order][1:] != key[order][:-1])
+        pick, group = order[first], np.empty(len(order), np.int64)
+        group[order] = np.cumsum(first) - 1
+        merged = Merged(key[pick], length[pick], words[_gather(start[pick], length[pick])], least[pick])
+        mine = np.cumsum(windows[pick]) - windows[pick]
+        ends = np.cumsum([len(r[1]) // 4 for r in rows])[:-1]
+        return merged, [_gather(mine[g], n) for g, n in zip(np.split(group, ends), np.split(windows, ends))]
+
+    def split(self, merged: Merged, cells: int) -> Iterator[tuple[int, tuple[bytes, ...]]]:
+        owner = ex.shard_of(merged.key, cells)
+        first = np.flatnonzero(np.diff(owner, prepend=-1))
+        at = np.concatenate([[0], np.cumsum(merged.length)])
+        for a, b in zip(first, np.append(first[1:], len(owner))):
+            words = merged.words[at[a] : at[b]]
+            yield int(owner[a]), (merged.key[a:b].tobytes(), merged.length[a:b].astype(np.int32).tobytes(), words.tobytes(), merged.least[a:b].tobytes())
 
+    def answer(self, merged: Merged) -> tuple[np.ndarray, np.ndarray]:
+        return least_holders(merged.words, merged.length, merged.least, self.window), np.zeros(0, np.int64)
 
-def _sequence(hashes: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    at = np.repeat(start - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
-    return hashes[at]
+    def pack(self, answers: np.ndarray) -> bytes:
+        return answers.astype(np.int64).tobytes()
 
+    def unpack(self, blob: bytes) -> np.ndarray:
+        return np.frombuffer(blob, np.int64)
 
-def search_segments(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], window: int) -> list[np.ndarray]:
-    """For each part (lengths, words, least doc_id of each segment): the least doc_id of every window.
 
-    Segments of equal words are indexed once, with the least of their ids.
+def least_holders(words: np.ndarray, length: np.ndarray, least: np.ndarray, window: int) -> np.ndarray:
+    """For each window of the segments, in order, the least doc_id whose segments hold its words.
+
+    The segments, end to end in ``words``, are indexed with the ids in ``least`` and streamed
+    against the index. A window that one place alone holds keeps its own segment's id.
     """
-    length = np.concatenate([p[0] for p in parts])
-    words = np.concatenate([p[1] for p in parts])
-    least = np.concatenate([p[2] for p in parts])
-    windows = length - window + 1
-    result_start = np.cumsum(windows) - windows
-    if not len(length):
-        return [np.zeros(0, np.int64) for _ in parts]
-    start = np.cumsum(length) - length
-    place = np.arange(len(words)) - np.repeat(start, length)
+    n = length - window + 1
+    answer = np.repeat(least, n)
+    if not len(answer):
+        return answer
     symbol = np.unique(words, return_inverse=True)[1].astype(np.int64) + 1
-    content = np.add.reduceat(ex.mix(words + place.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)), start)
-    content = ex.mix(content + length.astype(np.uint64))
-    order = np.lexsort((least, content))
-    first = np.concatenate([[True], content[order][1:] != content[order][:-1]])
-    pick, group = order[first], np.empty(len(order), np.int64)
-    group[order] = np.cumsum(first) - 1
-    # the indexed text: distinct segments, a 0 after each
-    own = length[pick] + 1
+    own = length + 1
     begin = np.cumsum(own) - own
     text = np.zeros(int(own.sum()), np.int64)
-    text[np.repeat(begin, length[pick]) + np.arange(int(length[pick].sum())) - np.repeat(np.cumsum(length[pick]) - length[pick], length[pick])] = _sequence(symbol, start[pick], length[pick])
-    index = FMIndex(text)
-    # stream every distinct segment: windows end at each of its words from the window-th on
-    n = windows[pick]
-    ends = np.repeat(begin + window - 1 - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    found, low, high = index.matching_statistics(text, ends, window, part_of_text=True)
-    shared = np.flatnonzero(high - low > 1)
-    assert (found[shared] >= window).all()
-    # the least id over the interval of each window that several segments hold; else the segment's own
-    answer = np.repeat(least[pick], n)
-    owner = np.append(np.repeat(least[pick], own)[index.suffixes], NO_ID)
-    bounds, at = np.unique(low[shared], return_index=True)
-    if len(bounds):
-        minima = np.minimum.reduceat(owner, np.stack([bounds, high[shared][at]], 1).ravel())[::2]
-        answer[shared] = minima[np.searchsorted(bounds, low[shared])]
-    mine = np.cumsum(n) - n
-    every = answer[np.repeat(mine[group] - result_start, windows) + np.arange(int(windows.sum()))]
-    cut = np.cumsum([0, *[int((p[0] - window + 1).sum()) for p in parts]])
-    return [every[a:b] for a, b in zip(cut, cut[1:])]
-
-
-def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot: int = HOT_ANCHOR, batch_bytes: int = ex.BATCH_BYTES) -> DataFrame:
+    text[_gather(begin, length)] = symbol
+    index = FMIndex(text, window, np.repeat(least, own))
+    size, low, _ = index.matching_statistics(text, begin, length)
+    at = _gather(begin, n)
+    reached = np.flatnonzero(size[at] >= window)
+    class_of = index.classes(window).number(low[at[reached]])
+    shared = class_of >= 0
+    answer[reached[shared]] = index.least[class_of[shared]]
+    return answer
+
+
+def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot: int = HOT_ANCHOR, batch_bytes: int = ex.BATCH_BYTES, fan: int = ex.FAN) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_removed, kept_sha256.
 
     A word goes if a window of ``window`` words that covers it also starts in a document of
     smaller doc_id; windows are judged on the input. Null texts have no words; texts of fewer
     words than a window lose none; a repeated doc_id is no smaller than itself; a null doc_id
     is larger than all others; an empty table gives no rows; other columns are not looked at.
-    Words and n-grams are told apart by 64-bit hashes.
+    ``anchor`` is at most ``window``. Words are told apart by 64-bit hashes: a wrong match takes
+    two words of one hash inside equal contexts. Equal segments are told apart by 64 bits within
+    a batch or a shard, whose sizes don't grow with the corpus.
     """
-    batches = shards = ex.batch_count(docs, batch_bytes)
-    rows = ex.dealt(docs, batches)
+    anchor = min(anchor, window)
+    batches = ex.batch_count(docs, batch_bytes)
+    route, counts, segments = ex.Route.plan(batches, fan), ex.Counts(hot + 1), Segments(window)
+    dealt = ex.dealt(docs, batches)
+    rows = dealt.rows
 
     def ask(table: pa.Table) -> pa.Table:
         batch = Batch.read(table, window, anchor)
-        keys, counts = _holders(batch, batch.runs())
-        cut = ex.cuts(keys, shards)
-        b = table.column("batch")[0].as_py()
-        out = [(s, b, ex.pack_keys(keys[cut[s] : cut[s + 1]]), ex.pack_counts(counts[cut[s] : cut[s + 1]])) for s in range(shards)]
-        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out), _ASK)], schema=_ASK)
-
-    def tell(table: pa.Table) -> pa.Table:
-        asked = table.to_pydict()
-        _, sums, where = ex.combine((ex.unpack_keys(k), ex.unpack_counts(c)) for k, c in zip(asked["keys"], asked["counts"]))
-        return pa.table([pa.array(asked["batch"], pa.int32()), pa.array(asked["shard"], pa.int32()), pa.array([ex.pack_counts(np.minimum(sums[w], hot + 1)) for w in where], pa.binary())], schema=_TELL)
-
-    def cut_segments(table: pa.Table, answers: pa.Table) -> tuple[Batch, Segments]:
-        """The batch and its segments, from the answers that are told per shard."""
+        return ex.asks(counts, _holders(batch, batch.runs()), table.column("number")[0].as_py(), route)
+
+    def cut_pieces(table: pa.Table, told: pa.Table) -> tuple[Batch, Pieces]:
         batch = Batch.read(table, window, anchor)
-        told = answers.sort_by("shard").column("counts").to_pylist()
-        counts = np.concatenate([ex.unpack_counts(c) for c in told])
         runs = batch.runs()
-        return batch, Segments.cut(batch, runs, counts, ex.distinct(runs.anchor), shards, hot)
+        return batch, Pieces.cut(batch, runs, ex.told_to(counts, told)[0], ex.distinct(runs.anchor), hot)
 
     def deal(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return _SEGMENTS.empty_table()
-        batch, seg = cut_segments(left, right)
-        cut = np.searchsorted(seg.shard, np.arange(shards + 1))
-        b, out = left.column("batch")[0].as_py(), []
-        for s in range(shards):
-            part = slice(cut[s], cut[s + 1])
-            if cut[s] < cut[s + 1]:
-                words = _sequence(batch.hashes, seg.start[part], seg.length[part])
-                out.append((s, b, seg.length[part].astype(np.int32).tobytes(), words.tobytes(), seg.least[part].tobytes()))
-        return pa.table([pa.array([r[i] for r in out], f.type) for i, f in enumerate(_SEGMENTS)], schema=_SEGMENTS)
-
-    def search(table: pa.Table) -> pa.Table:
-        dealt = table.to_pydict()
-        parts = [(np.frombuffer(n, np.int32).astype(np.int64), np.frombuffer(w, np.uint64), np.frombuffer(m, np.int64)) for n, w, m in zip(dealt["lengths"], dealt["words"], dealt["least"])]
-        found = search_segments(parts, window)
-        return pa.table([pa.array(dealt["batch"], pa.int32()), pa.array(dealt["shard"], pa.int32()), pa.array([f.tobytes() for f in found], pa.binary())], schema=_FOUND)
+            return ex.ask_schema(segments).empty_table()
+        batch, own = cut_pieces(left, right)
+        merged = Merged(own.key, own.length, batch.hashes[_gather(own.start, own.length)], own.least)
+        return ex.asks(segments, merged, left.column("number")[0].as_py(), route)
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return _OUT.empty_table()
-        batch, seg = cut_segments(left, right.filter(pc.is_valid(right.column("counts"))))
-        blobs = right.filter(pc.is_valid(right.column("least"))).sort_by("shard").column("least").to_pylist()
-        least = np.concatenate([np.frombuffer(b, np.int64) for b in blobs] or [np.zeros(0, np.int64)])
+        first = right.column("of_counts")
+        batch, own = cut_pieces(left, right.filter(first))
+        least, _ = ex.told_to(segments, right.filter(pc.invert(first)))
         n = len(batch.hashes)
         gone = np.zeros(n + 1, np.int64)
-        if len(seg.window_at):
-            bad = seg.window_at[least[seg.answer] < batch.doc_id[batch.row[seg.window_at]]]
+        if len(own.window_at):
+            bad = own.window_at[least[own.answer] < batch.doc_id[batch.row[own.window_at]]]
             np.add.at(gone, bad, 1)
             np.add.at(gone, bad + batch.window, -1)
         keep = np.cumsum(gone[:n]) == 0
@@ -277,11 +289,10 @@ def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot: int
             out.append((d, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
         return pa.table([pa.array([r[i] for r in out], f.type) for i, f in enumerate(_OUT)], schema=_OUT)
 
-    asked = rows.groupBy("batch").applyInArrow(ask, ddl(_ASK))
-    told = asked.groupBy("shard").applyInArrow(tell, ddl(_TELL))
-    segments = rows.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(deal, ddl(_SEGMENTS))
-    found = segments.groupBy("shard").applyInArrow(search, ddl(_FOUND))
-    answers = told.selectExpr("batch", "shard", "counts", "CAST(NULL AS BINARY) AS least").unionByName(found.selectExpr("batch", "shard", "CAST(NULL AS BINARY) AS counts", "least"))
+    told = dealt.named(ex.exchange(rows.groupBy("batch").applyInArrow(ask, ddl(ex.ask_schema(counts))), counts, route))
+    cut = rows.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(deal, ddl(ex.ask_schema(segments)))
+    found = dealt.named(ex.exchange(cut, segments, route))
+    answers = told.withColumn("of_counts", F.lit(True)).unionByName(found.withColumn("of_counts", F.lit(False)))
     return rows.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(remove, ddl(_OUT))
 
 

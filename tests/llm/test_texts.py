@@ -5,7 +5,9 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from conftest_llm import plain
@@ -120,48 +122,101 @@ def test_keep_one_of_each_component(spark, docs_of):
 # --- language model
 
 
-def brute_lm(rows):
+def brute_lm(rows, state):
     tokens = {i: WORD.findall(lower(t)) + ["\n"] for i, t in rows}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in tokens}
-    count, pairs, texts = Counter(), Counter(), 0
+    count, pairs, triples = Counter(), Counter(), Counter()
     for i, ts in tokens.items():
         if not held[i]:
             count.update(ts)
+            count["<s>"] += 1
             pairs.update(zip(["<s>", *ts], ts))
-            texts += 1
-    n, v = sum(count.values()), len(count)
+            triples.update(zip(["<s>", *ts], ts, ts[1:]))
+    n, v = sum(count.values()) - count["<s>"], len(count) - ("<s>" in count)
+
+    def p1(w):
+        return (count[w] + 1) / (n + 1 * (v + 1))
+
+    def p2(u, w):
+        r = lm.TRUST[1] * count[u] / (count[u] + lm.HALF)
+        return (r * pairs[u, w] / count[u] if count[u] else 0) + (1 - r) * p1(w)
+
+    def p3(t, u, w):
+        c = pairs[t, u]
+        if c < state:
+            return p2(u, w)
+        r = lm.TRUST[2] * c / (c + lm.HALF)
+        return r * triples[t, u, w] / c + (1 - r) * p2(u, w)
+
     out = []
     for i in sorted(tokens):
-        base = model = 0.0
-        for u, w in zip(["<s>", *tokens[i]], tokens[i]):
-            p = (count[w] + 1) / (n + 1 * (v + 1))
-            c = texts if u == "<s>" else count[u]
-            trust = lm.TRUST * c / (c + lm.HALF)
-            base += math.log10(p)
-            model += math.log10((trust * pairs[u, w] / c if c else 0) + (1 - trust) * p)
-        out.append((i, held[i], len(tokens[i]), sum(count[t] > 0 for t in tokens[i]), n, base, model))
+        ts = ["<s>", *tokens[i]]
+        model = math.log10(p2(ts[0], ts[1])) + sum(math.log10(p3(*x)) for x in zip(ts, ts[1:], ts[2:]))
+        out.append((i, held[i], len(ts) - 1, sum(count[t] > 0 for t in ts[1:]), n, sum(math.log10(p1(w)) for w in ts[1:]), model))
     return out
 
 
-@pytest.mark.parametrize("batch_bytes", [1 << 20, 900])
-def test_lm(spark, docs_of, batch_bytes):
+@pytest.mark.parametrize(("batch_bytes", "fan", "state"), [(1 << 20, 4096, 2), (900, 4096, 3), (300, 3, 2), (300, 2, 1)])
+def test_lm(spark, docs_of, batch_bytes, fan, state):
     rows = made_up(2) + [(1000, None), (1001, "")]
-    got = [tuple(r) for r in lm.score(docs_of(rows), batch_bytes=batch_bytes).orderBy("doc_id").collect()]
-    want = brute_lm(rows)
+    got = [tuple(r) for r in lm.score(docs_of(rows), state=state, batch_bytes=batch_bytes, fan=fan).orderBy("doc_id").collect()]
+    want = brute_lm(rows, state)
     assert [r[:5] for r in got] == [r[:5] for r in want]
     assert np.array([r[5:] for r in got]) == pytest.approx(np.array([r[5:] for r in want]))
 
 
-def test_lm_probabilities_sum_to_one():
-    count = np.array([3, 2, 1])
-    pairs = np.array([0 * 3 + 0, 0 * 3 + 1, 1 * 3 + 0, 1 * 3 + 2, 2 * 3 + 1, 3 * 3 + 0])
-    a = lm.Automaton.build(count, pairs, np.array([1, 2, 1, 1, 1, 2]), 2, 6, 3)
-    unseen = 1 / (6 + 4)
-    for state in range(4):
-        seen = sum(10 ** a.step(state, w)[1] for w in range(3))
-        assert seen + 10 ** a.failure[state] * unseen == pytest.approx(1.0)
-    words, states = np.array([0, 1, 2, 1]), np.array([3, 0, 1, 2])
-    assert a.walk(words, states, np.searchsorted(a.pairs, states * 3 + words)) == pytest.approx([a.step(s, w)[1] for s, w in zip(states, words)])
+def test_lm_base_against_sql(spark, sf001):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf001}/documents.parquet'")
+    ids = [r[0] for r in con.execute("SELECT doc_id FROM documents").fetchall()]
+    con.execute("CREATE TABLE folds (doc_id BIGINT, held_out BOOLEAN)")
+    con.executemany("INSERT INTO folds VALUES (?, ?)", [(i, zlib.crc32(str(i).encode()) % 7 == 2) for i in ids])
+    want = sorted(con.execute(lm.BASE_SQL).fetchall())
+    got = sorted(tuple(r)[:6] for r in lm.score(table(spark, sf001, "documents")).collect())
+    assert [r[:5] for r in got] == [r[:5] for r in want]
+    assert [r[5] for r in got] == pytest.approx([r[5] for r in want])
+
+
+def automaton(state=2):
+    texts = [t.encode() for _, t in made_up(7) if t]
+    batch = lm.Batch(texts, np.zeros(len(texts), bool))
+    keys, counts, where = batch.first_asks()
+    told = pa.table({"part": [0], "answer": [ex.pack_counts(counts)], "share": [lm._COUNTS.totals(keys, counts).tobytes()]})
+    grams, totals, of = batch.grams(told, where, state)
+    keys, counts, where = batch.second_asks(grams, of)
+    grams.triple_count = counts[where]
+    return lm.Automaton.build(grams, int(totals[0]), int(totals[1])), grams, batch, totals
+
+
+def test_lm_probabilities_sum_to_one_in_every_state():
+    a, grams, batch, totals = automaton()
+    words = np.flatnonzero(np.arange(a.words) != batch.start)
+    states = len(a.failure)
+    assert states > a.words + 50
+    unseen = 1 / (int(totals[0]) + int(totals[1]) + 1)
+    for state in range(states):
+        _, weight = a.step(np.full(len(words), state), words)
+        left, at = 0.0, state
+        while at != lm.ROOT:
+            left, at = left + a.failure[at], a.fall[at]
+        assert (10.0**weight).sum() + 10**left * unseen == pytest.approx(1.0)
+
+
+def test_lm_traversal_goes_to_the_longest_state():
+    a, grams, batch, _ = automaton(3)
+    state, words = np.array([batch.start]), batch.seq[batch.begin[0] : batch.begin[0] + batch.length[0]]
+    stateful = {int(p): a.words + k for k, p in enumerate(grams.pair[grams.state])}
+    before = batch.start
+    for w in words.tolist():
+        state, _ = a.step(state, np.array([w]))
+        assert state[0] == stateful.get(before * a.words + w, w)
+        before = w
+
+
+def test_lm_beats_pairs_on_held_out_texts(spark, sf01):
+    docs = table(spark, sf01, "documents")
+    triples, pairs = (lm.score(docs, state=s).where("held_out").groupBy().sum("score").first()[0] for s in (lm.STATE, 1 << 60))
+    assert triples > pairs
 
 
 def test_lm_beats_unigrams_on_held_out_texts(spark, sf01):
@@ -204,11 +259,14 @@ def brute_dedup(rows, window=13):
     return out
 
 
-@pytest.mark.parametrize(("seed", "hot", "batch_bytes"), [(3, 2048, 1 << 20), (4, 2048, 700), (5, 1, 700), (6, 3, 2000)])
-def test_substring(spark, docs_of, seed, hot, batch_bytes):
-    rows = made_up(seed) + [(900, None)]
-    got = plain(substring.dedup(docs_of(rows), hot=hot, batch_bytes=batch_bytes), "doc_id")
-    assert got == brute_dedup(rows)
+@pytest.mark.parametrize(
+    ("seed", "hot", "batch_bytes", "window", "fan"),
+    [(3, 2048, 1 << 20, 13, 4096), (4, 2048, 700, 13, 4096), (5, 1, 700, 13, 4096), (6, 3, 2000, 13, 4096), (7, 2048, 300, 13, 3), (8, 2, 300, 13, 2), (9, 2048, 700, 5, 4096), (10, 2, 700, 17, 4096), (11, 2048, 700, 40, 4), (12, 2, 700, 1, 4096)],
+)
+def test_substring(spark, docs_of, seed, hot, batch_bytes, window, fan):
+    rows = made_up(seed, words=40 if window < 40 else 150) + [(900, None)]
+    got = plain(substring.dedup(docs_of(rows), window=window, hot=hot, batch_bytes=batch_bytes, fan=fan), "doc_id")
+    assert got == brute_dedup(rows, window)
     assert sum(r["n_removed"] for r in got) > 0
 
 
@@ -218,26 +276,66 @@ def test_substring_odd_rows(spark, odd_docs):
     assert substring.dedup(odd_docs.limit(0)).count() == 0
 
 
-def test_fm_index():
+def test_rows_sent_grow_with_the_batches():
+    """Batches over levels of 8 ranges: rows per batch stay within 8 a level, and every answer is the corpus' sum."""
+    rng = np.random.default_rng(1)
+    payload = ex.Counts()
+
+    def sent(batches):
+        route = ex.Route.plan(batches, 8)
+        assert route.fan <= 8 and route.fan**route.levels >= batches
+        own = [np.unique(rng.integers(0, 2**64, 200, dtype=np.uint64)) for _ in range(batches)]
+        level, rows = [(0, b, (k, np.ones(len(k), np.int64))) for b, k in enumerate(own)], 0
+        for n in range(1, route.levels + 1):
+            nodes = defaultdict(list)
+            for home, sender, merged in level:
+                for r in ex.asks(payload, merged, sender, route, n, home).to_pylist():
+                    rows += 1
+                    nodes[r["cell"], r["sender"] // route.fan].append((r["keys"], r["counts"]))
+            assert max(map(len, nodes.values())) <= route.fan
+            level = [(cell, node, payload.merge(got)[0]) for (cell, node), got in nodes.items()]
+        assert sum(len(m[0]) for _, _, m in level) == len(np.unique(np.concatenate(own)))
+        return rows / batches / route.levels
+
+    assert all(sent(n) <= 8 for n in (10, 100, 1000))
+
+
+def test_repeated_rows_are_dealt_to_all_batches(spark):
+    same = spark.createDataFrame([(1, "a b c")] * 4000, "doc_id long, text string")
+    sizes = [r["count"] for r in ex.dealt(same, 8).rows.groupBy("batch").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 700
+
+
+@pytest.mark.parametrize("depth", [1, 5, 13, 40])
+def test_fm_index(depth):
     rng = np.random.default_rng(0)
     text = rng.integers(0, 5, 400)
+    text[100:150] = text[200:250]
     text[-1] = 0
-    index = FMIndex(text)
+    value = rng.integers(0, 1000, 400)
+    index = FMIndex(text, depth, value)
     s = text.tolist()
-    order = sorted(range(400), key=lambda i: (s[i : i + 16] + [-1] * 16)[:16])
-    assert [s[i : i + 16] for i in sorted_suffixes(text)] == [s[i : i + 16] for i in order]
-    query = np.concatenate([text[50:90], rng.integers(1, 5, 100), [7 % 5]])
-    length, low, high = index.matching_statistics(query, np.arange(len(query)), 13)
+    order = sorted(range(400), key=lambda i: (s[i : i + depth] + [-1] * depth)[:depth])
+    assert [s[i : i + depth] for i in sorted_suffixes(text, depth)] == [s[i : i + depth] for i in order]
+    query = np.concatenate([text[50:160], rng.integers(1, 7, 100), [0], text[200:230]])
+    begin, length = np.array([0, 60, 130, 215]), np.array([60, 70, 85, 26])
+    size, low, high = index.matching_statistics(query, begin, length)
     q = query.tolist()
-    inside = {tuple(s[i : i + k]) for k in range(1, 14) for i in range(400 - k + 1)}
-    for e in range(len(q)):
-        want = 0
-        while want < 13 and e - want >= 0 and q[e - want] > 0 and tuple(q[e - want : e + 1]) in inside:
-            want += 1
-        assert length[e] == want
-        if want:
-            found = sorted(index.suffixes[low[e] : high[e]].tolist())
-            assert found == [i for i in range(400) if s[i : i + want] == q[e - want + 1 : e + 1]]
+    inside = defaultdict(list)
+    for k in range(1, depth + 1):
+        for i in range(400 - k + 1):
+            inside[tuple(s[i : i + k])].append(i)
+    for b, n in zip(begin, length):
+        for e in range(b, b + n):
+            want = 0
+            while want < min(depth, b + n - e) and 0 not in q[e : e + want + 1] and tuple(q[e : e + want + 1]) in inside:
+                want += 1
+            assert size[e] == want
+            if want:
+                found = inside[tuple(q[e : e + want])]
+                assert high[e] - low[e] == len(found)
+                if want == depth and len(found) > 1:
+                    assert index.least[index.classes(depth).number(low[e : e + 1])[0]] == value[found].min()
 
 
 # --- personal data
