@@ -2,8 +2,12 @@
 
 Words of labelled documents get labels from how their forms spread over toxic and clean
 documents; a two-state chain over hashed form features is fitted to them by gradient steps on
-the conditional likelihood. Forward-backward marginals of every word of a whole text then
-give the document's score and the offsets of offending words.
+the conditional likelihood: feature weights, bias, transitions and the initial score all follow
+the difference between what forward-backward expects and what the labels hold. Marginals of
+every word of a whole text then give the document's score and the offsets of offending words.
+
+Texts of the sample stay in tasks; the driver sees counts, hashed features of a bounded number
+of chains, and a few numbers a document.
 """
 
 from __future__ import annotations
@@ -20,12 +24,13 @@ from xxhash import xxh3_64_intdigest
 
 from ..session import settle
 from .common import byte_batches, held_out, labelled_sample
-from .exchange import distinct
+from .exchange import distinct, mix
 
-#: Labelled rows that a fit looks at: half of each class, by hash order.
+#: Labelled rows that a fit looks at, whole texts: half of each class, by hash order.
 FIT_ROWS = 6_000
-#: Bytes of their text, in hash order, that a fit reads; later rows of the sample are left out.
-FIT_BYTES = 32 << 20
+#: Chains of their texts that hold marked words, by hash order, from which the field is fitted, and as
+#: many again, twice, of plain ones.
+FIT_CHAINS = 8_000
 THRESHOLD = 0.3
 #: A word at this marginal or above is an offending span.
 SPAN_MARGINAL = 0.5
@@ -113,20 +118,6 @@ def in_parts(texts: list[bytes], limit: int = 2 << 20) -> Iterator[tuple[int, li
         yield first, texts[first:]
 
 
-def all_features(texts: list[bytes]) -> Words:
-    """word_features() of many texts, written part by part into one array; byte bounds are left out."""
-    n = sum(len(t.split()) for t in texts)
-    text, slots = np.empty(n, np.int32), np.empty((KINDS, n), np.int32)
-    done = 0
-    for first, part in in_parts(texts):
-        found = word_features(part)
-        end = done + len(found.text)
-        text[done:end], slots[:, done:end] = found.text + first, found.slots
-        done = end
-    none = np.zeros(0, np.int64)
-    return Words(none, none, text, slots)
-
-
 def marginals(gain: np.ndarray, lengths: np.ndarray, trans: np.ndarray, initial: float) -> np.ndarray:
     """P(state 1) of every word by forward-backward over chains laid end to end.
 
@@ -244,102 +235,184 @@ def summary(p: np.ndarray, words: Words, n: int) -> np.ndarray:
     return np.stack([np.ones(n), np.log(top / (1 - top)), np.log1p(mass), np.log1p(forms), np.log1p(length)], 1)
 
 
-def weak_labels(words: Words, y: np.ndarray, ratio: float = 6.0, evidence: float = 14.0) -> np.ndarray:
-    """1 for words of toxic texts one of whose features is met far more often in toxic texts.
+def feature_keys(words: Words) -> np.ndarray:
+    """The number kind * SLOTS + slot of each feature of each word."""
+    return words.slots + (np.arange(KINDS, dtype=np.int32) * SLOTS)[:, None]
+
+
+def spread(texts: list[bytes], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Toxic and clean texts that hold each of the KINDS * SLOTS features."""
+    out = np.zeros((2, KINDS * SLOTS), np.int64)
+    for first, part in in_parts(texts):
+        words = word_features(part)
+        for keys in feature_keys(words):
+            pair = distinct(words.text.astype(np.int64) * (KINDS * SLOTS) + keys)
+            out += np.stack([np.bincount(pair[y[first + pair // (KINDS * SLOTS)] == k] % (KINDS * SLOTS), minlength=KINDS * SLOTS) for k in (1, 0)])
+    return out[0], out[1]
 
-    A feature speaks for toxicity if its share of toxic texts is ``ratio`` times its smoothed
-    share of clean ones, and the log likelihood ratio of its own toxic share against the
-    sample's is ``evidence`` at least, which rules out chance over a million features.
+
+def speaking(toxic: np.ndarray, clean: np.ndarray, toxic_texts: int, clean_texts: int, ratio: float = 6.0, evidence: float = 14.0) -> np.ndarray:
+    """Whether features that so many toxic and clean texts hold speak for toxicity.
+
+    One does if its share of toxic texts is ``ratio`` times its smoothed share of clean ones,
+    and the log likelihood ratio of its own toxic share against the sample's is ``evidence`` at
+    least, which rules out chance over millions of features.
     """
-    toxic_texts, clean_texts = max(1, int((y == 1).sum())), max(1, int((y == 0).sum()))
     base = toxic_texts / (toxic_texts + clean_texts)
-    marked = np.zeros(words.slots.shape[1], bool)
-    for kind in range(KINDS):
-        key = distinct(words.text.astype(np.int64) * SLOTS + words.slots[kind])
-        toxic_key = y[key // SLOTS] == 1
-        t = np.bincount(key[toxic_key] % SLOTS, minlength=SLOTS)
-        c = np.bincount(key[~toxic_key] % SLOTS, minlength=SLOTS)
-        own = np.clip(t / np.maximum(1, t + c), 1e-9, 1 - 1e-9)
-        gain = t * np.log(own / base) + c * np.log((1 - own) / (1 - base))
-        speaks = (t / toxic_texts > ratio * (c + 0.5) / clean_texts) & (gain >= evidence)
-        marked |= speaks[words.slots[kind]]
-    return (marked & (y[words.text] == 1)).astype(np.int8)
-
-
-def distinct_texts(texts: list[bytes], run: int = 5) -> np.ndarray:
-    """Numbers of texts without copies and near copies: the first of those whose word runs have one least hash.
+    own = np.clip(toxic / np.maximum(1, toxic + clean), 1e-9, 1 - 1e-9)
+    gain = toxic * np.log(own / base) + clean * np.log((1 - own) / (1 - base))
+    return (toxic / toxic_texts > ratio * (clean + 0.5) / clean_texts) & (gain >= evidence)
+
+
+def copy_key(text: bytes, run: int = 5) -> int:
+    """The least hash of a text's word runs: copies and near copies share it more often than not."""
+    words = text.lower().split()
+    return min(xxh3_64_intdigest(b" ".join(words[k : k + run])) for k in range(max(1, len(words) - run + 1)))
+
+
+def distinct_texts(texts: list[bytes], y: np.ndarray) -> np.ndarray:
+    """Numbers of texts without copies and near copies: of those with one copy_key the text of least hash.
 
     A text that many rows repeat would make all its words look typical of its label.
     """
-    least = {}
+    least: dict[int, tuple] = {}
     for i, text in enumerate(texts):
-        words = text.lower().split()
-        runs = [b" ".join(words[k : k + run]) for k in range(max(1, len(words) - run + 1))]
-        least.setdefault(min(map(xxh3_64_intdigest, runs)), i)
-    return np.array(sorted(least.values()), np.int64)
+        key, mine = copy_key(text), (xxh3_64_intdigest(text), -float(y[i]), i)
+        least[key] = min(least.get(key, mine), mine)
+    return np.array(sorted(x[2] for x in least.values()), np.int64)
 
 
-def fit_texts(texts: list[bytes], y: np.ndarray, prior: float | None = None, epochs: int = 12, rate: float = 0.5, seed: int = 5) -> ToxicityModel:
-    """Fit the field to texts with 0/1 labels.
+@dataclass
+class Chains:
+    """Runs of at most BLOCK words of texts laid end to end: lengths, hashes, features and word labels."""
 
-    ``prior`` is the share of label 1 among all labelled rows, to which scores are calibrated
-    where the sample's share differs. With one class only, or no rows, scores are the share of
-    label 1, 0 without rows.
+    length: np.ndarray
+    order: np.ndarray
+    slots: np.ndarray
+    z: np.ndarray
+
+    @classmethod
+    def cut(cls, texts: list[bytes], y: np.ndarray, speaks: np.ndarray) -> "Chains":
+        words = word_features(texts)
+        marked = speaks[feature_keys(words)].any(0) & (y[words.text] == 1)
+        count = np.bincount(words.text, minlength=len(texts))
+        blocks = -(-count // BLOCK)
+        number = np.arange(int(blocks.sum())) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        length = np.minimum(BLOCK, np.repeat(count, blocks) - number * BLOCK)
+        own = np.repeat(np.array([xxh3_64_intdigest(t) for t in texts], np.uint64), blocks)
+        return cls(length, mix(own + number.astype(np.uint64)) >> np.uint64(1), words.slots, marked.astype(np.int8))
+
+    @property
+    def hot(self) -> np.ndarray:
+        """Whether each chain holds a marked word."""
+        return np.add.reduceat(self.z, np.cumsum(self.length) - self.length, dtype=np.int64) > 0 if len(self.length) else np.zeros(0, bool)
+
+    def take(self, which: np.ndarray) -> "Chains":
+        length = self.length[which]
+        start = (np.cumsum(self.length) - self.length)[which]
+        at = np.repeat(start - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+        return Chains(length, self.order[which], self.slots[:, at], self.z[at])
+
+    @classmethod
+    def join(cls, parts: list["Chains"]) -> "Chains":
+        """All chains, in the order of their hashes."""
+        parts = parts or [cls(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros((KINDS, 0), np.int32), np.zeros(0, np.int8))]
+        whole = cls(*[np.concatenate([getattr(p, f) for p in parts], axis=-1) for f in ("length", "order", "slots", "z")])
+        return whole.take(np.argsort(whole.order, kind="stable"))
+
+
+def plain_chains(hot: int) -> int:
+    """Plain chains that a fit takes beside ``hot`` ones with marked words."""
+    return max(2_000, 2 * hot)
+
+
+def chosen(order: np.ndarray, hot: np.ndarray, limit: int) -> tuple[int, int]:
+    """The largest hashes of hot and of plain chains that a fit takes; -1 where it takes none."""
+    cuts, taken = [], 0
+    for which, most in ((hot, lambda: limit), (~hot, lambda: plain_chains(taken))):
+        some = np.sort(order[which])[: most()]
+        taken = len(some)
+        cuts.append(int(some[-1]) if len(some) else -1)
+    return cuts[0], cuts[1]
+
+
+def expectations(gain: np.ndarray, length: np.ndarray, trans: np.ndarray, initial: float) -> tuple[np.ndarray, np.ndarray, float, float]:
+    """Marginals, expected transitions, expected chains that start in state 1, log partition, by forward-backward.
+
+    Chains lie end to end, none empty; all are swept side by side.
     """
-    zero = np.zeros(SLOTS, np.float32)
-    kept = distinct_texts(texts)
-    texts, y = [texts[i] for i in kept], y[kept]
-    if not len(texts) or y.min() == y.max():
-        return ToxicityModel(zero, 0.0, np.zeros((2, 2)), 0.0, constant=float(y.mean()) if len(y) else 0.0)
-    words = all_features(texts)
-    z = weak_labels(words, y)
-    n = len(z)
-    if n == 0:
-        return ToxicityModel(zero, 0.0, np.zeros((2, 2)), 0.0, constant=float(y.mean()))
-    # Chains for training: runs of at most BLOCK words of one text; those that hold a marked
-    # word and as many plain ones, drawn with a fixed seed.
-    changed = np.flatnonzero(np.diff(words.text, prepend=-1))
-    run = np.repeat(changed, np.diff(np.append(changed, n)))
-    chain_key = words.text.astype(np.int64) * (1 << 32) + (np.arange(n) - run) // BLOCK
-    heads = np.flatnonzero(np.diff(chain_key, prepend=-1))
-    sizes = np.diff(np.append(heads, n))
-    hot = np.add.reduceat(z, heads, dtype=np.int64) > 0
+    n, steps = len(length), int(length.max(initial=0))
+    start = np.cumsum(length) - length
+    inside = np.arange(steps)[:, None] < length
+    at = np.minimum(start + np.arange(steps)[:, None], max(0, len(gain) - 1))
+    e = np.where(inside, np.exp(np.clip(gain, -40, 40))[at], 1.0) if n else np.zeros((0, 0))
+    t = np.exp(trans)
+    alpha, beta, scale = np.empty((steps, n, 2)), np.ones((steps, n, 2)), np.ones((steps, n))
+    for k in range(steps):
+        a = np.tile([1.0, np.exp(initial)], (n, 1)) if k == 0 else alpha[k - 1] @ t
+        a[:, 1] *= e[k]
+        scale[k] = np.where(inside[k], a.sum(1), 1.0)
+        alpha[k] = np.where(inside[k][:, None], a / scale[k][:, None], alpha[k - 1] if k else a)
+    joint = np.zeros((2, 2))
+    for k in range(steps - 2, -1, -1):
+        w = beta[k + 1].copy()
+        w[:, 1] *= e[k + 1]
+        w /= scale[k + 1][:, None]
+        on = inside[k + 1]
+        joint += alpha[k][on].T @ w[on] * t
+        beta[k] = np.where(on[:, None], w @ t.T, 1.0)
+    p = alpha * beta
+    p = p[:, :, 1] / p.sum(2) if n else np.zeros((0, 0))
+    marginal = p.T[inside.T]
+    return marginal, joint, float(p[0].sum()) if n else 0.0, float(np.log(scale).sum())
+
+
+def likelihood(gain: np.ndarray, length: np.ndarray, z: np.ndarray, trans: np.ndarray, initial: float) -> tuple[float, np.ndarray, np.ndarray, float]:
+    """Negative log likelihood of labels z and its gradients by each word's gain, the transitions and the initial score."""
+    p, joint, starts, log_z = expectations(gain, length, trans, initial)
+    first = np.cumsum(length) - length
+    held = np.zeros((2, 2))
+    inner = np.ones(len(z), bool)
+    inner[first] = False
+    at = np.flatnonzero(inner)
+    np.add.at(held, (z[at - 1], z[at]), 1.0)
+    gold = float(np.clip(gain, -40, 40) @ z + initial * z[first].sum() + (trans * held).sum())
+    return log_z - gold, p - z, joint - held, starts - float(z[first].sum())
+
+
+def train(chains: Chains, share: float, epochs: int = 12, rate: float = 0.5, seed: int = 5) -> ToxicityModel:
+    """Adagrad steps on the conditional likelihood of the chains' labels, all parameters from 0 but the bias.
+
+    ``share`` of all the sample's words are marked.
+    """
+    share = float(np.clip(share, 1e-5, 0.5))
+    weights, square = np.zeros(SLOTS), np.full(SLOTS, 1e-2)
+    # bias, initial score, transitions
+    small, own = np.array([math.log(share / (1 - share)), 0.0, 0.0, 0.0, 0.0, 0.0]), np.full(6, 1e-2)
+    heads = np.cumsum(chains.length) - chains.length
     rng = np.random.default_rng(seed)
-    plain = np.flatnonzero(~hot)
-    plain = rng.choice(plain, min(len(plain), max(2_000, 2 * int(hot.sum()))), replace=False) if len(plain) else plain
-    chosen = np.concatenate([np.flatnonzero(hot), plain])
-    weights = np.zeros(SLOTS)
-    square = np.full(SLOTS, 1e-2)
-    share = np.clip(z.mean(), 1e-5, 0.5)
-    bias, initial = math.log(share / (1 - share)), 0.0
-    pair = np.array([[1.0, share], [1.0, share]])
-    follows = np.zeros((2, 2))
-    same = np.flatnonzero(chain_key[1:] == chain_key[:-1])
-    np.add.at(follows, (z[same], z[same + 1]), 1.0)
-    # transitions: log ratio of observed to independent succession, as pseudo-likelihood gives it
-    rows = (follows + pair) / (follows + pair).sum(1, keepdims=True)
-    marginal = np.array([1 - share, share])
-    trans = np.clip(np.log(rows / marginal), -3, 3)
-    for epoch in range(epochs):
-        for part in np.array_split(rng.permutation(chosen), max(1, len(chosen) // 2_000)):
-            part = np.sort(part)
-            length = sizes[part]
-            at = np.repeat(heads[part] - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
-            slots = words.slots[:, at]
-            gain = bias + weights[slots].sum(0)
-            p = marginals(gain, length, trans, initial)
-            error = p - z[at]  # gradient of the negative conditional likelihood
-            for kind in range(KINDS):
-                g = np.bincount(slots[kind], error, SLOTS) + 1e-4 * weights
+    for _ in range(epochs):
+        for part in np.array_split(rng.permutation(len(heads)), max(1, len(heads) // 2_000)):
+            some = chains.take(np.sort(part))
+            if not len(some.z):
+                continue
+            gain = small[0] + weights[some.slots].sum(0)
+            _, error, pairs, start = likelihood(gain, some.length, some.z, small[2:].reshape(2, 2), float(small[1]))
+            for slots in some.slots:
+                g = np.bincount(slots, error, SLOTS) + 1e-4 * weights
                 square += g * g
                 weights -= rate * g / np.sqrt(square)
-            bias -= 0.05 * float(error.mean()) * min(1.0, 20 * share)
+            g = np.concatenate([[error.sum(), start], pairs.ravel()]) + 1e-2 * np.append([0.0], small[1:])
+            own += g * g
+            small -= 0.2 * rate * g / np.sqrt(own)
         rate *= 0.9
-    model = ToxicityModel(weights.astype(np.float32), bias, trans, initial)
-    del words
-    x = np.concatenate([summary(p, found, len(part)) for part, found, p in ((part, *_tagged(part, model)) for _, part in in_parts(texts))])
+    return ToxicityModel(weights.astype(np.float32), float(small[0]), small[2:].reshape(2, 2).copy(), float(small[1]))
+
+
+def calibrated(model: ToxicityModel, x: np.ndarray, y: np.ndarray, prior: float | None) -> ToxicityModel:
+    """The model with a logistic regression of document labels on summaries, moved to the share ``prior`` of label 1."""
     w = np.zeros(x.shape[1])
-    for _ in range(50):  # logistic regression of the document label on the summary
+    for _ in range(50):
         q = 1 / (1 + np.exp(-np.clip(x @ w, -60, 60)))
         g = x.T @ (q - y) / len(y) + 1e-3 * w
         h = (x * (q * (1 - q))[:, None]).T @ x / len(y) + 1e-3 * np.eye(len(w))
@@ -350,27 +423,125 @@ def fit_texts(texts: list[bytes], y: np.ndarray, prior: float | None = None, epo
     if prior and 0 < prior < 1:
         sampled = y.mean()
         w[0] += math.log(prior / (1 - prior)) - math.log(sampled / (1 - sampled))
-    return ToxicityModel(model.weights, bias, trans, initial, w)
-
-
-def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS, max_bytes: int = FIT_BYTES) -> ToxicityModel:
-    """Fit on at most ``limit`` labelled rows and ``max_bytes`` of their texts."""
-    sample = labelled_sample(docs, labels, "toxic", limit)
-    sized = settle(sample.withColumn("order", F.xxhash64(F.lit(7), "doc_id")))  # ``limit`` rows
-    taken, texts, y = 0, [], []
-    rows = sized.select("doc_id", "order", "y", F.octet_length("text").alias("bytes")).collect()  # ``limit`` rows of numbers
-    wanted = []
-    for r in sorted(rows, key=lambda r: (r["order"], r["doc_id"])):
-        if taken + r["bytes"] <= max_bytes:
-            taken += r["bytes"]
-            wanted.append(r["doc_id"])
-    if len(wanted) < len(rows):
-        sized = sized.where(F.col("doc_id").isin(wanted))
-    for r in sorted(sized.select("doc_id", "order", "y", "text").collect(), key=lambda r: (r["order"], r["doc_id"])):
-        texts.append(r["text"].encode())
-        y.append(r["y"])
+    return ToxicityModel(model.weights, model.bias, model.trans, model.initial, w)
+
+
+def constant(share: float) -> ToxicityModel:
+    return ToxicityModel(np.zeros(SLOTS, np.float32), 0.0, np.zeros((2, 2)), 0.0, constant=share)
+
+
+def summaries(texts: list[bytes], model: ToxicityModel) -> np.ndarray:
+    parts = [summary(p, found, len(part)) for part, found, p in ((part, *_tagged(part, model)) for _, part in in_parts(texts))]
+    return np.concatenate(parts) if parts else np.zeros((0, 5))
+
+
+def fit_texts(texts: list[bytes], y: np.ndarray, prior: float | None = None, limit: int = FIT_CHAINS) -> ToxicityModel:
+    """Fit the field to texts with 0/1 labels; ``fit`` does the same to a table, part by part.
+
+    ``prior`` is the share of label 1 among all labelled rows, to which scores are calibrated
+    where the sample's share differs. With one class only, or no rows, scores are the share of
+    label 1, 0 without rows.
+    """
+    kept = distinct_texts(texts, y)
+    texts, y = [texts[i] for i in kept], y[kept]
+    if not len(texts) or y.min() == y.max():
+        return constant(float(y.mean()) if len(y) else 0.0)
+    speaks = speaking(*spread(texts, y), int((y == 1).sum()), int((y == 0).sum()))
+    whole = Chains.join([Chains.cut(part, y[first : first + len(part)], speaks) for first, part in in_parts(texts)])
+    if not len(whole.z):
+        return constant(float(y.mean()))
+    hot = whole.hot
+    cut = chosen(whole.order, hot, limit)
+    some = whole.take(np.flatnonzero(whole.order.astype(np.int64) <= np.where(hot, cut[0], cut[1])))
+    model = train(some, float(whole.z.mean()))
+    return calibrated(model, summaries(texts, model), y, prior)
+
+
+def _texts(batch: pa.RecordBatch) -> tuple[list[bytes], np.ndarray]:
+    return batch.column("text").to_pylist(), batch.column("y").to_numpy(zero_copy_only=False).astype(float)
+
+
+def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS, chains: int = FIT_CHAINS) -> ToxicityModel:
+    """Fit on whole texts of at most ``limit`` labelled rows, and ``chains`` chains with marked words of theirs.
+
+    Tasks hold the texts. The driver gets one row per text, the features that speak for toxicity
+    (KINDS * SLOTS at most), the chosen chains' features and five numbers per text.
+    """
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in byte_batches(batches, "text"):
+            texts, _ = _texts(batch)
+            key = pa.array(np.array([copy_key(t) for t in texts], np.uint64).view(np.int64))
+            own = pa.array((np.array([xxh3_64_intdigest(t) for t in texts], np.uint64) >> np.uint64(1)).astype(np.int64))
+            yield pa.record_batch([batch.column("y"), batch.column("text"), key, own], names=["y", "text", "copy", "own"])
+
+    sample = labelled_sample(docs, labels, "toxic", limit).select("y", F.col("text").cast("binary").alias("text"))
+    sample = settle(sample.mapInArrow(keys, "y int, text binary, copy long, own long"))
+    firsts = sample.groupBy("copy").agg(F.min(F.struct("own", (-F.col("y")).alias("low"))).alias("first")).select("copy", F.col("first.own").alias("own"), (-F.col("first.low")).alias("y"))
+    kept = settle(sample.dropDuplicates(["copy", "own", "y"]).join(F.broadcast(firsts), ["copy", "own", "y"]).select("y", "text"))  # ``limit`` rows
+    sizes = {r["y"]: r["n"] for r in kept.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if len(sizes) < 2:
+        return constant(float(next(iter(sizes), 0)))
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros((2, KINDS * SLOTS), np.int64)
+        for batch in byte_batches(batches, "text"):
+            found += np.stack(spread(*_texts(batch)))
+        at = np.flatnonzero(found.any(0))
+        yield pa.record_batch([pa.array(at), pa.array(found[0, at]), pa.array(found[1, at])], names=["key", "toxic", "clean"])
+
+    counts = kept.mapInArrow(held, "key long, toxic long, clean long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    often = counts.where(F.col("toxic") / sizes[1] > 6.0 * (F.col("clean") + 0.5) / sizes[0]).toArrow()  # most features fail this already
+    speaks = np.zeros(KINDS * SLOTS, bool)
+    speaks[often.column("key").to_numpy()] = speaking(often.column("toxic").to_numpy(), often.column("clean").to_numpy(), sizes[1], sizes[0])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[Chains]:
+        for batch in byte_batches(batches, "text"):
+            texts, y = _texts(batch)
+            for first, part in in_parts(texts):
+                yield Chains.cut(part, y[first : first + len(part)], speaks)
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in cut(batches):
+            marked = np.add.reduceat(c.z, np.cumsum(c.length) - c.length, dtype=np.int64) if len(c.length) else c.length
+            yield pa.record_batch([pa.array(c.order.astype(np.int64)), pa.array(marked > 0), pa.array(marked), pa.array(c.length.astype(np.int64))], names=["order", "hot", "marked", "words"])
+
+    listed = settle(kept.mapInArrow(hashes, "order long, hot boolean, marked long, words long"))
+    every = listed.agg(F.sum("marked").alias("marked"), F.sum("words").alias("words")).first()
+    if not every["words"]:
+        return constant(sizes[1] / (sizes[0] + sizes[1]))
+    limits, taken = {}, 0
+    for hot in (True, False):
+        some = listed.where(F.col("hot") == hot).orderBy("order").limit(plain_chains(taken) if not hot else chains)
+        last = some.agg(F.max("order").alias("last"), F.count("*").alias("n")).first()
+        limits[hot], taken = -1 if last["last"] is None else last["last"], last["n"]
+
+    def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in cut(batches):
+            hot = c.hot
+            c = c.take(np.flatnonzero(c.order.astype(np.int64) <= np.where(hot, limits[True], limits[False])))
+            ends = np.cumsum(c.length)
+            blobs = [(c.slots[:, a:b].tobytes(), c.z[a:b].tobytes()) for a, b in zip(ends - c.length, ends)]
+            yield pa.record_batch([pa.array(c.order.astype(np.int64)), pa.array([x[0] for x in blobs], pa.binary()), pa.array([x[1] for x in blobs], pa.binary())], names=["order", "slots", "z"])
+
+    parts = []
+    for r in kept.mapInArrow(picked, "order long, slots binary, z binary").toArrow().to_batches():
+        for order, slots, z in zip(*[r.column(i).to_pylist() for i in range(3)]):
+            parts.append(Chains(np.array([len(z)]), np.array([order], np.uint64), np.frombuffer(slots, np.int32).reshape(KINDS, -1), np.frombuffer(z, np.int8)))
+    model = train(Chains.join(parts), every["marked"] / every["words"])
+    del parts
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in byte_batches(batches, "text"):
+            texts, _ = _texts(batch)
+            x = pa.array(summaries(texts, model).tolist(), pa.list_(pa.float64()))
+            own = pa.array([xxh3_64_intdigest(t) >> 1 for t in texts], pa.int64())
+            yield pa.record_batch([own, batch.column("y"), x], names=["own", "y", "x"])
+
+    rows = sorted(kept.mapInArrow(summed, "own long, y int, x array<double>").collect(), key=lambda r: r["own"])
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"), 4))
-    return fit_texts(texts, np.array(y, float), known.agg(F.avg(F.col("toxic").cast("double"))).first()[0])
+    prior = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
+    return calibrated(model, np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows], float), prior)
 
 
 def _tagged(texts: list[bytes], model: ToxicityModel) -> tuple[Words, np.ndarray]:
