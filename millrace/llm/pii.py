@@ -1,7 +1,9 @@
 """Personal data: base patterns and a character-level bidirectional LSTM with CRF transitions.
 
 The network is trained in numpy from labelled spans: what the base patterns mark in a bounded
-sample of windows, and spans written into such windows from templates with a fixed seed.
+sample of windows, and spans written into such windows from templates with a fixed seed. Half of
+those stand where the patterns lose them, as failing matches are dropped without a retry: before
+more digits, broken by a line end, without a plus sign, glued to other marks.
 A whole text is cut into overlapping windows, each is decoded on its own, and every character
 takes its label from the window in which it lies most centrally. Spans found that way are
 added where they hold what their kind needs and touch no base span; base spans always stay.
@@ -9,6 +11,7 @@ added where they hold what their kind needs and touch no base span; base spans a
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,7 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from xxhash import xxh3_64_intdigest
 
+from ..session import settle
 from .common import byte_batches, first_by_hash
 
 KINDS = ("email", "ip", "card", "phone")
@@ -32,10 +37,11 @@ _DIGITS = re.compile(r"[0-9]++")
 _ANCHOR = re.compile(r"[0-9@]")
 
 WINDOW, STRIDE = 64, 32
-HIDDEN = 12
-#: Windows of the input that a fit looks at, by hash order of their documents.
-FIT_DOCS = 1_500
-FIT_WINDOWS = 3_000
+HIDDEN = 16
+#: Documents of the input that a fit looks at, by hash order, and training windows: half of them around
+#: digits and at signs anywhere in those documents, by hash order of their places, half with spans written in.
+FIT_DOCS = 2_000
+FIT_WINDOWS = 6_000
 SEED = 3
 
 #: Character classes: 0 other, then letters by case, digits, white space, and single marks.
@@ -248,10 +254,53 @@ def _template(rng: np.random.Generator) -> tuple[int, str]:
     return kind, choices[int(rng.integers(len(choices)))]()
 
 
-def training_windows(texts: list[str], count: int = FIT_WINDOWS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """(classes, labels) of windows around anchors of the texts and of windows with written-in spans."""
+def _planted(rng: np.random.Generator) -> tuple[str, list[tuple[int, int, int]]]:
+    """Generated characters with the spans in them: one span, or one in a place where the base patterns lose it."""
+    kind, span = _template(rng)
+    hard = int(rng.integers(0, 8))
+    if kind < 0 or hard >= 4:
+        return span, [(kind, 0, len(span))] if kind >= 0 else []
+    if hard == 0 and kind in (2, 3):  # broken by a line end
+        gaps = [i for i, c in enumerate(span) if c == " "]
+        if gaps:
+            i = int(rng.choice(gaps))
+            span = f"{span[:i]}\n{span[i + 1 :]}"
+        return span, [(kind, 0, len(span))]
+    if hard == 1:  # glued to marks
+        left, right = [("(", ")"), ("[", "]"), ("<", ">"), ('"', '"'), (":", ";"), ("=", "&"), ("|", "|")][int(rng.integers(7))]
+        return f"{left}{span}{right}", [(kind, 1, 1 + len(span))]
+    # more digits after it: another span, a number, a date
+    other, more = _template(rng)
+    while not more[:1].isdigit() and not (hard == 3 and more[:1] == "("):
+        other, more = _template(rng)
+    start = len(span) + 1
+    return f"{span} {more}", [(kind, 0, len(span)), *([(other, start, start + len(more))] if other >= 0 else [])]
+
+
+@dataclass(frozen=True)
+class Context:
+    """A piece of a text around a place at ``centre``, with the base spans in it."""
+
+    text: str
+    centre: int
+    spans: tuple[tuple[int, int, int], ...]
+
+
+def contexts(text: str) -> Iterator[tuple[int, Context]]:
+    """(place, context) of each run of digits and at signs of a whole text."""
+    found = sorted(base_spans(text), key=lambda s: s[1])
+    starts, longest = [a for _, a, _ in found], max((b - a for _, a, b in found), default=0)
+    for m in re.finditer(r"[0-9@]+", text):
+        lo, hi = max(0, m.start() - WINDOW), min(len(text), m.start() + WINDOW)
+        near = found[bisect_left(starts, lo - longest) : bisect_left(starts, hi)]
+        inside = tuple((k, max(a, lo) - lo, min(b, hi) - lo) for k, a, b in near if b > lo)
+        yield m.start(), Context(text[lo:hi], m.start() - lo, inside)
+
+
+def training_windows(some: list[Context], count: int = FIT_WINDOWS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """(classes, labels) of windows over the contexts, and of windows over contexts with spans written in."""
     rng = np.random.default_rng(seed)
-    plain = [t for t in texts if t] or ["the words of no text at all, and more of them."]
+    plain = some or [Context("the words of no text at all, and more of them.", 10, ())]
     xs, ys = [], []
 
     def add(text: str, found: list[tuple[int, int, int]], centre: int) -> None:
@@ -267,26 +316,18 @@ def training_windows(texts: list[str], count: int = FIT_WINDOWS, seed: int = SEE
         xs.append(x)
         ys.append(y)
 
-    for text in plain:
-        anchors = [m.start() for m in _ANCHOR.finditer(text)][:: max(1, WINDOW // 4)]
-        found = base_spans(text) if anchors else []
-        for centre in anchors[:8]:
-            if len(xs) < count // 2:
-                add(text, found, centre)
+    for c in some[: count // 2]:
+        add(c.text, list(c.spans), c.centre)
     while len(xs) < count:
-        text = plain[int(rng.integers(len(plain)))]
-        at = int(rng.integers(0, len(text)))
-        context = text[max(0, at - WINDOW) : at + WINDOW]
-        cut = context.rfind(" ", 0, WINDOW)
-        cut = cut if cut >= 0 else 0
-        left, right = context[:cut], context[cut:]
-        kind, span = _template(rng)
+        text = plain[int(rng.integers(len(plain)))].text
+        at = text.rfind(" ", 0, int(rng.integers(0, len(text) + 1)))
+        left, right = text[: max(at, 0)], text[max(at, 0) :]
+        span, marks = _planted(rng)
         glue = str(rng.choice([" ", " ", " ", "\n", "."]))
         joined = left + glue + span + str(rng.choice([" ", ".", ",", "!!", "***"])) + right
-        found = base_spans(joined)
-        mark = (len(left) + 1, len(left) + 1 + len(span))
-        found = [s for s in found if s[2] <= mark[0] or s[1] >= mark[1] or kind < 0]
-        add(joined, found + ([(kind, *mark)] if kind >= 0 else []), int(rng.integers(*mark)))
+        first, last = len(left) + 1, len(left) + 1 + len(span)
+        kept = [f for f in base_spans(joined) if f[2] <= first or f[1] >= last]
+        add(joined, kept + [(k, a + first, b + first) for k, a, b in marks], int(rng.integers(first, last)))
     return np.array(xs), np.array(ys)
 
 
@@ -309,13 +350,30 @@ def fit_windows(x: np.ndarray, y: np.ndarray, epochs: int = 12, batch: int = 128
     return model
 
 
-def fit(docs: DataFrame, limit: int = FIT_DOCS) -> Tagger:
-    """Fit on windows of at most ``limit`` documents that hold a digit or an at sign, by hash order."""
+def fit(docs: DataFrame, limit: int = FIT_DOCS, windows: int = FIT_WINDOWS) -> Tagger:
+    """Fit on ``windows`` windows of at most ``limit`` documents that hold a digit or an at sign, by hash order.
+
+    Every digit and at sign of those documents' whole texts has the same chance of a window. The
+    driver gets the chosen windows' surroundings, 2 * WINDOW characters each.
+    """
     some = docs.select("doc_id", "text").where(F.col("text").rlike("[0-9@]"))
-    # only windows around the first anchors are learned from, so the driver needs just their surroundings
-    near = F.concat_ws("\n", F.slice(F.regexp_extract_all("text", F.lit(r"(?s).{0,80}[0-9@].{0,80}"), F.lit(0)), 1, 4))
-    rows = first_by_hash(some, limit, SEED, "doc_id", "text").select(near.alias("text")).collect()
-    return fit_windows(*training_windows([r["text"] for r in rows]))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in byte_batches(batches, "text"):
+            rows = []
+            for text in batch.column("text").to_pylist():
+                own = xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
+                rows += [(xxh3_64_intdigest(at.to_bytes(8), own) >> 1, at, c.text, c.centre, [list(x) for x in c.spans]) for at, c in contexts(text)]
+            columns = zip(*rows) if rows else [[]] * 5
+            yield pa.record_batch([pa.array(list(c), f.type) for c, f in zip(columns, _CONTEXT)], schema=_CONTEXT)
+
+    placed = settle(first_by_hash(some, limit, SEED, "doc_id", "text").select("text").mapInArrow(cut, "place long, at long, text string, centre int, spans array<array<int>>"))
+    chosen = placed.dropDuplicates(["place", "text"]).orderBy("place", "at", "text").limit(windows // 2).collect()
+    rows = sorted(chosen, key=lambda r: (r["place"], r["at"], r["text"]))
+    return fit_windows(*training_windows([Context(r["text"], r["centre"], tuple(map(tuple, r["spans"]))) for r in rows], windows))
+
+
+_CONTEXT = pa.schema([("place", pa.int64()), ("at", pa.int64()), ("text", pa.string()), ("centre", pa.int32()), ("spans", pa.list_(pa.list_(pa.int32())))])
 
 
 def _plausible(kind: int, s: str) -> bool:
@@ -327,23 +385,24 @@ def _plausible(kind: int, s: str) -> bool:
         parts = s.split(".")
         return len(parts) == 4 and all(x.isascii() and x.isdigit() for x in parts) and _valid("ip", s)
     if kind == 2:
-        return bool(re.fullmatch(r"[0-9 .-]+", s)) and 13 <= len(digits) <= 19 and luhn(digits)
-    return bool(re.fullmatch(r"[0-9+(][0-9 ().\-]+[0-9]", s)) and 8 <= len(digits) <= 15 and len(digits) < len(s) and not re.fullmatch(r"[0-9.]+", s)
+        return bool(re.fullmatch(r"[0-9 .\n-]+", s)) and 13 <= len(digits) <= 19 and luhn(digits)
+    return bool(re.fullmatch(r"[0-9+(][0-9 ().\n\-]+[0-9]", s)) and 8 <= len(digits) <= 15 and len(digits) < len(s) and not re.fullmatch(r"[0-9.]+", s)
 
 
-def model_spans(texts: list[str], model: Tagger, chunk: int = 4096) -> list[list[tuple[int, int, int]]]:
+def model_spans(texts: list[str], model: Tagger, chunk: int = 4096, every: bool = False) -> list[list[tuple[int, int, int]]]:
     """(kind number, start, end) of each text's decoded spans.
 
     Windows run over whole texts. As every kind needs a digit or an at sign within WINDOW
-    characters, a window without either can't hold a span and is not decoded.
+    characters, a window without either can't hold a span and is not decoded, unless ``every``
+    window is asked for; results are the same.
     """
     where, data = [], []
     for i, text in enumerate(texts):
         anchors = np.array([m.start() for m in _ANCHOR.finditer(text)], np.int64)
-        if not len(anchors):
+        if not text or not (len(anchors) or every):
             continue
         starts = window_starts(len(text))
-        live = np.searchsorted(anchors, starts + WINDOW) > np.searchsorted(anchors, starts)
+        live = every | (np.searchsorted(anchors, starts + WINDOW) > np.searchsorted(anchors, starts))
         for s in starts[live]:
             lo, hi = max(0, int(s)), min(len(text), int(s) + WINDOW)
             x = np.full(WINDOW, 4, np.uint8)
@@ -396,7 +455,7 @@ def digest(found: list[tuple[int, int, int]]) -> str:
 
 def pii(docs: DataFrame, model: Tagger | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans,
-    and n_added, the number of spans that only the network found.
+    n_added, the number of spans that only the network found, and n_spans, the number of all spans.
 
     Null texts count as empty and have no spans; long texts are read whole; repeated rows get
     equal results; an empty table gives no rows; other columns are not looked at.
@@ -414,11 +473,12 @@ def pii(docs: DataFrame, model: Tagger | None = None) -> DataFrame:
                     pa.array([hashlib.sha256(digest(base).encode()).hexdigest() for base, _ in found]),
                     pa.array([digest(every) for _, every in found], pa.string()),
                     pa.array([len(every) - len(base) for base, every in found], pa.int64()),
+                    pa.array([len(every) for _, every in found], pa.int64()),
                 ],
-                names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"],
+                names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added", "n_spans"],
             )
 
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
