@@ -20,6 +20,7 @@ from typing import Any, Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -87,19 +88,39 @@ def dealt(docs: DataFrame, batches: int, *more) -> Dealt:
     return Dealt(numbered.withColumn("batch", _label(F.col("number"), names)), names)
 
 
-class Ids(dict):
+class _Numbers(dict):
     """Numbers words in the order in which they are met."""
 
     def __missing__(self, word: bytes) -> int:
         n = self[word] = len(self)
         return n
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 
-    def hashes(self) -> np.ndarray:
-        digest = xxhash.xxh3_64_intdigest
-        return np.fromiter(map(digest, self), np.uint64, len(self))
+def tokens(texts: pa.ChunkedArray | pa.Array, lower: bool = False, part_bytes: int = 2 << 20) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Words of texts end to end, as numbers in the order in which they are met; words per text; the distinct words.
+
+    Words are runs of anything but ASCII white space; null texts have none. ``lower`` folds A to Z.
+    Texts are split in parts of about ``part_bytes``, so what is held beside the result is small.
+    """
+    whole = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+    before = np.cumsum(pc.fill_null(pc.binary_length(whole), 0).to_numpy().astype(np.int64)) // part_bytes
+    first = np.flatnonzero(np.diff(before, prepend=-1))
+    ids, numbers, lengths = _Numbers(), [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for a, b in zip(first, np.append(first[1:], len(whole))):
+        part = pc.fill_null(whole.slice(a, b - a), b"").view(pa.string())  # bytes that are no UTF-8 pass, all steps are bytewise
+        split = pc.ascii_split_whitespace(pc.ascii_lower(part) if lower else part)
+        words = split.flatten()
+        full = pc.binary_length(words).to_numpy() > 0
+        ends = np.cumsum(split.value_lengths().to_numpy())
+        lengths.append(np.diff(np.concatenate([[0], np.cumsum(full)])[np.concatenate([[0], ends])]))
+        encoded = words.filter(pa.array(full)).dictionary_encode()
+        known = encoded.dictionary.view(pa.binary()).to_pylist()
+        numbers.append(np.fromiter(map(ids.__getitem__, known), np.int32, len(known))[encoded.indices.to_numpy()])
+    return np.concatenate(numbers), np.concatenate(lengths), list(ids)
+
+
+def hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

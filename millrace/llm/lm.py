@@ -84,12 +84,14 @@ class Automaton:
         """
         n = len(grams.count)
         root = (grams.count + 1) / (total + 1 * (distinct + 1))
-        first, second = grams.pair // n, grams.pair % n
+        second = (grams.pair % n).astype(np.int32)
         context = grams.context.astype(float)
         share = own_share(1, context)
         seen = np.flatnonzero(grams.pair_count > 0)
-        u, w = first[seen], second[seen]
-        p2 = share[u] * grams.pair_count[seen] / context[u] + (1 - share[u]) * root[w]
+        u, w = (grams.pair[seen] // n).astype(np.int32), second[seen]
+        lower = np.zeros(len(grams.pair))  # P(second | first)
+        lower[seen] = share[u] * grams.pair_count[seen] / context[u] + (1 - share[u]) * root[w]
+        del u, w
         # the state that a text ends in after a pair
         after = second.copy()
         after[grams.state] = n + np.arange(len(grams.state))
@@ -97,19 +99,18 @@ class Automaton:
         share3 = own_share(2, held)
         full = np.flatnonzero(grams.triple_count > 0)
         s, last = grams.triple[full] // len(grams.pair), grams.triple[full] % len(grams.pair)
-        lower = np.zeros(len(grams.pair))
-        lower[seen] = p2
         p3 = share3[s] * grams.triple_count[full] / held[s] + (1 - share3[s]) * lower[last]
-        keys = np.concatenate([grams.pair[seen], (n + s) * n + second[last]])
-        order = np.argsort(keys)
+        # arcs out of words are sorted already, and come before those out of pairs
+        own = (n + s) * n + second[last]
+        order = np.argsort(own)
         return cls(
             n,
             np.log10(root),
             np.log10(np.concatenate([1 - share, 1 - share3])),
             np.concatenate([np.full(n, ROOT), second[grams.state]]),
-            keys[order],
-            np.log10(np.concatenate([p2, p3]))[order],
-            np.concatenate([after[seen], after[last]])[order],
+            np.concatenate([grams.pair[seen], own[order]]),
+            np.log10(np.concatenate([lower[seen], p3[order]])),
+            np.concatenate([after[seen], after[last[order]]]),
         )
 
     def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,17 +133,27 @@ class Automaton:
             at[todo] = self.fall[here]
         return out, weight
 
-    def score(self, words: np.ndarray, begin: np.ndarray, length: np.ndarray, start: int) -> np.ndarray:
-        """Log10 probability of each text by one traversal from left to right, all texts together."""
-        by_length = np.argsort(-length, kind="stable")
-        first, size = begin[by_length], length[by_length]
-        state, total = np.full(len(first), start, np.int64), np.zeros(len(first))
+    def score(self, words: np.ndarray, begin: np.ndarray, length: np.ndarray, stretch: int = 512) -> np.ndarray:
+        """Log10 probability of each text by traversals from left to right, all side by side.
+
+        ``words`` holds START before each text. Long texts are cut into stretches that first read
+        the two words before them from the root: a state holds two words at most, so each stretch
+        begins in the state in which the one before it ends.
+        """
+        pieces = -(-length // stretch)
+        owner = np.repeat(np.arange(len(length)), pieces)
+        skip = (np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * stretch
+        lead = np.where(skip > 0, 2, 1)
+        size = np.minimum(stretch, length[owner] - skip) + lead
+        by_length = np.argsort(-size, kind="stable")
+        first, size, lead = (begin[owner] + skip - lead)[by_length], size[by_length], lead[by_length]
+        state, total = np.full(len(first), ROOT), np.zeros(len(first))
         for k in range(int(size.max(initial=0))):
-            on = int(np.searchsorted(-size, -k, "left"))  # texts longer than k
+            on = int(np.searchsorted(-size, -k, "left"))  # stretches longer than k
             state[:on], weight = self.step(state[:on], words[first[:on] + k])
-            total[:on] += weight
-        out = np.empty(len(first))
-        out[by_length] = total
+            total[:on] += np.where(k >= lead[:on], weight, 0.0) if k < 2 else weight
+        out = np.zeros(len(length))
+        np.add.at(out, owner[by_length], total)
         return out
 
 
@@ -166,25 +177,26 @@ class Grams:
 class Batch:
     """Texts of a batch as numbered tokens, each with START before and END after its words."""
 
-    def __init__(self, texts: list[bytes | None], held: np.ndarray):
-        ids = ex.Ids()
-        self.start, self.end = ids[START], ids[END]
-        parts = []
-        for text in texts:
-            parts.append(ids.of([START, *(text or b"").lower().split(), END]))
-        length = np.array([len(p) for p in parts], np.int64)
-        self.seq = np.concatenate(parts or [np.zeros(0, np.int32)]).astype(np.int64)
-        self.begin, self.length = np.cumsum(length) - length + 1, length - 1
-        self.trained = np.repeat(~held, length)
-        self.hashes = ids.hashes()
-        self.words = len(self.hashes)
+    def __init__(self, texts: pa.Array | pa.ChunkedArray, held: np.ndarray):
+        number, length, distinct = ex.tokens(texts, lower=True)
+        n = len(distinct)
+        self.start, self.end, self.words = n, n + 1, n + 2
+        self.hashes = ex.hashes([*distinct, START, END])
+        self.begin, self.length = np.cumsum(length + 2) - length - 1, length + 1
+        self.seq = np.empty(len(number) + 2 * len(length), np.int32)
         token = np.ones(len(self.seq), bool)
         token[self.begin - 1] = False
-        self.at = np.flatnonzero(token)  # places of tokens that are read, START being none
-        self.count = np.bincount(self.seq[self.at][self.trained[self.at]], minlength=self.words)
-        self.pair, self.pair_of = np.unique(self.seq[self.at - 1] * self.words + self.seq[self.at], return_inverse=True)
-        self.own_pairs = np.bincount(self.pair_of[self.trained[self.at]], minlength=len(self.pair))
-        first, second = self.hashes[self.pair // max(1, self.words)], self.hashes[self.pair % max(1, self.words)]
+        self.at = np.flatnonzero(token).astype(np.int32)  # places of tokens that are read, START being none
+        token[self.begin + length] = False
+        self.seq[token] = number
+        self.seq[self.begin - 1], self.seq[self.begin + length] = self.start, self.end
+        self.trained = np.repeat(~held, self.length)
+        read = self.seq[self.at]
+        self.count = np.bincount(read[self.trained], minlength=self.words)
+        self.pair, of = np.unique(self.seq[self.at - 1].astype(np.int64) * self.words + read, return_inverse=True)
+        self.pair_of = of.astype(np.int32)
+        self.own_pairs = np.bincount(self.pair_of[self.trained], minlength=len(self.pair))
+        first, second = self.hashes[self.pair // self.words], self.hashes[self.pair % self.words]
         self.pair_hash = ex.mix(first * np.uint64(0xD6E8FEB86659FD93) + second)
 
     def first_asks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -202,24 +214,23 @@ class Batch:
         context = count.copy()
         context[self.start], context[self.end] = totals[2], 0  # nothing follows an end
         states = np.flatnonzero((pair_count >= state) & (self.pair % self.words != self.end))
-        number = np.full(len(self.pair), -1)
+        number = np.full(len(self.pair), -1, np.int32)
         number[states] = np.arange(len(states))
         # tokens whose two words before are a state, and whose last pair was seen
-        pair_at = np.full(len(self.seq), -1)
-        pair_at[self.at] = self.pair_of
-        before, last = pair_at[self.at - 1], self.pair_of
-        live = (before >= 0) & (pair_count[last] > 0)
-        live[live] = number[before[live]] >= 0
-        triple, of = np.unique(number[before[live]] * len(self.pair) + last[live], return_inverse=True)
-        triple_of = np.full(len(self.at), -1)
+        before = np.full(len(self.at), -1, np.int32)
+        before[1:] = number[self.pair_of[:-1]]
+        before[np.cumsum(self.length) - self.length] = -1
+        live = np.flatnonzero((before >= 0) & (pair_count[self.pair_of] > 0))
+        triple, of = np.unique(before[live].astype(np.int64) * len(self.pair) + self.pair_of[live], return_inverse=True)
+        triple_of = np.full(len(self.at), -1, np.int32)
         triple_of[live] = of
         return Grams(count, context, self.pair, pair_count, states, triple, np.zeros(0, np.int64)), totals, triple_of
 
     def second_asks(self, grams: Grams, triple_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted keys of the triples, their training counts here, and where each one's key is."""
-        own = np.bincount(triple_of[(triple_of >= 0) & self.trained[self.at]], minlength=len(grams.triple))
+        own = np.bincount(triple_of[(triple_of >= 0) & self.trained], minlength=len(grams.triple))
         pairs = max(1, len(grams.pair))
-        hashed = ex.mix(self.pair_hash[grams.state[grams.triple // pairs]] * np.uint64(0x2545F4914F6CDD1D) + self.hashes[grams.pair[grams.triple % pairs] % max(1, self.words)])
+        hashed = ex.mix(self.pair_hash[grams.state[grams.triple // pairs]] * np.uint64(0x2545F4914F6CDD1D) + self.hashes[grams.pair[grams.triple % pairs] % self.words])
         keys, where = np.unique(_tagged(hashed, _TRIPLE), return_inverse=True)
         counts = np.zeros(len(keys), np.int64)
         np.add.at(counts, where, own)
@@ -232,7 +243,7 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens",
 
 
 def _read(table: pa.Table) -> Batch:
-    return Batch(table.column("text").to_pylist(), table.column("held").to_numpy())
+    return Batch(table.column("text"), table.column("held").to_numpy())
 
 
 def _score(table: pa.Table, first: pa.Table, second: pa.Table, state: int) -> pa.Table:
@@ -240,12 +251,14 @@ def _score(table: pa.Table, first: pa.Table, second: pa.Table, state: int) -> pa
     grams, totals, triple_of = batch.grams(first, batch.first_asks()[2], state)
     known, _ = ex.told_to(_TRIPLES, second)
     grams.triple_count = known[batch.second_asks(grams, triple_of)[2]]
-    del triple_of, known
+    del triple_of, known, batch.pair_of, batch.pair_hash
     automaton = Automaton.build(grams, int(totals[0]), int(totals[1]))
-    score = automaton.score(batch.seq, batch.begin, batch.length, batch.start)
+    seen, batch.pair, batch.own_pairs = grams.count > 0, None, None
+    del grams
+    score = automaton.score(batch.seq, batch.begin, batch.length)
     tokens = batch.seq[batch.at]
     starts = np.cumsum(batch.length) - batch.length
-    n_known = np.add.reduceat((grams.count > 0)[tokens].astype(np.int64), starts)
+    n_known = np.add.reduceat(seen[tokens].astype(np.int64), starts)
     base = np.add.reduceat(automaton.root[tokens], starts)
     n = len(score)
     doc_id, held = table.column("doc_id").combine_chunks(), table.column("held").combine_chunks()

@@ -38,24 +38,20 @@ NO_ID = np.iinfo(np.int64).max
 class Batch:
     """Words of a batch's texts end to end, as numbers and hashes."""
 
-    texts: list[list[bytes]]
     doc_id: np.ndarray
     start: np.ndarray
+    length: np.ndarray
     row: np.ndarray
     hashes: np.ndarray
     window: int
     anchor: int
 
     @classmethod
-    def read(cls, table: pa.Table, window: int, anchor: int) -> Batch:
-        texts = [(t or b"").split() for t in table.column("text").to_pylist()]
-        ids = ex.Ids()
-        parts = [ids.of(t) for t in texts]
-        length = np.array([len(p) for p in parts], np.int64)
-        words = np.concatenate(parts or [np.zeros(0, np.int32)])
-        doc_id = np.array([NO_ID if d is None else d for d in table.column("doc_id").to_pylist()], np.int64)
-        hashes = ids.hashes()[words] if len(words) else np.zeros(0, np.uint64)
-        return cls(texts, doc_id, np.cumsum(length) - length, np.repeat(np.arange(len(parts)), length), hashes, window, anchor)
+    def read(cls, table: pa.Table, window: int, anchor: int) -> "Batch":
+        number, length, distinct = ex.tokens(table.column("text"))
+        doc_id = pc.fill_null(table.column("doc_id"), NO_ID).to_numpy()
+        hashes = ex.hashes(distinct)[number] if len(number) else np.zeros(0, np.uint64)
+        return cls(doc_id, np.cumsum(length) - length, length, np.repeat(np.arange(len(length), dtype=np.int32), length), hashes, window, anchor)
 
     def grams(self, size: int) -> np.ndarray:
         """Hash of the ``size`` words from each position on, where so many are left."""
@@ -283,8 +279,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot: int
             np.add.at(gone, bad + batch.window, -1)
         keep = np.cumsum(gone[:n]) == 0
         out = []
-        for d, words, s in zip(left.column("doc_id").to_pylist(), batch.texts, batch.start):
-            flags = keep[s : s + len(words)]
+        for d, text, s, size in zip(left.column("doc_id").to_pylist(), left.column("text").to_pylist(), batch.start, batch.length):
+            words, flags = (text or b"").split(), keep[s : s + size]
             kept = words if flags.all() else [w for w, k in zip(words, flags.tolist()) if k]
             out.append((d, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
         return pa.table([pa.array([r[i] for r in out], f.type) for i, f in enumerate(_OUT)], schema=_OUT)
