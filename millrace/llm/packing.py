@@ -11,7 +11,8 @@ from .common import word_count
 
 BUCKETS = 16
 TOKEN_BUDGET = 65_536
-SLICES = 64
+#: Rows are numbered in slices of about SLICE_ROWS, SLICES of them at least.
+SLICES, SLICE_ROWS = 64, 4_000_000
 
 
 def optimal_boundaries(histogram: list[tuple[int, int]], buckets: int) -> list[int]:
@@ -62,7 +63,7 @@ def optimal_boundaries(histogram: list[tuple[int, int]], buckets: int) -> list[i
     return out[::-1]
 
 
-def pack(docs: DataFrame, buckets: int = BUCKETS, token_budget: int = TOKEN_BUDGET, slices: int = SLICES) -> DataFrame:
+def pack(docs: DataFrame, buckets: int = BUCKETS, token_budget: int = TOKEN_BUDGET, slices: int | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, bucket, bucket_len, batch_id, slot, padding.
 
     Every batch of a bucket holds max(1, token_budget // bucket_len) rows but for its last one,
@@ -77,6 +78,7 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, token_budget: int = TOKEN_BUDG
     counts = sized.groupBy("n_tokens").agg(F.count("*").alias("rows"))
     histogram = sorted((r["n_tokens"], r["rows"]) for r in counts.collect())
     bounds = optimal_boundaries(histogram, buckets)
+    slices = slices or max(SLICES, sum(rows for _, rows in histogram) // SLICE_ROWS)
     n = F.col("n_tokens")
     bucket = sum(((n > b).cast("int") for b in bounds[:-1]), F.lit(0))
     placed = sized.withColumn("bucket", bucket).withColumn("bucket_len", F.element_at(F.array(*[F.lit(b).cast("long") for b in bounds or [0]]), F.col("bucket") + 1))
