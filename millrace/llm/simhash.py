@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
+from ..operators.skew import join_counted
 from ..session import settle
 from .common import byte_batches
 
@@ -187,15 +188,15 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) ->
     table gives no rows; other columns are not looked at.
     """
     printed = settle(fingerprints(docs))
-    distinct = settle(printed.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    distinct = settle(printed.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("size")))
     links = settle(fingerprint_links(distinct, radius, tile))
     groups = connected_components(links).withColumnRenamed("node", "fp")
     linked = groups.join(distinct, "fp")
     least = linked.groupBy("component").agg(F.min("least").alias("group_least"))
     of_linked = groups.join(least, "component").select("fp", "group_least")
-    named = distinct.join(of_linked, "fp", "left").select("fp", F.coalesce("group_least", "least").alias("component_id"))
+    named = distinct.join(of_linked, "fp", "left").select("fp", "size", F.coalesce("group_least", "least").alias("component_id"))
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
-    return printed.join(named, "fp").select("doc_id", "fp", hexed.alias("fingerprint"), "component_id")
+    return join_counted(printed, settle(named), "fp").select("doc_id", "fp", hexed.alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
