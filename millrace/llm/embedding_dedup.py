@@ -1,9 +1,12 @@
 """Embedding near-duplicates by PCA-ordered tiled comparison.
 
-Vectors are rotated to principal axes, the largest variance first. A tile pair accumulates the
-leading dimensions of all its products in one matrix product whose extra column is the norm of
-what is left, which bounds the rest; pairs whose bound cannot reach the threshold stop there,
-the others go on in steps, and what remains is decided by the cosine in double precision.
+Vectors are rotated to principal axes, the largest variance first, and cut into blocks and tiles
+along the leading one: blocks and tiles whose ranges on it lie further apart than a pair at the
+threshold can, are never compared. A tile pair accumulates the leading dimensions of all its
+products in one matrix product whose extra column is the norm of what is left, which bounds the
+rest; pairs whose bound cannot reach the threshold stop there, the others go on in steps, and
+what remains is decided by the cosine in double precision. In a tile pair where over an eighth of
+the pairs pass the first bound, the other steps are one product over all dimensions.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
+from ..operators.skew import join_counted
 from ..session import settle
 from .vectors import Forest, matrix, sound
 
@@ -24,6 +28,8 @@ THRESHOLD = 0.9
 BLOCK, TILE = 8192, 1024
 #: Vectors, of least hash, from which the axes are taken; any axes give the same result.
 AXES_ROWS = 4096
+#: Ranges of the leading axis, at most, by which vectors are dealt to blocks.
+SLABS = 64
 #: What a bound may be off by, as the screening product is in single precision.
 SLACK = 1e-4
 
@@ -34,6 +40,16 @@ def principal_axes(x: np.ndarray) -> np.ndarray:
     return axes[:, np.argsort(-values)]
 
 
+def reach(threshold: float) -> float:
+    """How far apart unit vectors of that cosine lie at most, on any axis."""
+    return float(np.sqrt(max(0.0, 2 - 2 * threshold))) + SLACK
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times the power of two that brings their largest component near 1: same cosines, and norms in range."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
+
+
 def steps_of(dim: int) -> list[int]:
     """Dimensions after which the bound is tried."""
     return sorted({max(1, dim // 4), max(1, dim // 2), dim})
@@ -72,11 +88,18 @@ def compare_blocks(x: np.ndarray, first: np.ndarray, second: np.ndarray, axes: n
     Returns for each row the weight of the rows it links with, and the least row of its component.
     """
     links, forest = np.zeros(len(x), np.int64), Forest(len(x))
+    if not len(x):
+        return links, forest.label
+    x = scaled(x)
     unit = (x / np.sqrt((x * x).sum(1))[:, None]) @ axes
-    within = first is second
+    within, far = first is second, reach(threshold)
+    first = first[np.argsort(unit[first, 0], kind="stable")]
+    second = first if within else second[np.argsort(unit[second, 0], kind="stable")]
     for s in range(0, len(first), tile):
         for t in range(s if within else 0, len(second), tile):
             p, q = first[s : s + tile], second[t : t + tile]
+            if unit[q[0], 0] - unit[p[-1], 0] > far or unit[p[0], 0] - unit[q[-1], 0] > far:
+                continue
             i, j = close_pairs(x[p], x[q], unit[p], unit[q], threshold)
             if within and s == t:
                 above = i < j
@@ -96,11 +119,12 @@ def class_links(classes: DataFrame, threshold: float = THRESHOLD, block: int = B
     sizes = classes.groupBy(F.size("x").alias("dim")).agg(F.count("*").alias("n")).collect()  # one row per dimension
     parts = []
     for r in sizes:
-        dim, grid = r["dim"], -(-r["n"] // block)
+        dim = r["dim"]
         rows = classes.where(F.size("x") == dim)
         sample = rows.orderBy(F.xxhash64("x"), "cid").limit(AXES_ROWS).select("x").toArrow().column("x").combine_chunks()
-        sample = matrix(sample, np.float64)
-        axes = principal_axes(sample / np.sqrt((sample * sample).sum(1))[:, None])
+        sample = scaled(matrix(sample, np.float64))
+        sample /= np.sqrt((sample * sample).sum(1))[:, None]
+        axes = principal_axes(sample)
 
         def compare(batches: Iterator[pa.RecordBatch], axes: np.ndarray = axes) -> Iterator[pa.RecordBatch]:
             """Runs of one pair of blocks, in order; a run holds two blocks at most."""
@@ -131,8 +155,27 @@ def class_links(classes: DataFrame, threshold: float = THRESHOLD, block: int = B
             if held:
                 yield one(held)
 
-        own = F.pmod(F.xxhash64("cid"), F.lit(grid)).cast("int")
-        dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
+        # slabs along the leading axis, each cut by hash into blocks of about ``block`` rows
+        cuts = np.unique(np.quantile(sample @ axes[:, 0], np.linspace(0, 1, min(SLABS, -(-r["n"] // block)) + 1)[1:-1])).tolist()
+        largest = F.array_max(F.transform("x", lambda v: F.abs(v)))
+        near_one = F.transform("x", lambda v: v / largest)
+        norm = F.sqrt(F.aggregate(near_one, F.lit(0.0), lambda t, v: t + v * v))
+        lead = F.aggregate(F.zip_with(near_one, F.lit(axes[:, 0].tolist()), lambda v, w: v * w), F.lit(0.0), lambda t, v: t + v) / norm
+        slab = F.size(F.filter(F.lit(cuts), lambda c: c < F.col("lead"))) if cuts else F.lit(0)
+        rows = settle(rows.withColumn("lead", lead).withColumn("slab", slab))
+        found = sorted(rows.groupBy("slab").agg(F.count("*").alias("n"), F.min("lead").alias("lo"), F.max("lead").alias("hi")).collect())  # SLABS rows at most
+        blocks, start = [-(-f["n"] // block) for f in found], 0
+        ranges = []
+        for n in blocks:
+            ranges.append((start, start + n - 1))
+            start += n
+        far = reach(threshold)
+        near = {f["slab"]: [s for s, g in zip(ranges, found) if max(g["lo"] - f["hi"], f["lo"] - g["hi"]) <= far] for f in found}
+        mine = {f["slab"]: s for f, s in zip(found, ranges)}
+        both = F.create_map(*[x for k in near for x in (F.lit(k), F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in near[k]]))])[F.col("slab")]
+        first, last = (F.create_map(*[F.lit(x) for k in mine for x in (k, mine[k][i])])[F.col("slab")] for i in (0, 1))
+        own = (first + F.pmod(F.xxhash64("cid"), last - first + 1)).cast("int")
+        dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.flatten(F.transform(both, lambda s: F.sequence(s["a"], s["b"])))))
         dealt = dealt.select(
             F.least("own", "other").alias("low"),
             F.greatest("own", "other").alias("high"),
@@ -174,9 +217,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     named = (
         classes.join(links, "cid", "left")
         .join(of_linked, "cid", "left")
-        .select("x", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("group_least", "least").alias("component_id"))
+        .select("x", "weight", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("group_least", "least").alias("component_id"))
     )
-    linked = rows.where("x IS NOT NULL").join(named, "x").select("vec_id", "n_links", "component_id")
+    linked = join_counted(rows.where("x IS NOT NULL"), settle(named), "x", "weight").select("vec_id", "n_links", "component_id")
     alone = rows.where("x IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
 

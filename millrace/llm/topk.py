@@ -76,13 +76,18 @@ def top_k(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY, scale: int =
     smaller vec_id. Null and empty vectors, those with null or non-finite components and rows
     with a null vec_id take no part; vectors of different dimensions don't meet; a repeated row
     is a candidate of its own, one query with its other occurrences, and never its own result.
-    An empty table gives no rows; other columns are not looked at.
+    An empty table gives no rows; other columns are not looked at. Scores are exact: a component
+    so large that an inner product might not fit 64 bits, beyond sqrt(2^63 / dimensions) once
+    scaled, is an error.
 
     Of equal vectors only rows of the k + 1 smallest ids can be in a result, k of each id at
     most, so a group of copies never reaches a task as a whole. Each pair of a candidate block
     and a query block is a task.
     """
-    ints = F.transform("embedding", lambda v: F.floor(v.cast("double") * scale).cast("long"))
+    wide = F.transform("embedding", lambda v: F.floor(v.cast("double") * scale))
+    most = F.sqrt(F.lit(float(2**63)) / F.size("embedding"))
+    too_large = F.exists(F.transform("embedding", lambda v: v.cast("double") * scale), lambda v: F.abs(v) + 1 >= most)
+    ints = F.when(too_large, F.raise_error(F.lit("a component is too large for scores of 64 bits"))).otherwise(F.transform(wide, lambda v: v.cast("long")))
     rows = vectors.where(sound(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), ints.alias("x"))
     copies = Window.partitionBy("x").orderBy("vec_id")
     same = Window.partitionBy("x", "vec_id").orderBy("vec_id")

@@ -66,6 +66,46 @@ def test_close_pairs_in_dense_and_sparse_tiles():
         assert set(zip(i, j)) == set(zip(*np.nonzero(unit @ unit.T >= 0.9)))
 
 
+def test_vectors_of_extreme_norms(spark):
+    rows = [(1, [1e200, 1e200]), (2, [1e200, 1.1e200]), (3, [1.0, 1.0]), (4, [1e-200, 1e-200]), (5, [1.0, -1.0]), (6, [5e-324, 5e-324])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = plain(dedup.near_duplicates(table), "vec_id")
+    assert [(r["n_links"], r["component_id"]) for r in got] == [(4, 1), (4, 1), (4, 1), (4, 1), (0, 5), (4, 1)]
+
+
+def test_distant_blocks_are_not_dealt(spark):
+    """Vectors around two far points: no block of one meets a block of the other, and no link is lost."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal([3, 1, 0, 0], 0.4, (150, 4)), rng.normal([-3, 0, 1, 0], 0.4, (150, 4))])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    assert plain(dedup.near_duplicates(frame(spark, rows), block=30, tile=10), "vec_id") == brute([(i, np.float32(v).tolist()) for i, v in rows])
+    compared = []
+    original, dedup.close_pairs = dedup.close_pairs, lambda a, b, *more: (compared.append(len(a) * len(b)), original(a, b, *more))[1]
+    try:
+        unit = x / np.linalg.norm(x, axis=1)[:, None]
+        every = np.arange(300)
+        dedup.compare_blocks(x, every, every, dedup.principal_axes(unit), np.ones(300, np.int64), 0.9, 30)
+    finally:
+        dedup.close_pairs = original
+    assert sum(compared) < 0.6 * 300 * 330 / 2
+
+
+def test_top_k_of_large_components(spark):
+    def table(v):
+        return spark.createDataFrame([(0, [v, 1.0]), (1, [1.0, 2.0])], "vec_id long, embedding array<float>")
+
+    large = float(np.float32(5_000_000.3))
+    got = topk.top_k(table(large)).collect()
+    assert [tuple(r) for r in got] == [(0, 1, 1, int(np.floor(256 * large)) * 256 + 256 * 512)]
+    with pytest.raises(Exception, match="too large"):
+        topk.top_k(table(1e30)).collect()
+
+
+def test_top_k_of_null_ids(spark):
+    rows = [(None, [1.0, 1.0]), (50, [1.0, 0.0]), (50, [1.0, 0.0]), (3, [2.0, 0.0])]
+    assert [tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()] == [(50, 1, 3, 256 * 512)]
+
+
 def test_forest():
     f = Forest(8)
     f.link(np.array([5, 2]), np.array([6, 5]))
