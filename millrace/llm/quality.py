@@ -7,6 +7,7 @@ A quantile of the training scores becomes the threshold, placed at 0.7 of the fi
 
 import math
 import operator
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,42 +25,45 @@ FIT_ROWS = 12_000
 PAIRS = 60_000
 THRESHOLD = 0.7
 
-FEATURES = ("symbols", "exclamations", "upper", "digits", "bars", "stutter", "repeated_words", "repeated_lines", "word_length", "no_words", "marked_words")
+FEATURES = ("symbols", "exclamations", "upper", "digits", "stutter", "repeated_words", "repeated_lines", "word_length", "no_letters", "no_words")
 _SYMBOLS = np.zeros(256, bool)
-_SYMBOLS[[ord(c) for c in "#$%&*+/<=>@\\^_`{}~[]"]] = True
+_SYMBOLS[[ord(c) for c in "#$%&*+/<=>@\\^_`{|}~[]"]] = True
 _UPPER, _LOWER, _DIGITS = (np.isin(np.arange(256), list(map(ord, s))) for s in ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"))
-_MARKS = tuple("!#$%&*|~^=<>")
 
 
 def features(text: str | None) -> list[float]:
-    """Shares in [0, 1] of a whole text, as square roots so that a spoilt part of a text shows."""
+    """Shares in [0, 1] of a whole text, as square roots so that a spoilt part of a text shows.
+
+    Symbols other than sentence marks, exclamation marks and digits among bytes; capitals among
+    ASCII letters; words that repeat the one before; the distance from all words being distinct, on
+    a log scale; lines that repeat another; word length; words without a letter; texts without words.
+    """
     text = text or ""
     words = text.split()
     if not words:
-        return [0.0] * 9 + [1.0, 0.0]
+        return [0.0] * 9 + [1.0]
     counts = np.bincount(np.frombuffer(text.encode("utf-8", "replace"), np.uint8), minlength=256)
     n, m = int(counts.sum()), len(words)
     upper, lower = int(counts[_UPPER].sum()), int(counts[_LOWER].sum())
     lines = [x for x in text.split("\n") if x]
-    stutter = sum(map(operator.eq, words, words[1:])) / m
-    distinct = math.log1p(len(set(words))) / math.log1p(m)
-    marked = sum(w.endswith(_MARKS) for w in words) / m
     shares = (
         counts[_SYMBOLS].sum() / n,
         counts[33] / n,
         upper / max(1, upper + lower),
         counts[_DIGITS].sum() / n,
-        counts[124] / n,
-        stutter,
-        max(0.0, 1 - distinct),
+        sum(map(operator.eq, words, words[1:])) / m,
+        max(0.0, 1 - math.log1p(len(set(words))) / math.log1p(m)),
         1 - len(set(lines)) / max(1, len(lines)),
         min(1.0, n / m / 40),
+        sum(not _LETTER.search(w) for w in words) / m,
         0.0,
-        marked,
     )
     return [math.sqrt(x) for x in shares]
 
 
+_LETTER = re.compile(r"[^\W\d_]")
+
+
 @dataclass(frozen=True)
 class QualityModel:
     mean: np.ndarray

@@ -68,3 +68,35 @@ def test_mixing_and_packing(stages):
 
 def test_run(spark, sf001, stages):
     assert sorted(map(tuple, cp.run(spark, sf001).collect())) == sorted(map(tuple, stages["packing"][1].collect()))
+
+
+@pytest.mark.parametrize("name", [n for n, _ in cp.STAGES])
+def test_stage_on_odd_rows(spark, sf001, odd_docs, name):
+    stage = dict(cp.STAGES)[name]
+    out = stage(spark, odd_docs, sf001)
+    rows, before = out.collect(), odd_docs.collect()
+    empty = stage(spark, odd_docs.limit(0), sf001)
+    assert empty.count() == 0 and empty.columns == out.columns
+    if name == "packing":
+        assert len(rows) == len(before) and all(r.padding == r.bucket_len - r.n_tokens for r in rows)
+        return
+    assert out.columns == odd_docs.columns and all(r[c] == "clash" for r in rows for c in ("score", "fp", "held"))
+    ids = sorted((r.doc_id is None, r.doc_id or 0) for r in rows)
+    if name == "quality":
+        assert {tuple(r) for r in rows} <= {tuple(r) for r in before}
+        assert sum(r.doc_id == 6 for r in rows) in (0, 2) and len({r.doc_id in {x.doc_id for x in rows} for r in before if r.doc_id in (1, 2, 3)}) == 1
+    elif name == "simhash":
+        assert ids == [(False, 1), (False, 4), (False, 5), (False, 6), (False, 7), (False, 8), (True, 0)]
+    elif name == "pii":
+        assert len(rows) == len(before) and {r.doc_id: r.text for r in rows}[1] is None
+    else:
+        assert {tuple(r) for r in rows} <= {tuple(r) for r in before}
+        per = {r.doc_id: sum(x.doc_id == r.doc_id for x in rows) for r in before}
+        assert per[6] % 2 == 0 and max(per.values()) <= 6
+
+
+def test_stages_over_nothing(spark, sf001, odd_docs):
+    docs = odd_docs.limit(0)
+    for _, stage in cp.STAGES:
+        docs = stage(spark, docs, sf001)
+    assert docs.count() == 0
