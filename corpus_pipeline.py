@@ -18,29 +18,51 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go; it learns from the labels beside the input."""
+    """Documents that the classifier rejects go; it learns from the labels beside the input.
+
+    Null and empty texts are judged as texts without words; rows with a null doc_id are judged like
+    others; repeated rows share one fate; an empty table stays empty; where labels know one class
+    only, or none, all rows get its share, or 1. Other columns pass as they are.
+    """
     model = quality.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     scored = quality.classify(docs, model, "__score")
     return scored.where(F.col("__score") >= quality.THRESHOLD).drop("__score")
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one of smallest doc_id."""
+    """One document of each group of near-duplicates stays, the one of smallest doc_id, null last.
+
+    Null and empty texts are one group; of repeated rows one stays; rows without an id stay where no
+    other of their group has one; an empty table stays empty. Other columns pass as they are.
+    """
     return simhash.keep_one(docs)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind; n_chars follows the text."""
+    """Personal data is replaced by its kind; n_chars follows the text.
+
+    A null text stays null, an empty one empty; repeated rows stay equal; an empty table stays
+    empty. Other columns pass as they are.
+    """
     return pii.redact(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated or left out so that sources meet their target weights."""
+    """Documents are repeated or left out so that sources meet their target weights.
+
+    A null source is a source of its own, last in order; a source without any word is left out, as it
+    has no target; null and empty texts go with their source's rate; repeated rows, and rows without
+    an id, are decided alike; an empty table stays empty. Other columns pass as they are.
+    """
     return mixing.mix(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row gets a length bucket, a token-budget batch and a slot in it."""
+    """Each row gets a length bucket, a token-budget batch and a slot in it.
+
+    Null and empty texts have length 0; repeated rows and rows without an id are packed each; an
+    empty table gives no rows. Columns other than doc_id and text are not looked at.
+    """
     return packing.pack(docs)
 
 
