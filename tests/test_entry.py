@@ -1,8 +1,13 @@
 """The driver contract, with and without the llm subpackage."""
 
-import importlib
+import importlib.util
+import pathlib
 import sys
 
+import pytest
+
+LLM = (pathlib.Path(__file__).resolve().parent.parent / "millrace" / "llm" / "__init__.py").is_file()
+
 
 def test_contract():
     import __spark_entry__ as entry
@@ -17,11 +22,32 @@ def test_flagship(spark):
     assert entry.entry(spark).count() == 200
 
 
-def test_without_llm(monkeypatch):
-    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
-    monkeypatch.delitem(sys.modules, "__spark_entry__", raising=False)
-    entry = importlib.import_module("__spark_entry__")
-    names = entry.queries()
-    assert "story_map" in names and "pipeline" not in names and not any(n.startswith("op1_") for n in names)
-    assert set(entry.oracle_sql()) <= set(names)
-    monkeypatch.delitem(sys.modules, "__spark_entry__")
+def reload(monkeypatch, tmp_path, **absent):
+    """The entry as a module of its own, beside an llm folder or none, with some imports failing."""
+    import os
+
+    here = pathlib.Path(__file__).resolve().parent.parent
+    for name in [n for n in sys.modules if n.startswith(("millrace.llm", "corpus_pipeline"))]:
+        monkeypatch.delitem(sys.modules, name)
+    for name in absent["modules"]:
+        monkeypatch.setitem(sys.modules, name, None)
+    monkeypatch.setattr(os.path, "isfile", lambda p, real=os.path.isfile: absent["there"] and real(p))
+    spec = importlib.util.spec_from_file_location("entry_again", here / "__spark_entry__.py")
+    module = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(module)
+    return module
+
+
+def test_without_llm(monkeypatch, tmp_path):
+    for modules, there in ((["corpus_pipeline"], False), (["xxhash"], True)):
+        with monkeypatch.context() as patch:
+            entry = reload(patch, tmp_path, modules=modules, there=there)
+            names = entry.queries()
+            assert "story_map" in names and "pipeline" not in names and not any(n.startswith("op1_") for n in names)
+            assert set(entry.oracle_sql()) <= set(names)
+
+
+@pytest.mark.skipif(not LLM, reason="needs the llm subpackage")
+def test_mistakes_in_llm_do_not_pass_for_its_absence(monkeypatch, tmp_path):
+    with pytest.raises(ModuleNotFoundError):
+        reload(monkeypatch, tmp_path, modules=["millrace.llm.mixing"], there=True)
