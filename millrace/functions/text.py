@@ -210,6 +210,16 @@ def seen_in_text(name: Column, haystack: Column) -> Column:
     return F.coalesce((n != "") & (F.contains(haystack, n) | by_stem), F.lit(False))
 
 
+def topic_tokens(text: Column, letters: str = "а-яё") -> Column:
+    """Lower-cased words of ``letters`` alone, hyphens allowed inside; other characters part words."""
+    return F.regexp_extract_all(F.lower(text), F.lit(f"[{letters}]+(?:-[{letters}]+)*"), F.lit(0))
+
+
+def canonical_json(**fields: Column) -> Column:
+    """JSON of an object whose keys are sorted; null fields are kept."""
+    return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})
+
+
 def numbered(prefix: str, number: Column, width: int) -> Column:
     """Ids like a_0000012."""
     return F.concat(F.lit(f"{prefix}_"), F.lpad(number.cast("string"), width, "0"))

@@ -277,6 +277,54 @@ def monthly_stats(story_entities: DataFrame, edges: DataFrame) -> DataFrame:
     return out.select("month", "stories", "nodes", "edges", density.alias("density"), "new_edges", "new_strong_edges")
 
 
+def monthly_shapes(edges: DataFrame) -> DataFrame:
+    """(month, components, largest_component_share): all months' graphs are one graph whose nodes carry their month."""
+    name = lambda c: F.concat_ws("\x00", "month", F.col(c).cast("string")).alias(c)
+    parts = connected_components(edges.select(name("a"), name("b")), "a", "b")
+    sizes = parts.groupBy(F.substring_index("component", "\x00", 1).alias("month"), "component").agg(F.count("*").alias("size"))
+    share = F.max("size").cast("double") / F.sum("size").cast("double")
+    return sizes.groupBy("month").agg(F.count("*").alias("components"), share.alias("largest_component_share"))
+
+
+def monthly_pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 50, top: int = 10) -> DataFrame:
+    """(month, rank, node, pagerank) of the ``top`` nodes of each month, all months iterated together."""
+    there = edges.select("month", F.col("a").alias("node"), F.col("b").alias("other"), F.col("pmi").alias("w"))
+    both = there.unionByName(edges.select("month", F.col("b").alias("node"), F.col("a").alias("other"), F.col("pmi").alias("w")))
+    links = settle(both.withColumn("p", F.col("w") / F.sum("w").over(Window.partitionBy("month", "node"))).select("month", "node", "other", "p"))
+    sizes = links.groupBy("month").agg(F.count_distinct("node").cast("double").alias("n"))
+    ranks = links.select("month", "node").distinct().join(sizes, "month").withColumn("pr", F.lit(1.0) / F.col("n"))
+    for k in range(rounds):
+        got = links.join(ranks, ["month", "node"]).groupBy("month", "other", "n").agg(F.sum(F.col("pr") * F.col("p")).alias("s"))
+        ranks = got.select("month", F.col("other").alias("node"), "n", (F.lit(1 - alpha) / F.col("n") + F.lit(alpha) * F.col("s")).alias("pr"))
+        if (k + 1) % 5 == 0:
+            ranks = settle(ranks)
+    rank = F.row_number().over(Window.partitionBy("month").orderBy(F.round("pr", 9).desc(), "node"))
+    return ranks.withColumn("rank", rank).where(F.col("rank") <= top).select("month", "rank", "node", F.col("pr").alias("pagerank"))
+
+
+def monthly_communities(edges: DataFrame, seed: int = 42, max_edges: int = 2_000_000) -> DataFrame:
+    """(month, communities, modularity): Louvain on each month's graph, one task a month of at most ``max_edges`` edges (checked)."""
+    largest = edges.groupBy("month").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest > max_edges:
+        raise ValueError(f"louvain takes at most {max_edges} edges a month, not {largest}: filter the graphs first")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        adjacency: dict = defaultdict(dict)
+        for a, b, w in pdf.sort_values(["a", "b"])[["a", "b", "pmi"]].itertuples(index=False):
+            adjacency[a][b] = adjacency[b][a] = w
+        member = _louvain(adjacency, seed)
+        m2 = sum(sum(v.values()) for v in adjacency.values())
+        inner, degree = defaultdict(float), defaultdict(float)
+        for u, near in adjacency.items():
+            for v, w in near.items():
+                degree[member[u]] += w
+                inner[member[u]] += w if member[u] == member[v] else 0.0
+        q = sum(inner[c] / m2 - (degree[c] / m2) ** 2 for c in degree)
+        return pd.DataFrame({"month": [pdf["month"].iloc[0]], "communities": [len(degree)], "modularity": [q]})
+
+    return edges.select("month", "a", "b", "pmi").groupBy("month").applyInPandas(run, "month string, communities long, modularity double")
+
+
 def agreement(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """One row: n, nmi (arithmetic mean) and ari of two labellings of the same rows."""
     cells = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").cast("double").alias("n"))

@@ -33,6 +33,11 @@ def parse_time(text: Column, fmt: str = "yyyy-MM-dd HH:mm:ss") -> Column:
     return F.try_to_timestamp(F.when(F.length(text) == 10, F.concat(text, F.lit(" 00:00:00"))).otherwise(text), F.lit(fmt))
 
 
+def offset_instant(text: Column) -> Column:
+    """The instant of an ISO 8601 text with an offset or Z; without one it counts as UTC; null where it doesn't parse."""
+    return F.try_to_timestamp(F.when(text.rlike(r"(Z|[+-]\d\d:?\d\d)$"), text).otherwise(F.concat(text, F.lit("Z"))))
+
+
 def calendar(frame: DataFrame, day: str = "date") -> DataFrame:
     """Every day from the first to the last one in ``frame``."""
     ends = frame.agg(F.min(day).alias("a"), F.max(day).alias("b")).where("a IS NOT NULL")

@@ -118,6 +118,16 @@ def model_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", X.model_input(F.col("title"), F.col("text")).alias("model_input"), X.short_digest(F.coalesce("text", F.lit("")), 8).alias("version"), X.numbered("a", F.col("doc_id"), 7).alias("article_id"), X.fold_yo(F.col("text")).alias("folded"))
 
 
+@query("SELECT doc_id, array_to_string(regexp_extract_all(lower(text), '[a-zà-ÿ]+(?:-[a-zà-ÿ]+)*'), ' ') AS tokens FROM documents")
+def topic_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(X.topic_tokens(F.col("text"), "a-zà-ÿ"), " ").alias("tokens"))
+
+
+@query("""SELECT doc_id, '{"chars":' || coalesce(n_chars::VARCHAR, 'null') || ',"doc_id":' || doc_id || ',"lang":' || coalesce('"' || lang || '"', 'null') || '}' AS dump FROM documents""")
+def canonical_dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", X.canonical_json(lang=F.col("lang"), chars=F.col("n_chars"), doc_id=F.col("doc_id")).alias("dump"))
+
+
 @query(f"""WITH {WORDED}, k AS (SELECT doc_id, sha256(array_to_string(ws, ' ')) AS digest FROM worded WHERE len(ws) > 0)
 SELECT doc_id, digest, min(doc_id) OVER (PARTITION BY digest) AS first, count(*) OVER (PARTITION BY digest) AS size FROM k""")
 def exact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from ..functions import text as X
 from ..operators import enrichment as E
 from ..operators import topics as T
 from ..session import table
+from ..sources import runs as U
 from .base import query
 from .corpus import WORDED
 
@@ -159,6 +160,24 @@ def unprocessed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.todo(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("article_id")), done)
 
 
+@query("SELECT shard_id, count(*) AS rows FROM (SELECT (row_number() OVER (ORDER BY o_orderkey) - 1) // 700 AS shard_id, o_orderkey FROM orders) WHERE o_orderkey % 1000 <> 7 GROUP BY 1 HAVING count(*) = 700 OR (shard_id = (SELECT (count(*) - 1) // 700 FROM orders) AND count(*) = (SELECT (count(*) - 1) % 700 + 1 FROM orders))")
+def closed_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
+    done = E.shard_ids(orders, ["o_orderkey"], 700).where("o_orderkey % 1000 <> 7")
+    return U.closed_shards(done, orders.count(), 700)
+
+
+@query(f"WITH run AS ({RUN}) SELECT count(*) AS total, count(*) FILTER (ok) AS done, count(*) FILTER (NOT ok) AS \"left\", count(*) FILTER (NOT ok) AS failed, round(100.0::DOUBLE * count(*) FILTER (ok) / count(*), 2) AS percent, count(*) FILTER (ok) - 10 AS done_this_run, round((count(*) FILTER (ok) - 10) / 60.0::DOUBLE, 2) AS docs_per_sec, round(count(*) FILTER (NOT ok) / ((count(*) FILTER (ok) - 10) / 60.0::DOUBLE) / 60, 1) AS eta_minutes FROM run")
+def run_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = _run(spark, sf_dir).agg(F.count("*").alias("total"), F.count_if("ok").alias("done"), F.count_if(~F.col("ok")).alias("failed"))
+    return U.progress(counts, 10, 60.0)
+
+
+@query(f"WITH run AS ({RUN}) SELECT count(*) AS documents, 1.5::DOUBLE AS gpu_hours, round(3.0::DOUBLE / count(*), 6) AS cost_per_document FROM run")
+def run_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return U.cost(E.run_summary(_run(spark, sf_dir)), 90.0, 2.0).select("documents", "gpu_hours", "cost_per_document")
+
+
 CTF = f"""{WORDED}, tok AS (SELECT lang AS topic, unnest(ws) AS word FROM worded JOIN (SELECT doc_id, lang FROM documents) USING (doc_id)), c AS (SELECT topic, word, count(*) AS n FROM tok GROUP BY 1, 2),
 tt AS (SELECT topic, sum(n) AS topic_n FROM c GROUP BY 1), wt AS (SELECT word, sum(n) AS word_n FROM c GROUP BY 1),
 w AS (SELECT topic, word, n, sqrt(n::DOUBLE / topic_n::DOUBLE) * ln(1 + (SELECT avg(topic_n) FROM tt) / word_n::DOUBLE) AS weight FROM c JOIN tt USING (topic) JOIN wt USING (word)),

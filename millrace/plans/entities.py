@@ -325,3 +325,20 @@ def linked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = d.keyed.groupBy("article_id").agg(F.sort_array(F.collect_list(entity)).alias("entities"))
     out = M.link(docs, lookup)
     return out.select("article_id", F.array_join(F.transform("entities", lambda e: F.concat(e["name"], F.lit(">"), e["entity_id"])), ",").alias("linked"))
+
+
+@query(f"""WITH RECURSIVE {CLUSTERS}, sizes_ AS (SELECT cluster, count(*) AS n FROM meth GROUP BY 1)
+SELECT (SELECT count(*) FROM forms) AS surface_forms, (SELECT count(*) FROM norm) AS normalized_forms, (SELECT count(*) FROM ids) AS entities, (SELECT count(*) FROM vp) AS merge_pairs, (SELECT count(*) FROM norm WHERE active) AS active_forms,
+  (SELECT count(*) FROM norm WHERE NOT active) AS tail_forms, (SELECT count(*) FROM norm WHERE type_ambiguous) AS type_ambiguous_forms, (SELECT count(*) FROM sizes_ WHERE n > 1) AS entities_merged_by_llm""")
+def linking_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = Dictionary.read(spark, sf_dir)
+    votes, merged = d.votes(), d.clustered()
+    figures = d.norm.agg(F.count("*").alias("normalized_forms"), F.count_if("active").alias("active_forms"), F.count_if(~F.col("active")).alias("tail_forms"), F.count_if("type_ambiguous").alias("type_ambiguous_forms"))
+    more = [
+        d.forms.agg(F.count("*").alias("surface_forms")),
+        votes.agg(F.count("*").alias("merge_pairs")),
+        merged.norm.groupBy("cluster").agg(F.count("*").alias("n")).agg(F.count("*").alias("entities"), F.count_if(F.col("n") > 1).alias("entities_merged_by_llm")),
+    ]
+    for part in more:
+        figures = figures.crossJoin(F.broadcast(part))  # one row each
+    return figures

@@ -179,6 +179,59 @@ def monthly_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.monthly_stats(*_monthly(spark, sf_dir))
 
 
+PMONTH = f"""{SE}, {_edges_sql("month", 3, 2, 0.0).replace("edges AS (SELECT * FROM", "raw_ AS (SELECT * FROM")}, edges AS (SELECT month, a, b, n_stories, pmi + 1 AS pmi FROM raw_)"""
+
+
+def _positive_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly edges with weights above 0."""
+    return _monthly(spark, sf_dir)[1].withColumn("pmi", F.col("pmi") + 1)
+
+
+@query(f"""WITH RECURSIVE {MONTHLY}, sym AS (SELECT month, a, b FROM mx UNION SELECT month, b, a FROM mx), reach(month, x, y) AS (SELECT month, a, a FROM sym UNION SELECT r.month, r.x, s.b FROM reach r JOIN sym s ON s.a = r.y AND s.month = r.month),
+comp AS (SELECT month, x, min(y) AS component FROM reach GROUP BY 1, 2), sz AS (SELECT month, component, count(*) AS n FROM comp GROUP BY 1, 2)
+SELECT month, count(*) AS components, max(n)::DOUBLE / sum(n)::DOUBLE AS largest_component_share FROM sz GROUP BY 1""")
+def monthly_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.monthly_shapes(_monthly(spark, sf_dir)[1])
+
+
+_MONTH_RANKS = ", ".join(
+    f"r{k} AS (SELECT l.month, l.other AS node, any_value(n) AS n, 0.15 / any_value(n) + 0.85 * sum(pr * p) AS pr FROM lk l JOIN r{k - 1} r ON r.node = l.node AND r.month = l.month GROUP BY l.month, l.other)" for k in range(1, 13)
+)
+
+
+@query(f"""WITH {PMONTH}, both_ AS (SELECT month, a AS node, b AS other, pmi AS w FROM edges UNION ALL SELECT month, b, a, pmi FROM edges),
+lk AS MATERIALIZED (SELECT month, node, other, w / sum(w) OVER (PARTITION BY month, node) AS p FROM both_),
+r0 AS (SELECT month, node, count(*) OVER (PARTITION BY month) AS n, 1.0::DOUBLE / count(*) OVER (PARTITION BY month) AS pr FROM (SELECT DISTINCT month, node FROM lk)), {_MONTH_RANKS}
+SELECT month, rank::INTEGER AS rank, node, round(pr, 9) AS pagerank FROM (SELECT *, row_number() OVER (PARTITION BY month ORDER BY round(pr, 9) DESC, node) AS rank FROM r12) WHERE rank <= 10""")
+def monthly_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.monthly_pagerank(_positive_months(spark, sf_dir), rounds=12).withColumn("pagerank", F.round("pagerank", 9))
+
+
+@query()
+def monthly_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.monthly_communities(_positive_months(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {EDGES}, sym AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges), reach(x, y) AS (SELECT a, a FROM sym UNION SELECT r.x, s.b FROM reach r JOIN sym s ON s.a = r.y),
+comp AS (SELECT x, min(y) AS component FROM reach GROUP BY x), sz AS (SELECT component, count(*) AS n FROM comp GROUP BY 1)
+SELECT (SELECT count(DISTINCT entity_id) FROM se) AS entities_total, (SELECT count(*) FROM cnt) AS entities_frequent, (SELECT total FROM tot) AS stories, (SELECT sum(n)::BIGINT FROM sz) AS nodes, (SELECT count(*) FROM edges) AS edges,
+  (SELECT count(*) FROM sz) AS components, (SELECT max(n)::DOUBLE / sum(n)::DOUBLE FROM sz) AS largest_component_share, (SELECT count(DISTINCT month) FROM se) AS months""")
+def network_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    se = _story_entities(spark, sf_dir)
+    pairs = se.select("story_id", "entity_id").distinct()
+    frequent = pairs.groupBy("entity_id").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_STORIES)
+    figures = pairs.agg(F.count_distinct("entity_id").alias("entities_total"))
+    more = [
+        frequent.agg(F.count("*").alias("entities_frequent")),
+        pairs.join(frequent, "entity_id").agg(F.count_distinct("story_id").alias("stories")),
+        N.shape(_edges(spark, sf_dir)).select("nodes", "edges", "components", "largest_component_share"),
+        se.agg(F.count_distinct("month").alias("months")),
+    ]
+    for part in more:
+        figures = figures.crossJoin(F.broadcast(part))  # one row each
+    return figures
+
+
 @query("""WITH cells AS (SELECT lang AS a, source AS b, count(*)::DOUBLE AS n FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY 1, 2), r AS (SELECT a, sum(n) AS na FROM cells GROUP BY a), c AS (SELECT b, sum(n) AS nb FROM cells GROUP BY b), t AS (SELECT sum(n) AS t FROM cells),
 j AS (SELECT sum(n / t * ln(n * t / (na * nb))) AS i, sum(n * (n - 1) / 2) AS sij FROM cells JOIN r USING (a) JOIN c USING (b), t),
 ra AS (SELECT -sum(na / t * ln(na / t)) AS ha, sum(na * (na - 1) / 2) AS sa FROM r, t), cb AS (SELECT -sum(nb / t * ln(nb / t)) AS hb, sum(nb * (nb - 1) / 2) AS sb FROM c, t)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import bursts as B
 from ..operators import series as S
-from ..session import table
+from ..session import settle, table
 from .base import query
 
 SOURCES = ["click", "error", "purchase", "signup", "view"]
@@ -310,3 +310,49 @@ def peak_headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = a.select(F.col("event_id").alias("article_id"), "date", F.lit("entity").alias("kind"), F.concat(F.lit("k"), "entity_id").alias("key"))
     titles = a.select(F.col("event_id").alias("article_id"), F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("title"))
     return B.peak_headlines(B.ranked(_bursts(a), n=100), keys, titles)
+
+
+@query(f"""WITH RECURSIVE {MATCHED}, hit AS (SELECT avg((what_it_was IS NOT NULL)::INTEGER::DOUBLE) FILTER (rank <= 20) AS precision, count(DISTINCT what_it_was)::DOUBLE / (SELECT count(*) FROM known) AS recall,
+  avg((z_days > 0)::INTEGER::DOUBLE) FILTER (rank <= 20) AS zscore_agreement FROM matched)
+SELECT (SELECT count(*) FROM (SELECT DISTINCT kind, key FROM flagged)) AS series, (SELECT count(DISTINCT date) FROM flagged) AS days, (SELECT count(*) FROM flagged WHERE z_outlier) AS zscore_days, (SELECT count(*) FROM bursts) AS bursts,
+  (SELECT count(*) FROM bursts WHERE kind = 'entity') AS bursts_entity, (SELECT count(*) FROM bursts WHERE kind = 'topic') AS bursts_topic, (SELECT count(*) FROM known) AS known_events, precision, recall, zscore_agreement FROM hit""")
+def events_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    articles, known = _articles(spark, sf_dir), _known(spark)
+    flagged = settle(_flagged(articles))
+    found = settle(B.bursts(flagged, s=1.5, gamma=0.5))
+    metrics = B.detection_metrics(B.match_events(B.ranked(found, n=100), known), known)
+    figures = flagged.agg(F.count_distinct("kind", "key").alias("series"), F.count_distinct("date").alias("days"), F.count_if("z_outlier").alias("zscore_days"))
+    kinds = [F.count_if(F.col("kind") == k).alias(f"bursts_{k}") for k in ("entity", "topic")]
+    for part in (found.agg(F.count("*").alias("bursts"), *kinds), known.agg(F.count("*").alias("known_events")), metrics.select("precision", "recall", "zscore_agreement")):
+        figures = figures.crossJoin(F.broadcast(part))  # one row each
+    return figures
+
+
+@query(f"""WITH {VOLUME} SELECT (SELECT count(*) FROM volume) AS days, (SELECT count(*) FROM articles) AS articles, (SELECT count(DISTINCT story_id) FROM labelled) AS enriched_stories, (SELECT count(*) FROM days) AS story_days,
+  (SELECT round(avg(articles), 6) FROM volume) AS articles_per_day_mean, (SELECT round(avg(stories), 6) FROM volume) AS stories_per_day_mean, (SELECT count(DISTINCT label) FROM labelled) AS topics, (SELECT count(DISTINCT entity_id) FROM articles) AS entities""")
+def trends_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _articles(spark, sf_dir)
+    volume = settle(_volume(a))
+    labelled = _labelled(a)
+    figures = volume.agg(F.count("*").alias("days"), F.round(F.avg("articles"), 6).alias("articles_per_day_mean"), F.round(F.avg("stories"), 6).alias("stories_per_day_mean"))
+    more = [
+        a.agg(F.count("*").alias("articles"), F.count_distinct("entity_id").alias("entities")),
+        labelled.agg(F.count_distinct("story_id").alias("enriched_stories"), F.count_distinct("label").alias("topics")),
+        S.story_days(a).agg(F.count("*").alias("story_days")),
+    ]
+    for part in more:
+        figures = figures.crossJoin(F.broadcast(part))  # one row each
+    return figures
+
+
+@query("SELECT o_orderkey, o_orderdate + INTERVAL 9 HOUR - INTERVAL 3 HOUR AS with_offset, o_orderdate + INTERVAL 9 HOUR AS with_z, o_orderdate + INTERVAL 9 HOUR AS without FROM orders")
+def offset_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wall = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T09:00:00"))
+    o = table(spark, sf_dir, "orders")
+    return o.select("o_orderkey", *[S.offset_instant(F.concat(wall, F.lit(end))).cast("timestamp_ntz").alias(n) for n, end in (("with_offset", "+03:00"), ("with_z", "Z"), ("without", ""))])
+
+
+@query("SELECT o_orderkey, (o_orderdate + INTERVAL 12 HOUR) AT TIME ZONE 'Europe/Berlin' AT TIME ZONE 'UTC' AS instant FROM orders")
+def local_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    noon = (F.col("o_orderdate") + F.expr("INTERVAL 12 HOUR")).cast("timestamp")
+    return table(spark, sf_dir, "orders").select("o_orderkey", S.utc_instant(noon, "Europe/Berlin").cast("timestamp_ntz").alias("instant"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RAW_ARCHIVE = "metadata struct<date: string, time: string, title: string, tags: array<string>>, text string"
@@ -19,9 +19,10 @@ def head(df: DataFrame, n: int = 10) -> DataFrame:
 
 
 def flatten_metadata(raw: DataFrame) -> DataFrame:
-    """metadata.* beside text; tags joined by ``|``."""
+    """metadata.* beside text; lists joined by ``|``, plain values as they are."""
     flat = raw.select("metadata.*", "text")
-    return flat.withColumn("tags", F.array_join("tags", "|")) if "tags" in flat.columns else flat
+    lists = [f.name for f in flat.schema if f.dataType.typeName() == "array"]
+    return flat.withColumns({c: F.array_join(F.col(c).cast("array<string>"), "|") for c in lists})
 
 
 def csv(spark: SparkSession, path: str, schema: str, columns: list[str] | None = None, comment: str | None = None) -> DataFrame:
@@ -37,24 +38,27 @@ def parquet_shards(spark: SparkSession, folder: str, columns: list[str] | None =
     return df.select(*columns) if columns else df
 
 
-def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, at, value): lines with their place in their file, which is read as one split each."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    return whole.select("file", F.posexplode(F.split("value", "\n")).alias("at", "value")).where("value <> ''")
+def _placed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, at, value): lines with their place in their file; large files are read in splits.
+
+    Places are ordered by the split's first byte, then by the row in it, and don't count.
+    """
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), place.alias("at"), "value").where("value <> ''")
 
 
 def journal(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines of a journal up to the first torn line of each file, as an interrupted writer leaves it."""
-    lines = _numbered_lines(spark, path).withColumn("r", F.from_json("value", schema, {"mode": "PERMISSIVE"}))
-    torn = F.min(F.when(F.get_json_object("value", "$").isNull(), F.col("at"))).over(Window.partitionBy("file"))
-    return lines.withColumn("torn", torn).where("torn IS NULL OR at < torn").select("r.*")
+    lines = _placed_lines(spark, path)
+    torn = lines.where(F.get_json_object("value", "$").isNull()).groupBy("file").agg(F.min("at").alias("torn"))
+    kept = lines.join(torn, "file", "left").where("torn IS NULL OR at < torn")
+    return kept.select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r")).select("r.*")
 
 
 def cache(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
     """JSON lines of a keyed cache: bad lines are skipped, the last line of a key counts."""
-    lines = _numbered_lines(spark, path).where(F.get_json_object("value", "$").isNotNull()).withColumn("r", F.from_json("value", schema))
-    last = F.row_number().over(Window.partitionBy(F.col(f"r.{key}")).orderBy(F.desc("file"), F.desc("at")))
-    return lines.withColumn("n", last).where("n = 1").select("r.*")
+    lines = _placed_lines(spark, path).where(F.get_json_object("value", "$").isNotNull()).withColumn("r", F.from_json("value", schema))
+    return lines.groupBy(F.col(f"r.{key}").alias("__key")).agg(F.max_by("r", F.struct("file", "at")).alias("r")).select("r.*")
 
 
 def with_columns(df: DataFrame, columns: list[str]) -> DataFrame:

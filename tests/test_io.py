@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import enrichment as E
 from millrace.sources import readers as R
+from millrace.sources import runs as U
 from millrace.sources import writers as W
 from millrace.streaming import series as Q
 
@@ -20,6 +21,8 @@ def test_json_archive(spark, tmp_path):
     flat = R.flatten_metadata(raw).orderBy(F.col("date").asc_nulls_last()).collect()
     assert flat[0].tags == "a|b" and flat[0].text == "x\ny" and flat[1].date is None
     assert R.head(raw, 1).count() == 1
+    plain = spark.createDataFrame([(("x", [1, 2]), "t")], "metadata struct<tags: string, ids: array<int>>, text string")
+    assert [tuple(r) for r in R.flatten_metadata(plain).collect()] == [("x", "1|2", "t")]
 
 
 def test_csv(spark, tmp_path):
@@ -78,3 +81,110 @@ def test_stream(spark, tmp_path):
 @pytest.mark.parametrize("size", [0, 3])
 def test_numbering_is_total(spark, size):
     assert E.shard_ids(spark.range(size), ["id"]).count() == size
+
+
+def test_journal_read_in_splits(spark, tmp_path):
+    """Several splits of one file and several files: lines up to each file's first torn one, the last of a key."""
+    for name, torn in (("a", 3000), ("b", None)):
+        lines = [json.dumps({"k": f"{name}{i % 500}", "v": i}) for i in range(4000)]
+        if torn is not None:
+            lines[torn] = lines[torn][:5]
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        path = str(tmp_path)
+        assert spark.read.text(path).rdd.getNumPartitions() > 4
+        got = sorted(tuple(r) for r in R.journal(spark, path, "k string, v int").collect())
+        assert got == sorted([(f"a{i % 500}", i) for i in range(3000)] + [(f"b{i % 500}", i) for i in range(4000)])
+        last = {r.k: r.v for r in R.cache(spark, path, "k string, v int", "k").collect()}
+        assert last["a0"] == 3500 and last["a499"] == 3999 and last["b7"] == 3507 and len(last) == 1000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_prompts_and_keys():
+    assert U.template('{"a": 1} {topics}; {event_types}', topics=("x", "y"), event_types=("z",)) == '{"a": 1} x, y; z'
+    with pytest.raises(ValueError, match="topics"):
+        U.template("none", topics=("x",))
+    assert U.canonical_json({"b": [1, {"d": None, "c": "ё"}], "a": 1.5}) == '{"a":1.5,"b":[1,{"c":"ё","d":null}]}'
+    assert U.request_key("m", {"a": 1, "b": 2}) == U.request_key("m", {"b": 2, "a": 1}) != U.request_key("m", {"a": 1, "b": 3})
+
+
+def test_run_parameters_are_kept(spark, tmp_path):
+    path = str(tmp_path / "meta")
+    U.guard(spark, path, {"version": "1", "shard": 5000, "ids": (1, 2)})
+    U.guard(spark, path, {"version": "1", "shard": 5000, "ids": (1, 2)})
+    with pytest.raises(ValueError, match="shard, version"):
+        U.guard(spark, path, {"version": "2", "shard": 10, "ids": (1, 2)})
+    U.guard(spark, path, {"version": "2"}, force=True)
+    U.guard(spark, path, {"version": "2"})
+
+
+def test_calls_are_tried_again_and_ordered():
+    tried = []
+
+    def flaky(inputs):
+        tried.append(len(inputs))
+        if len(tried) < 3:
+            raise U.ServerError(429 if len(tried) == 1 else None)
+        return [{"index": i, "v": x.upper()} for i, x in reversed(list(enumerate(inputs)))]
+
+    assert [a["v"] for a in U.called(flaky, ["a", "b", "c"], wait=0)] == ["A", "B", "C"] and tried == [3, 3, 3]
+    tried.clear()
+
+    def refused(inputs):
+        tried.append(1)
+        raise U.ServerError(400)
+
+    with pytest.raises(U.ServerError):
+        U.called(refused, ["a"], wait=0)
+    assert len(tried) == 1
+    with pytest.raises(U.ServerError, match="indexes"):
+        U.called(lambda inputs: [{"index": 0}], ["a", "b"], tries=2, wait=0)
+
+
+def test_served_rows(spark):
+    def call(inputs):
+        if "bad" in inputs:
+            raise U.ServerError(500, "down")
+        return [{"index": i, "size": len(x)} for i, x in enumerate(inputs)]
+
+    df = spark.createDataFrame([(i, "bad" if i == 5 else "x" * i) for i in range(10)], "id long, input string").coalesce(1)
+    rows = {r.id: r for r in U.served(df, call, "size long", batch=4, tries=2, wait=0).collect()}
+    assert [rows[i].size for i in range(10)] == [0, 1, 2, 3, None, None, None, None, 8, 9]
+    assert {i for i in rows if rows[i].error} == {4, 5, 6, 7} and rows[4].error == "down"
+    assert U.served(df.limit(0), call, "size long").count() == 0
+    todo = U.unanswered(df.withColumn("key", F.col("id").cast("string")), spark.createDataFrame([("1",), ("1",), ("x",)], "key string"))
+    assert todo.count() == 9
+
+
+def test_no_local_folder_on_a_cluster(monkeypatch):
+    from millrace import session
+
+    class Unset:
+        def isEmpty(self):
+            return True
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        class _jsc:
+            @staticmethod
+            def sc():
+                return type("S", (), {"getCheckpointDir": lambda self: Unset()})()
+
+    fake = type("Session", (), {"sparkContext": Context(), "conf": type("C", (), {"get": staticmethod(lambda k, d=None: d)})()})()
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(fake)
+
+
+def test_settle_keeps_clashing_names(spark):
+    from millrace.session import settle
+
+    df = spark.range(3).select(F.col("id").alias("a"), F.col("id").alias("A"), F.array("id").alias("a"))
+    back = settle(df)
+    assert back.columns == ["a", "A", "a"] and sorted(tuple(r) for r in back.collect()) == [(i, i, [i]) for i in range(3)]
+    assert settle(df.limit(0)).count() == 0

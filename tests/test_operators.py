@@ -240,6 +240,30 @@ def test_network(spark, cliques):
     assert sampled == pytest.approx(between)
 
 
+def test_months_are_graphs_of_their_own(spark):
+    rng = random.Random(5)
+    rows = [(m, a, b, 1, 0.5 + rng.random()) for m in ("2024-01", "2024-02", "2024-03") for a in range(12) for b in range(a + 1, 12) if rng.random() < 0.25]
+    edges = spark.createDataFrame(rows, "month string, a long, b long, n_stories long, pmi double")
+    shapes, ranks = {r.month: r for r in N.monthly_shapes(edges).collect()}, N.monthly_pagerank(edges, rounds=20, top=3).collect()
+    found = {r.month: r for r in N.monthly_communities(edges).collect()}
+    for month in ("2024-01", "2024-02", "2024-03"):
+        one_month = edges.where(F.col("month") == month)
+        want = N.shape(one_month).first()
+        assert shapes[month].components == want.components and shapes[month].largest_component_share == want.largest_component_share
+        best = N.pagerank(one_month, rounds=20).withColumn("pr", F.round("pagerank", 9)).orderBy(F.desc("pr"), "node").limit(3).collect()
+        assert [(r.node, round(r.pagerank, 9)) for r in sorted((r for r in ranks if r.month == month), key=lambda r: r.rank)] == [(r.node, r.pr) for r in best]
+        parts = N.louvain(one_month)
+        assert found[month].communities == parts.select("community").distinct().count()
+        assert found[month].modularity == pytest.approx(N.modularity(one_month, parts).first()[0])
+
+
+def test_offset_instants(spark):
+    texts = {"2024-03-01T10:00:00+03:00": "2024-03-01 07:00:00", "2024-03-01T10:00:00Z": "2024-03-01 10:00:00", "2024-03-01T10:00:00": "2024-03-01 10:00:00", "2024-03-01T10:00:00.5-0130": None, "no": None}
+    for text, want in texts.items():
+        got = one(spark, S.offset_instant(F.col("t")).cast("string"), t=text)
+        assert got == want or (want is None and (got is None or got.startswith("2024-03-01 11:30:00.5")))
+
+
 def test_pmi(spark):
     se = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (2, "b"), (3, "a"), (3, "c")], "story_id long, entity_id string")
     assert {(r.a, r.b, r.pmi) for r in N.cooccurrence(se, 1, 1, -9.0).collect()} == {("a", "b", 0.0), ("a", "c", 0.0)}
