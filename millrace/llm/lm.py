@@ -239,7 +239,7 @@ class Batch:
 
 _COUNTS = NgramCounts()
 _TRIPLES = ex.Counts()
-_OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+_OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("mean_score", pa.float64())])
 
 
 def _read(table: pa.Table) -> Batch:
@@ -262,11 +262,11 @@ def _score(table: pa.Table, first: pa.Table, second: pa.Table, state: int) -> pa
     base = np.add.reduceat(automaton.root[tokens], starts)
     n = len(score)
     doc_id, held = table.column("doc_id").combine_chunks(), table.column("held").combine_chunks()
-    return pa.table([doc_id, held, pa.array(batch.length), pa.array(n_known), pa.array(np.full(n, totals[0])), pa.array(base), pa.array(score)], schema=_OUT)
+    return pa.table([doc_id, held, pa.array(batch.length), pa.array(n_known), pa.array(np.full(n, totals[0])), pa.array(base), pa.array(score), pa.array(score / batch.length)], schema=_OUT)
 
 
 def score(docs: DataFrame, folds: int = FOLDS, state: int = STATE, batch_bytes: int = ex.BATCH_BYTES, fan: int = ex.FAN) -> DataFrame:
-    """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+    """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, mean_score (per token).
 
     Null and empty texts consist of an end alone; long texts are read whole; a repeated row
     counts each time; a null doc_id has fold 0; an empty table gives no rows; other columns

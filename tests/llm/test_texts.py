@@ -163,7 +163,8 @@ def test_lm(spark, docs_of, batch_bytes, fan, state):
     got = [tuple(r) for r in lm.score(docs_of(rows), state=state, batch_bytes=batch_bytes, fan=fan).orderBy("doc_id").collect()]
     want = brute_lm(rows, state)
     assert [r[:5] for r in got] == [r[:5] for r in want]
-    assert np.array([r[5:] for r in got]) == pytest.approx(np.array([r[5:] for r in want]))
+    assert np.array([r[5:7] for r in got]) == pytest.approx(np.array([r[5:] for r in want]))
+    assert [r[7] for r in got] == pytest.approx([r[6] / r[2] for r in want])
 
 
 def test_lm_base_against_sql(spark, sf001):
