@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
@@ -461,6 +462,12 @@ def _texts(batch: pa.RecordBatch) -> tuple[list[bytes], np.ndarray]:
     return batch.column("text").to_pylist(), batch.column("y").to_numpy(zero_copy_only=False).astype(float)
 
 
+def _data(column: pa.Array) -> memoryview:
+    """The bytes of a binary array's values, end to end."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return memoryview(column.buffers()[2])[int(ends[0]) : int(ends[-1])]
+
+
 def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS, chains: int = FIT_CHAINS) -> ToxicityModel:
     """Fit on whole texts of at most ``limit`` labelled rows, and ``chains`` chains with marked words of theirs.
 
@@ -521,15 +528,17 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS, chains: int =
             hot = c.hot
             c = c.take(np.flatnonzero(c.order.astype(np.int64) <= np.where(hot, limits[True], limits[False])))
             ends = np.cumsum(c.length)
-            blobs = [(c.slots[:, a:b].tobytes(), c.z[a:b].tobytes()) for a, b in zip(ends - c.length, ends)]
+            blobs = [(c.slots[:, a:b].T.tobytes(), c.z[a:b].tobytes()) for a, b in zip(ends - c.length, ends)]
             yield pa.record_batch([pa.array(c.order.astype(np.int64)), pa.array([x[0] for x in blobs], pa.binary()), pa.array([x[1] for x in blobs], pa.binary())], names=["order", "slots", "z"])
 
-    parts = []
-    for r in kept.mapInArrow(picked, "order long, slots binary, z binary").toArrow().to_batches():
-        for order, slots, z in zip(*[r.column(i).to_pylist() for i in range(3)]):
-            parts.append(Chains(np.array([len(z)]), np.array([order], np.uint64), np.frombuffer(slots, np.int32).reshape(KINDS, -1), np.frombuffer(z, np.int8)))
-    model = train(Chains.join(parts), every["marked"] / every["words"])
-    del parts
+    got = kept.mapInArrow(picked, "order long, slots binary, z binary").toArrow().combine_chunks()
+    values = lambda name, kind: np.frombuffer(b"" if not got.num_rows else _data(got.column(name).chunk(0)), kind)
+    length = pc.binary_length(got.column("z")).to_numpy().astype(np.int64)
+    some = Chains(length, got.column("order").to_numpy().view(np.uint64), values("slots", np.int32).reshape(-1, KINDS).T, values("z", np.int8))
+    some = some.take(np.argsort(some.order, kind="stable"))
+    del got
+    model = train(some, every["marked"] / every["words"])
+    del some
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in byte_batches(batches, "text"):
