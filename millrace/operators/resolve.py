@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import settle
+from .order import numbered
 from .stories import split_components
 
 
@@ -19,8 +21,9 @@ def candidate_groups(edges: DataFrame, max_size: int = 20, start: float = 0.85,
     """
     pure = ~F.array_contains("channels", "llm_vote")
     parts = split_components(edges, pure, max_size, start, step, cap)
-    at = F.row_number().over(Window.partitionBy("component").orderBy("node")) - 1
-    blocks = parts.withColumn("block", F.floor(at / max_size))
+    placed = settle(numbered(parts, [F.asc("component"), F.asc("node")], "__place"))
+    firsts = placed.groupBy("component").agg(F.min("__place").alias("__first"))
+    blocks = placed.join(firsts, "component").withColumn("block", F.floor((F.col("__place") - F.col("__first")) / max_size))
     w = Window.partitionBy("component", "block")
     named = blocks.select(F.col("node").alias("form_id"), F.min("node").over(w).alias("group"), F.count("*").over(w).alias("size"))
     return named.where("size > 1").select("form_id", "group")

@@ -9,6 +9,7 @@ from ..functions import text as X
 from ..session import settle
 from .graph import connected_components
 from .order import numbered
+from .skew import join_counted
 
 #: Which level's attributes a pair has in the graph if it was found by several.
 PRECEDENCE = {"exact": 0, "minhash": 1, "semantic": 2}
@@ -55,17 +56,17 @@ def story_map(articles: DataFrame, components: DataFrame, canonical: str = "earl
     """(row, source, dt, story_id, story_size, is_canonical): each article in one story.
 
     ``articles`` has row, source, dt, text_len; ``components`` node, component. Stories are
-    numbered by their earliest (dt, row). The canonical article is the earliest (longer text,
+    numbered by their earliest (dt, row); a story may hold any share of the articles. The canonical article is the earliest (longer text,
     then smaller row on a tie) or the longest (earlier, then smaller row).
     """
-    joined = articles.join(components.select(F.col("node").alias("row"), "component"), "row", "left").withColumn("component", F.coalesce("component", "row"))
-    own = Window.partitionBy("component")
-    firsts = joined.groupBy("component").agg(F.min(F.struct("dt", "row")).alias("f"), F.count("*").alias("story_size"))
+    joined = settle(articles.join(components.select(F.col("node").alias("row"), "component"), "row", "left").withColumn("component", F.coalesce("component", "row")))
+    longer = F.coalesce(-F.col("text_len"), F.lit(1)).alias("longer")  # unknown lengths come last
+    order = {"earliest": F.struct("dt", longer, "row"), "longest": F.struct(longer, "dt", "row")}[canonical]
+    firsts = joined.groupBy("component").agg(F.min(F.struct("dt", "row")).alias("f"), F.min(order)["row"].alias("best"), F.count("*").alias("story_size"))
     placed = numbered(firsts, [F.col("f")], "number")
-    named = placed.select("component", "story_size", X.numbered("s", F.col("number"), 6).alias("story_id"))
-    keys = {"earliest": [F.asc("dt"), F.desc("text_len"), F.asc("row")], "longest": [F.desc("text_len"), F.asc("dt"), F.asc("row")]}[canonical]
-    best = F.row_number().over(own.orderBy(*keys)) == 1
-    return joined.withColumn("is_canonical", best).join(named, "component").select("row", "source", "dt", "story_id", "story_size", "is_canonical")
+    named = settle(placed.select("component", "story_size", "best", X.numbered("s", F.col("number"), 6).alias("story_id")))
+    out = join_counted(joined, named, "component", "story_size")
+    return out.select("row", "source", "dt", "story_id", "story_size", (F.col("row") == F.col("best")).alias("is_canonical"))
 
 
 def size_distribution(stories: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import enrichment as E
 from ..operators import topics as T
-from ..session import table
+from ..session import settle, table
 from ..sources import runs as U
 from .base import query
 from .corpus import WORDED
@@ -199,6 +199,17 @@ def topic_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.top_words(_weights(spark, sf_dir)).withColumn("weight", F.round("weight", 9))
 
 
+@query(f"""WITH {CTF}, heavy AS (SELECT topic, word, weight FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY weight DESC, word) AS r FROM w) WHERE r <= 200),
+norms AS (SELECT topic, sqrt(sum(weight * weight)) AS norm FROM heavy GROUP BY 1),
+dots AS (SELECT a.topic AS ta, b.topic AS tb, sum(a.weight * b.weight) AS d FROM heavy a JOIN heavy b ON a.word = b.word AND a.topic < b.topic GROUP BY 1, 2),
+best AS (SELECT ta, tb FROM norms x JOIN norms y ON x.topic < y.topic LEFT JOIN dots ON ta = x.topic AND tb = y.topic, LATERAL (SELECT coalesce(d, 0) / (x.norm * y.norm) AS c) ORDER BY c DESC LIMIT 1)
+SELECT n.topic, CASE WHEN n.topic = tb THEN ta ELSE n.topic END AS merged FROM norms n, best""")
+def topic_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One merge: the two closest languages become one topic."""
+    weights = settle(_weights(spark, sf_dir).where("topic IS NOT NULL"))
+    return T.merged_topics(weights, weights.select("topic").distinct().count() - 1)
+
+
 @query(f"WITH {CTF} SELECT count(DISTINCT word)::DOUBLE / count(*) AS diversity FROM top")
 def topic_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.diversity(T.top_words(_weights(spark, sf_dir)))

@@ -9,6 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Tables that settle() has written and release() not yet deleted.
+_SETTLED: list[str] = []
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the folder in ``spark.checkpoint.dir``.
 
@@ -34,12 +38,23 @@ def settle(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/settled-{uuid.uuid4().hex}"
+    _SETTLED.append(path)
     names = [f"c{i}" for i in range(len(df.columns))]
     stored = df.toDF(*names)
     stored.write.parquet(path)
     return spark.read.schema(stored.schema).parquet(path).toDF(*df.columns)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete the tables that settle() has written so far; call it once results that read them are stored. Returns their number."""
+    files, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    while _SETTLED:
+        path = files.Path(_SETTLED.pop())
+        gone += path.getFileSystem(conf).delete(path, True)
+    return gone
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

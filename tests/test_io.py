@@ -188,3 +188,16 @@ def test_settle_keeps_clashing_names(spark):
     back = settle(df)
     assert back.columns == ["a", "A", "a"] and sorted(tuple(r) for r in back.collect()) == [(i, i, [i]) for i in range(3)]
     assert settle(df.limit(0)).count() == 0
+
+
+def test_settled_tables_can_be_released(spark):
+    import os
+
+    from millrace import session
+
+    session.settle(spark.range(3))
+    path = session._SETTLED[-1].removeprefix("file:")
+    assert os.path.isdir(path)
+    kept, session._SETTLED[:] = session._SETTLED[:-1], session._SETTLED[-1:]
+    assert session.release(spark) == 1 and not os.path.exists(path)
+    session._SETTLED[:] = kept
