@@ -145,6 +145,17 @@ def distinct(keys: np.ndarray) -> np.ndarray:
     return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
 
 
+def distinct_places(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values, and which of them each value is; fewer and smaller arrays than np.unique takes."""
+    order = np.argsort(values)
+    ranked = values[order]
+    new = np.ones(len(values), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    where = np.empty(len(values), np.int32)
+    where[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return ranked[new], where
+
+
 def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     """Shard numbers that grow with the key."""
     return ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)

@@ -182,6 +182,7 @@ class Batch:
         n = len(distinct)
         self.start, self.end, self.words = n, n + 1, n + 2
         self.hashes = ex.hashes([*distinct, START, END])
+        del distinct
         self.begin, self.length = np.cumsum(length + 2) - length - 1, length + 1
         self.seq = np.empty(len(number) + 2 * len(length), np.int32)
         token = np.ones(len(self.seq), bool)
@@ -190,18 +191,19 @@ class Batch:
         token[self.begin + length] = False
         self.seq[token] = number
         self.seq[self.begin - 1], self.seq[self.begin + length] = self.start, self.end
+        del number, token
         self.trained = np.repeat(~held, self.length)
         read = self.seq[self.at]
         self.count = np.bincount(read[self.trained], minlength=self.words)
-        self.pair, of = np.unique(self.seq[self.at - 1].astype(np.int64) * self.words + read, return_inverse=True)
-        self.pair_of = of.astype(np.int32)
+        self.pair, self.pair_of = ex.distinct_places(self.seq[self.at - 1].astype(np.int64) * self.words + read)
+        del read
         self.own_pairs = np.bincount(self.pair_of[self.trained], minlength=len(self.pair))
         first, second = self.hashes[self.pair // self.words], self.hashes[self.pair % self.words]
         self.pair_hash = ex.mix(first * np.uint64(0xD6E8FEB86659FD93) + second)
 
     def first_asks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted keys of words and pairs, their training counts here, and where each word's and pair's key is."""
-        keys, where = np.unique(np.concatenate([_tagged(self.hashes, _WORD), _tagged(self.pair_hash, _PAIR)]), return_inverse=True)
+        keys, where = ex.distinct_places(np.concatenate([_tagged(self.hashes, _WORD), _tagged(self.pair_hash, _PAIR)]))
         counts = np.zeros(len(keys), np.int64)
         np.add.at(counts, where, np.concatenate([self.count, self.own_pairs]))
         return keys, counts, where
@@ -221,7 +223,7 @@ class Batch:
         before[1:] = number[self.pair_of[:-1]]
         before[np.cumsum(self.length) - self.length] = -1
         live = np.flatnonzero((before >= 0) & (pair_count[self.pair_of] > 0))
-        triple, of = np.unique(before[live].astype(np.int64) * len(self.pair) + self.pair_of[live], return_inverse=True)
+        triple, of = ex.distinct_places(before[live].astype(np.int64) * len(self.pair) + self.pair_of[live])
         triple_of = np.full(len(self.at), -1, np.int32)
         triple_of[live] = of
         return Grams(count, context, self.pair, pair_count, states, triple, np.zeros(0, np.int64)), totals, triple_of
@@ -231,7 +233,7 @@ class Batch:
         own = np.bincount(triple_of[(triple_of >= 0) & self.trained], minlength=len(grams.triple))
         pairs = max(1, len(grams.pair))
         hashed = ex.mix(self.pair_hash[grams.state[grams.triple // pairs]] * np.uint64(0x2545F4914F6CDD1D) + self.hashes[grams.pair[grams.triple % pairs] % self.words])
-        keys, where = np.unique(_tagged(hashed, _TRIPLE), return_inverse=True)
+        keys, where = ex.distinct_places(_tagged(hashed, _TRIPLE))
         counts = np.zeros(len(keys), np.int64)
         np.add.at(counts, where, own)
         return keys, counts, where
