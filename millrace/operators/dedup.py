@@ -118,20 +118,50 @@ def dot(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def band_pairs(rows: DataFrame, threshold: float = 0.9, days: int = 3) -> DataFrame:
-    """(a, b, score): rows (id, ts, v) at most ``days`` apart with dot product >= threshold; a is the earlier.
-
-    Interval join by buckets of ``days``: the left side goes to its own and the next bucket, so
-    each pair meets once. Rows with a null ts or v have no pairs; nor has an empty table.
+def band_pairs(rows: DataFrame, threshold: float = 0.9, days: int = 3, block: int = 2048) -> DataFrame:
+    """(a, b, score): rows (id, ts, v) at most ``days`` apart with dot product >= threshold; a is the earlier, by id on a tie.
+
+    Interval join by buckets of ``days``: rows within reach lie in one bucket or in two next to
+    each other. Buckets are cut by hash into blocks of about ``block`` rows, and each pair of blocks
+    is one matrix product, so a busy bucket is many tasks of two blocks. Rows without id or ts,
+    and vectors that are null or empty or hold a null or NaN, have no pairs, nor have vectors of
+    different length; an empty table gives none.
     """
     seconds = days * 86_400
     at = F.unix_seconds(F.col("ts").cast("timestamp"))
-    timed = rows.select("id", at.alias("t"), "v").withColumn("bucket", F.floor(F.col("t") / seconds))
-    left = timed.select(F.col("id").alias("a"), F.col("t").alias("ta"), F.col("v").alias("va"), F.explode(F.array("bucket", F.col("bucket") + 1)).alias("bucket"))
-    right = timed.select(F.col("id").alias("b"), F.col("t").alias("tb"), F.col("v").alias("vb"), "bucket")
-    later = (F.col("tb") > F.col("ta")) | ((F.col("tb") == F.col("ta")) & (F.col("b") > F.col("a")))
-    near = left.join(right, "bucket").where(later & (F.col("tb") - F.col("ta") <= seconds))
-    return near.withColumn("score", dot(F.col("va"), F.col("vb"))).where(F.col("score") >= threshold).select("a", "b", "score")
+    fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")))
+    timed = rows.where(F.col("id").isNotNull() & F.col("ts").isNotNull() & (F.size("v") > 0) & fine)
+    timed = timed.select("id", at.alias("t"), "v", F.size("v").alias("dim")).withColumn("bucket", F.floor(F.col("t") / seconds))
+    sizes = settle(timed.groupBy("dim", "bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")))
+    placed = timed.join(sizes, ["dim", "bucket"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
+
+    def met(other: str, side: int, step: int) -> DataFrame:
+        """Rows beside each block of their own bucket or the one ``step`` further; pairs are keyed by the earlier block."""
+        there = sizes.select("dim", (F.col("bucket") - step).alias("bucket"), "parts")
+        each = placed.join(there, ["dim", "bucket"]).withColumn(other, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        p, q = ("part", other) if side == 0 else (other, "part")
+        early = F.col("bucket") if side == 0 else F.col("bucket") + step
+        keyed = each.select("dim", early.alias("early"), F.lit(abs(step)).alias("gap"), F.col(p).alias("p"), F.col(q).alias("q"), F.lit(side).alias("side"), "id", "t", "v")
+        return keyed if step else keyed.where("p < q" if side else "p <= q")
+
+    dealt = met("other", 0, 0).unionByName(met("other", 1, 0)).unionByName(met("other", 0, 1)).unionByName(met("other", 1, -1))
+
+    def products(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
+        same = pdf["gap"].iloc[0] == 0 and pdf["p"].iloc[0] == pdf["q"].iloc[0]
+        right = left if same else right
+        if left.empty or right.empty:
+            return pd.DataFrame({"a": [], "b": [], "score": []})
+        scores = np.stack(left.v.map(lambda v: np.asarray(v, float))) @ np.stack(right.v.map(lambda v: np.asarray(v, float))).T
+        near = (scores >= threshold) & (np.abs(left.t.to_numpy()[:, None] - right.t.to_numpy()[None]) <= seconds)
+        i, j = np.nonzero(np.triu(near, 1) if same else near)
+        ti, tj, a, b = left.t.to_numpy()[i], right.t.to_numpy()[j], left.id.to_numpy()[i], right.id.to_numpy()[j]
+        swap = (ti > tj) | ((ti == tj) & (a > b))
+        return pd.DataFrame({"a": np.where(swap, b, a), "b": np.where(swap, a, b), "score": scores[i, j]})
+
+    kind = dict(rows.dtypes)["id"]
+    found = dealt.groupBy("dim", "early", "gap", "p", "q").applyInPandas(products, f"a {kind}, b {kind}, score double")
+    return found.where("a <> b")
 
 
 def level_stats(pairs: DataFrame, n_docs: DataFrame) -> DataFrame:

@@ -174,6 +174,26 @@ def test_canonical(spark):
         assert [r.row for r in got] == [row] and got[0].story_id == "s_000000" and got[0].story_size == 3
 
 
+def test_band_pairs_over_many_blocks(spark):
+    rng = np.random.default_rng(9)
+    n, day = 400, 86_400
+    base = rng.normal(size=(6, 8))
+    v = base[rng.integers(0, 6, n)] + 0.2 * rng.normal(size=(n, 8))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    t = np.where(rng.random(n) < 0.4, 10 * day, rng.integers(0, 20 * day, n))
+    rows = [(i, int(t[i]), v[i].tolist()) for i in range(n)]
+    odd = [(900, None, rows[0][2]), (None, 5, rows[0][2]), (901, 5, None), (902, 5, [1.0]), (903, 5, [None] * 8), (904, 5, [])]
+    table = spark.createDataFrame(rows + odd, "id long, t long, v array<double>").select("id", F.timestamp_seconds("t").alias("ts"), "v")
+    want = {}
+    for i in range(n):
+        for j in range(n):
+            if (t[i], i) < (t[j], j) and t[j] - t[i] <= 3 * day and v[i] @ v[j] >= 0.9:
+                want[i, j] = v[i] @ v[j]
+    got = D.band_pairs(table, 0.9, 3, block=40).collect()
+    assert len(got) == len(want) and {(r.a, r.b): r.score for r in got} == pytest.approx(want)
+    assert D.band_pairs(table.limit(0)).count() == 0
+
+
 def test_band_pairs(spark):
     rng = np.random.default_rng(0)
     rows = [(i, int(rng.integers(0, 20)) * 43_200, rng.normal(size=4).tolist()) for i in range(60)]
