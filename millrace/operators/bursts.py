@@ -84,13 +84,14 @@ def ranked(found: DataFrame, n: int = 100, kind: str = "entity") -> DataFrame:
 def match_events(top: DataFrame, events: DataFrame, margin: int = 3) -> DataFrame:
     """``top`` with what_it_was: the first known event (by position) near the peak that has a word in the key.
 
-    ``events`` is a short list: position, start, end, event, keys (``;`` between words).
+    ``events`` has position, start, end, event, keys (``;`` between words). Each event stands for the
+    days it covers with ``margin``, so bursts find it by the day of their peak.
     """
     fold = lambda c: F.translate(F.lower(c), "ё", "е")
-    known = F.broadcast(events.select("position", F.col("start").alias("e_start"), F.col("end").alias("e_end"), "event", F.split(fold(F.col("keys")), ";").alias("words")))  # a list written by hand
-    near = F.col("peak_date").between(F.date_sub("e_start", margin), F.date_add("e_end", margin))
+    days = F.explode(F.sequence(F.date_sub("start", margin), F.date_add("end", margin)))
+    covered = events.where(F.col("start") <= F.col("end")).select("position", "event", F.split(fold(F.col("keys")), ";").alias("words"), days.alias("peak_date"))
     named = F.exists("words", lambda w: F.contains(fold(F.col("key")), w))
-    hits = top.join(known, near & named).groupBy("kind", "key", "start").agg(F.min_by("event", "position").alias("what_it_was"))
+    hits = top.join(covered, "peak_date").where(named).groupBy("kind", "key", "start").agg(F.min_by("event", "position").alias("what_it_was"))
     return top.join(hits, ["kind", "key", "start"], "left")
 
 

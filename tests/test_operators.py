@@ -429,3 +429,28 @@ def test_coherence(spark):
 def test_topic_merging(spark):
     rows = [("a", "x", 1.0), ("a", "y", 1.0), ("b", "x", 1.0), ("b", "y", 0.9), ("c", "z", 1.0)]
     assert P.merge_topics(spark.createDataFrame(rows, "topic string, word string, weight double"), 2) == {"a": "a", "b": "a", "c": "c"}
+
+
+def test_defaults_are_those_of_the_parameter_object(spark):
+    import inspect
+
+    from millrace import params as A
+
+    whole = A.Params()
+    used = {
+        whole.stories: (D.shingle_sets, D.band_pairs, T.split_stories),
+        whole.entities: (D.knn_pairs, R.candidate_groups, R.make_batches, M.vote_pairs, M.gazetteer),
+        whole.series: (S.dense_series, S.zscore, B.burst_states, B.bursts, B.match_events),
+        whole.network: (N.pagerank, N.strong_edges, N.monthly_pagerank),
+    }
+    for stage, operators in used.items():
+        met = set()
+        for operator in operators:
+            known, own = inspect.signature(operator).parameters, A.of(stage, operator)
+            met |= set(own)
+            assert own and all(known[k].default == v for k, v in own.items())
+        assert met == {f for f in vars(stage)} or stage is whole.network
+    assert set(A.of(whole.network, N.cooccurrence)) == {"min_stories", "min_pair", "min_pmi"}
+    with pytest.raises(Exception):
+        whole.series.window = 3
+    assert A.of(A.Series(window=14), S.zscore) == {"window": 14, "threshold": 3.0, "min_stories": 5}
