@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..session import settle
 from .graph import connected_components
+from .skew import spread
 
 
 def cooccurrence(story_entities: DataFrame, min_stories: int, min_pair: int, min_pmi: float, by: list[str] | None = None) -> DataFrame:
@@ -19,13 +20,15 @@ def cooccurrence(story_entities: DataFrame, min_stories: int, min_pair: int, min
 
     pmi = log2(n_ab N / (n_a n_b)), n_a and n_b over all stories, N over stories with an entity
     that ``min_stories`` stories have. Rare entities go before pairs are formed. ``by`` (a month,
-    say) computes a graph per value in the same job.
+    say) computes a graph per value in the same job. Tasks get a bounded number of rows, not of
+    compressed bytes, so their memory doesn't follow the input.
     """
     by = by or []
-    pairs = story_entities.select(*by, "story_id", "entity_id").where("entity_id IS NOT NULL").distinct()
-    counts = pairs.groupBy(*by, "entity_id").agg(F.count("*").alias("n")).where(F.col("n") >= min_stories)
-    frequent = pairs.join(counts, [*by, "entity_id"])
-    totals = frequent.groupBy(*by).agg(F.count_distinct("story_id").alias("total"))
+    pairs = settle(story_entities.select(*by, "story_id", "entity_id").where("entity_id IS NOT NULL").distinct())
+    counts = settle(pairs.groupBy(*by, "entity_id").agg(F.count("*").alias("n")).where(F.col("n") >= min_stories))
+    few = counts.count() <= 500_000
+    frequent = spread(pairs.join(F.broadcast(counts) if few else counts, [*by, "entity_id"]), pairs.count(), *by, "story_id")
+    totals = frequent.select(*by, "story_id").where("story_id IS NOT NULL").distinct().groupBy(*by).agg(F.count("*").alias("total"))
     a = frequent.select(*by, "story_id", F.col("entity_id").alias("a"), F.col("n").alias("na"))
     b = frequent.select(*by, "story_id", F.col("entity_id").alias("b"), F.col("n").alias("nb"))
     both = a.join(b, [*by, "story_id"]).where("a < b").groupBy(*by, "a", "b", "na", "nb").agg(F.count("*").alias("n_stories")).where(F.col("n_stories") >= min_pair)
@@ -217,9 +220,15 @@ def shape(edges: DataFrame) -> DataFrame:
     return both.select("nodes", "edges", (2 * F.col("edges") / F.nullif(n * (n - 1), F.lit(0.0))).alias("density"), "components", (F.col("largest") / n).alias("largest_component_share"))
 
 
-def main_topic(story_entities: DataFrame, topics: DataFrame) -> DataFrame:
-    """(entity_id, topic, topic_share): the most frequent topic of an entity's stories, ties to the smaller name."""
-    part = story_entities.select("story_id", "entity_id").join(topics.select("story_id", "topic").where("topic IS NOT NULL"), "story_id")
+def main_topic(story_entities: DataFrame, topics: DataFrame | None = None) -> DataFrame:
+    """(entity_id, topic, topic_share): the most frequent topic of an entity's stories, ties to the smaller name.
+
+    Without ``topics`` the rows of ``story_entities`` carry the topic of their story, and repeated ones count once.
+    """
+    if topics is None:
+        part = story_entities.select("story_id", "entity_id", "topic").where("story_id IS NOT NULL AND topic IS NOT NULL").distinct()
+    else:
+        part = story_entities.select("story_id", "entity_id").join(topics.select("story_id", "topic").where("topic IS NOT NULL"), "story_id")
     counts = part.groupBy("entity_id", "topic").agg(F.count("*").alias("n"))
     return dominant(counts, "entity_id", "topic").select("entity_id", "topic", F.col("share").alias("topic_share"))
 

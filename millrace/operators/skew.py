@@ -1,4 +1,4 @@
-"""Joins whose keys may be very unevenly frequent."""
+"""Joins whose keys may be very unevenly frequent, and tasks of a bounded number of rows."""
 
 from __future__ import annotations
 
@@ -7,6 +7,17 @@ from pyspark.sql import functions as F
 
 #: Keys with more than 1 / HOT_KEYS of all rows are joined by broadcast; there are fewer than HOT_KEYS of them.
 HOT_KEYS = 1000
+#: Rows of a few columns that a task gets at most, about, where keys are even.
+TASK_ROWS = 1_000_000
+
+
+def spread(rows: DataFrame, count: int, *keys: str) -> DataFrame:
+    """``rows``, of which there are about ``count``, dealt by ``keys`` to so many tasks that each gets TASK_ROWS.
+
+    Adaptive execution merges partitions up to a size in compressed bytes; sorted and repeated keys
+    compress so well that a task may get tens of millions of rows. A number given here is kept.
+    """
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-count // TASK_ROWS)), *keys)
 
 
 def join_counted(rows: DataFrame, groups: DataFrame, key: str, count: str = "size") -> DataFrame:

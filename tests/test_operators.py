@@ -277,6 +277,26 @@ def test_months_are_graphs_of_their_own(spark):
         assert found[month].modularity == pytest.approx(N.modularity(one_month, parts).first()[0])
 
 
+def test_tasks_of_stories_are_bounded_in_rows(spark, monkeypatch):
+    monkeypatch.setattr("millrace.operators.skew.TASK_ROWS", 50)
+    rows = [("m", story, f"e{k}", f"t{story % 3}") for story in range(500) for k in {story % 2, 2 + story % 5}]
+    se = spark.createDataFrame(rows, "month string, story_id long, entity_id string, topic string")
+    edges = N.cooccurrence(se, 1, 1, -9.0, by=["month"])
+    pairs = {}
+    for story in range(500):
+        a, b = sorted([f"e{story % 2}", f"e{2 + story % 5}"])
+        pairs[a, b] = pairs.get((a, b), 0) + 1
+    assert {(r.a, r.b): r.n_stories for r in edges.collect()} == pairs
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert "20), REPARTITION_BY_NUM" in plan  # 1000 pairs in tasks of 50
+    # a topic counts once for each story of an entity, also where rows are repeated
+    doubled = se.unionByName(se)
+    stories = {e: [t for _, _, x, t in rows if x == e] for e in {x for _, _, x, _ in rows}}
+    want = {e: min(set(ts), key=lambda t: (-ts.count(t), t)) for e, ts in stories.items()}
+    got = {r.entity_id: (r.topic, r.topic_share) for r in N.main_topic(doubled).collect()}
+    assert got == {e: (t, stories[e].count(t) / len(stories[e])) for e, t in want.items()}
+
+
 def test_offset_instants(spark):
     texts = {"2024-03-01T10:00:00+03:00": "2024-03-01 07:00:00", "2024-03-01T10:00:00Z": "2024-03-01 10:00:00", "2024-03-01T10:00:00": "2024-03-01 10:00:00", "2024-03-01T10:00:00.5-0130": None, "no": None}
     for text, want in texts.items():
