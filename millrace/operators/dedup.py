@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import math
+import zlib
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..session import settle
-from .skew import join_counted
+from .skew import by_ids, join_counted
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -30,66 +35,157 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return join_counted(keyed, settle(groups), "digest").select(id_col, "digest", "first", "size")
 
 
-def exact_pairs(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Star pairs (first, other) of equal texts: the same components as all pairs, but linear in number."""
-    g = exact_groups(docs, id_col).where(F.col(id_col) != F.col("first"))
+def exact_pairs(docs: DataFrame, id_col: str = "doc_id", groups: DataFrame | None = None) -> DataFrame:
+    """Star pairs (first, other) of equal texts: the same components as all pairs, but linear in number.
+
+    ``groups`` is exact_groups() of the same documents, where it is at hand.
+    """
+    g = (exact_groups(docs, id_col) if groups is None else groups).where(F.col(id_col) != F.col("first"))
     return g.select(F.col("first").alias("a"), F.col(id_col).alias("b"), F.lit("exact").alias("level"), F.lit(1.0).alias("score"))
 
 
-def shingle_sets(docs: DataFrame, k: int = SHINGLE, id_col: str = "doc_id") -> DataFrame:
-    """(id, n, sh): sorted 64-bit hashes of the distinct shingles of each distinct text's first document.
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds and values of an Arrow list of longs; a null list is empty."""
+    return column.offsets.to_numpy(), np.asarray(column.values, np.int64)
+
 
-    Null texts and texts of fewer than ``k`` words have no row.
+def shingle_sets(docs: DataFrame, k: int = SHINGLE, id_col: str = "doc_id", groups: DataFrame | None = None) -> DataFrame:
+    """(id, sh, n): sorted 64-bit hashes of the distinct shingles of each distinct text's first document.
+
+    Null texts and texts of fewer than ``k`` words have no row. Words are hashed in Spark, runs of
+    them combined in Arrow batches. ``groups`` is exact_groups() of the same documents, where it is at hand.
+    """
+    groups = settle(exact_groups(docs, id_col)) if groups is None else groups
+    firsts = by_ids(docs, groups.where(F.col(id_col) != F.col("first")).select(id_col), id_col, keep=False)
+    # one evaluation of the key a row
+    hashes = X.let(X.comparison_key(F.col("text")), lambda key: F.when(key != "", F.transform(F.split(key, " "), lambda w: F.xxhash64(w))))
+
+    def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, v = _lists(batch.column(1))
+            v, runs = v.view(np.uint64), max(0, len(v) - k + 1)
+            s = np.zeros(runs, np.uint64)
+            for i in range(k):
+                s = s * np.uint64(0x9E3779B97F4A7C15) + v[i : i + runs]
+            s = (s ^ (s >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            s = (s ^ (s >> np.uint64(29))).view(np.int64)
+            rows = np.flatnonzero(np.diff(at) >= k)
+            sets = [np.unique(s[at[r] : at[r + 1] - k + 1]) for r in rows]
+            n = np.array([len(x) for x in sets], np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), lists, pa.array(n)], [id_col, "sh", "n"])
+
+    kind = dict(docs.dtypes)[id_col]
+    return firsts.select(id_col, hashes.alias("wh")).mapInArrow(combined, f"{id_col} {kind}, sh array<long>, n int")
+
+
+#: Cells in which shingles are counted, by the leading bits of their hashes, and how many of them are summed together.
+CELL_BITS, SLAB_BITS = 22, 16
+
+
+def _levels(sets: DataFrame) -> np.ndarray:
+    """For each cell of shingle hashes how often its shingles occur in all sets, on a scale of quarter powers of two; 0: once at most.
+
+    4 MB whatever the input: tasks send their counts compressed, slabs of cells are summed.
     """
-    ws = X.words(F.col("text"))
-    firsts = docs.select(id_col, ws.alias("ws"), X.text_digest(ws).alias("digest")).where(F.size("ws") >= k)
-    firsts = firsts.groupBy("digest").agg(F.min_by("ws", id_col).alias("ws"), F.min(id_col).alias(id_col))
-    hashes = F.array_sort(F.array_distinct(F.transform(X.shingles(F.col("ws"), k), lambda s: F.xxhash64(s))))
-    return firsts.select(id_col, hashes.alias("sh")).withColumn("n", F.size("sh"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(1 << CELL_BITS, np.uint32)
+        for batch in batches:
+            h = _lists(batch.column(0))[1].view(np.uint64) >> np.uint64(64 - CELL_BITS)
+            cells += np.bincount(h.astype(np.int64), minlength=len(cells)).astype(np.uint32)
+        slabs = cells.reshape(-1, 1 << SLAB_BITS)
+        used = np.flatnonzero(slabs.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([zlib.compress(slabs[i].tobytes(), 1) for i in used], pa.binary())], ["slab", "counts"])
+
+    def level(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(zlib.decompress(x), np.uint32).astype(np.uint64) for x in pdf["counts"])
+        scale = np.where(total > 1, 1 + np.floor(4 * np.log2(np.maximum(total, 1))), 0).clip(0, 255).astype(np.uint8)
+        return pd.DataFrame({"slab": pdf["slab"].iloc[:1], "levels": [zlib.compress(scale.tobytes(), 1)]})
+
+    counted = sets.select("sh").mapInArrow(count, "slab int, counts binary")
+    out = np.zeros((1 << CELL_BITS - SLAB_BITS, 1 << SLAB_BITS), np.uint8)
+    for r in counted.groupBy("slab").applyInPandas(level, "slab int, levels binary").collect():
+        out[r["slab"]] = np.frombuffer(zlib.decompress(r["levels"]), np.uint8)
+    return out.ravel()
 
 
 def near_pairs(sets: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id") -> DataFrame:
     """(a, b, score): pairs of distinct texts whose shingle sets have Jaccard >= threshold; exact.
 
-    Prefix filter: with shingles ordered from rare to frequent, two sets that similar share one of
-    their first n - ceil(t n) + 1. Pairs are then checked on their whole sets. Frequent shingles
-    come last, so they hardly ever serve as a join key. An empty table gives no pairs.
+    Prefix filter: with all shingles in one order, two sets that similar share one of their first
+    n - ceil(t n) + 1. Any order gives the same pairs; this one goes by the counts of cells of
+    shingles over all sets, then by hash, so frequent shingles come last and hardly ever serve as a
+    join key, and only prefixes, a fifth of the sets, are shuffled. A shared key also tells how much
+    two sets can have in common at most. Candidates are checked on their whole sets. An empty table gives no pairs.
     """
     sets = settle(sets)
-    each = sets.select(id_col, "n", F.explode("sh").alias("s"))
-    df = each.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = each.join(df, "s").groupBy(id_col, "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("shared"))
-    # shingles of one document alone rank first and can't be shared: they use up the prefix
-    prefix = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - F.lit(1e-9)).cast("int") + 1
-    left_over = F.greatest(F.lit(0), prefix - (F.col("n") - F.size("shared")))
-    keys = ranked.select(id_col, "n", F.explode(F.slice("shared", F.lit(1), left_over)).alias("x")).select(id_col, "n", F.col("x.s").alias("s"))
-    a, b = keys.select(F.col(id_col).alias("a"), F.col("n").alias("na"), "s"), keys.select(F.col(id_col).alias("b"), F.col("n").alias("nb"), "s")
+    levels = sets.sparkSession.sparkContext.broadcast(_levels(sets))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, sh = _lists(batch.column(1))
+            h = sh.view(np.uint64)
+            level = levels.value[(h >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
+            order = (level.astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8))  # equal ones stay in the sets' own order
+            chosen, rows, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+            for r in range(len(at) - 1):
+                n = int(at[r + 1] - at[r])
+                if n:
+                    first = at[r] + np.argsort(order[at[r] : at[r + 1]], kind="stable")[: n - math.ceil(threshold * n - 1e-9) + 1]
+                    place = np.flatnonzero(level[first])  # what occurs once can't be shared: it only uses up the prefix
+                    chosen.append(first[place])
+                    places.append(place.astype(np.int32))
+                    rows.append(np.full(len(place), r))
+            rows, chosen = pa.array(np.concatenate(rows)), np.concatenate(chosen)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(2).take(rows), pa.array(np.concatenate(places)), pa.array(sh[chosen])], [id_col, "n", "at", "s"])
+
+    kind = dict(sets.dtypes)[id_col]
+    keys = sets.select(id_col, "sh", "n").mapInArrow(prefixes, f"{id_col} {kind}, n int, at int, s long")
+    a, b = (keys.select(F.col(id_col).alias(x), F.col("n").alias(f"n{x}"), F.col("at").alias(f"at{x}"), "s") for x in "ab")
     length = (F.col("nb") >= F.col("na") * F.lit(threshold)) & (F.col("na") >= F.col("nb") * F.lit(threshold))
-    candidates = a.join(b, "s").where((F.col("a") < F.col("b")) & length).select("a", "b").distinct()
-    sa, sb = sets.select(F.col(id_col).alias("a"), F.col("sh").alias("sa")), sets.select(F.col(id_col).alias("b"), F.col("sh").alias("sb"))
+    most = F.least("ata", "atb") + F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb"))
+    enough = most >= (F.col("na") + F.col("nb")) * F.lit(threshold / (1 + threshold)) - F.lit(1e-6)
+    candidates = a.join(b, "s").where((F.col("a") < F.col("b")) & length & enough).select("a", "b").distinct()
+    return _verified(candidates, sets, threshold, id_col)
+
+
+def _verified(candidates: DataFrame, sets: DataFrame, threshold: float, id_col: str) -> DataFrame:
+    """(a, b, score) of the candidates whose whole sets have Jaccard >= threshold; sets of no candidate stay where they are."""
+    candidates = settle(candidates)
+    ids = settle(candidates.select(F.explode(F.array("a", "b")).alias(id_col)).distinct())
+    met = by_ids(sets.select(id_col, "sh"), ids, id_col)
+    sa, sb = met.select(F.col(id_col).alias("a"), F.col("sh").alias("sa")), met.select(F.col(id_col).alias("b"), F.col("sh").alias("sb"))
     scored = candidates.join(sa, "a").join(sb, "b").select("a", "b", X.jaccard(F.col("sa"), F.col("sb")).alias("score"))
     return scored.where(F.col("score") >= threshold)
 
 
 def minhash_bands(sets: DataFrame, bands: int = BANDS, rows: int = ROWS, seed: int = 1, id_col: str = "doc_id") -> DataFrame:
-    """(id, band, key): MinHash signatures in bands, computed in Arrow batches."""
+    """(id, band, key): MinHash signatures in bands, computed on stretches of many sets at a time, in 32 bits."""
     rng = np.random.default_rng(seed)
-    mul = rng.integers(1, 2**63, bands * rows, dtype=np.uint64) | np.uint64(1)
-    add = rng.integers(0, 2**63, bands * rows, dtype=np.uint64)
-
-    @F.pandas_udf("array<long>")
-    def keys(sh: pd.Series) -> pd.Series:
-        out = []
-        for s in sh:
-            h = np.asarray(s, np.int64).view(np.uint64)
-            signature = np.array([((h * m + c) >> np.uint64(1)).min() for m, c in zip(mul, add)], np.uint64)
-            mixed = np.zeros(bands, np.uint64)
-            for part in signature.reshape(bands, rows).T:
-                mixed = (mixed ^ part) * np.uint64(0x9E3779B97F4A7C15)
-            out.append(mixed.view(np.int64).tolist())
-        return pd.Series(out)
-
-    return sets.where("n > 0").select(id_col, F.posexplode(keys("sh")).alias("band", "key"))
+    mul = rng.integers(1, 2**32, bands * rows, dtype=np.uint32) | np.uint32(1)
+    add = rng.integers(0, 2**32, bands * rows, dtype=np.uint32)
+
+    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, sh = _lists(batch.column(1))
+            filled = np.flatnonzero(np.diff(at) > 0)
+            h = ((sh.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
+            low = 0
+            while low < len(filled):
+                start = int(at[filled[low]])
+                high = max(low + 1, int(np.searchsorted(at[filled + 1], start + 16_384, "right")))
+                part, firsts = h[start : at[filled[high - 1] + 1]], at[filled[low:high]] - start
+                signature = np.array([np.minimum.reduceat(part * m + c, firsts) for m, c in zip(mul, add)], np.uint64)
+                mixed = np.zeros((bands, high - low), np.uint64)
+                for i in range(rows):
+                    mixed = (mixed ^ signature[i::rows]) * np.uint64(0x9E3779B97F4A7C15)
+                ids = batch.column(0).take(pa.array(np.tile(filled[low:high], bands)))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.repeat(np.arange(bands, dtype=np.int32), high - low)), pa.array(mixed.ravel().view(np.int64))], [id_col, "band", "key"])
+                low = high
+
+    kind = dict(sets.dtypes)[id_col]
+    return sets.select(id_col, "sh").mapInArrow(banded, f"{id_col} {kind}, band int, key long")
 
 
 def lsh_pairs(sets: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id") -> DataFrame:
@@ -102,9 +198,7 @@ def lsh_pairs(sets: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS,
     keyed = settle(minhash_bands(sets, bands, rows, id_col=id_col))
     a, b = keyed.withColumnRenamed(id_col, "a"), keyed.withColumnRenamed(id_col, "b")
     candidates = a.join(b, ["band", "key"]).where("a < b").select("a", "b").distinct()
-    sa, sb = sets.select(F.col(id_col).alias("a"), F.col("sh").alias("sa")), sets.select(F.col(id_col).alias("b"), F.col("sh").alias("sb"))
-    scored = candidates.join(sa, "a").join(sb, "b").select("a", "b", X.jaccard(F.col("sa"), F.col("sb")).alias("score"))
-    return scored.where(F.col("score") >= threshold)
+    return _verified(candidates, sets, threshold, id_col)
 
 
 def unit(v):
@@ -166,6 +260,7 @@ def band_pairs(rows: DataFrame, threshold: float = 0.9, days: int = 3, block: in
 
 def level_stats(pairs: DataFrame, n_docs: DataFrame) -> DataFrame:
     """(level, pairs, articles, pct): pairs, distinct ends and their share of ``n_docs`` (one row: n)."""
+    pairs = settle(pairs)  # read twice
     counts = pairs.groupBy("level").agg(F.count("*").alias("pairs"))
     ends = pairs.select("level", F.explode(F.array("a", "b")).alias("x")).groupBy("level").agg(F.count_distinct("x").alias("articles"))
     return counts.join(ends, "level").crossJoin(F.broadcast(n_docs)).select("level", "pairs", "articles", (F.lit(100.0) * F.col("articles") / F.col("n")).alias("pct"))

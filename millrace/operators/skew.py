@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 HOT_KEYS = 1000
 #: Rows of a few columns that a task gets at most, about, where keys are even.
 TASK_ROWS = 1_000_000
+#: So many ids are broadcast at most.
+BROADCAST_IDS = 1_000_000
 
 
 def spread(rows: DataFrame, count: int, *keys: str) -> DataFrame:
@@ -33,3 +35,13 @@ def join_counted(rows: DataFrame, groups: DataFrame, key: str, count: str = "siz
     hot = marked.where("__hot").drop("__hot")
     rest = marked.where("__hot IS NULL").select(*rows.columns).join(groups.where(~often), key)
     return hot.unionByName(rest)
+
+
+def by_ids(rows: DataFrame, ids: DataFrame, key: str, keep: bool = True) -> DataFrame:
+    """``rows`` whose ``key`` is in ``ids``, or with ``keep`` false those whose key isn't.
+
+    Up to BROADCAST_IDS ids, counted first, are broadcast, so that wide rows stay where they are; more
+    of them are joined by key. ``ids`` is read twice: settle what is costly.
+    """
+    few = ids.count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(ids) if few else ids, key, "left_semi" if keep else "left_anti")

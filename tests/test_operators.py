@@ -112,6 +112,20 @@ def test_near_pairs_lose_none(spark):
     assert {(r.a, r.b) for r in lsh.collect()} <= set(want)
 
 
+def test_near_pairs_join_prefixes_alone(spark, monkeypatch):
+    """Texts of words of their own share no key; of near copies only the prefixes, a fifth of their sets, are joined, and frequent lines come last."""
+    rng, line = random.Random(8), " ".join(f"l{k}" for k in range(30))
+    rows = [(i, " ".join(f"{i // 2}_{k}" for k in range(100)) + " " + line + (" end" if i % 2 else "")) for i in range(60)]
+    sets = D.shingle_sets(spark.createDataFrame(rows + [(i + 100, rng.choice(rows)[1]) for i in range(20)], "doc_id long, text string"))
+    assert sorted(r.doc_id for r in sets.collect()) == list(range(60))
+    asked = []
+    verified = D._verified
+    monkeypatch.setattr(D, "_verified", lambda candidates, *more: asked.append(candidates) or verified(candidates, *more))
+    pairs = {(r.a, r.b) for r in D.near_pairs(sets).collect()}
+    assert pairs == {(i, i + 1) for i in range(0, 60, 2)} == {(r.a, r.b) for r in asked[0].collect()}
+    assert {(r.a, r.b) for r in D.lsh_pairs(sets).collect()} == pairs
+
+
 def test_lsh_finds_pairs_near_the_threshold(spark):
     rng, rows = random.Random(3), []
     for i in range(0, 120, 2):
