@@ -460,6 +460,22 @@ def test_coherence(spark):
     assert got["good"] > got["mixed"] and got["good"] > 0.9
 
 
+def test_tokens_are_read_once(spark):
+    tokens = spark.createDataFrame([("x", "a b a"), ("y", "b c")], "topic string, text string").select("topic", F.explode(F.split("text", " ")).alias("word"))
+    weights = P.term_weights(tokens)
+    assert "Generate" not in weights._jdf.queryExecution().toString()  # counts are settled, not made again for each total
+    assert {(r.topic, r.word): r.n for r in weights.collect()} == {("x", "a"): 2, ("x", "b"): 1, ("y", "b"): 1, ("y", "c"): 1}
+
+
+def test_knn_ties_against_brute_force(spark):
+    rng = random.Random(4)
+    v = {i: [float(rng.randrange(3)), float(rng.randrange(3))] for i in range(60)}
+    got = {(r.a, r.b, r.score) for r in D.knn_pairs(spark.createDataFrame([(i, "k", x) for i, x in v.items()], "id long, kind string, v array<double>"), k=4, threshold=2.0).collect()}
+    score = lambda i, j: v[i][0] * v[j][0] + v[i][1] * v[j][1]
+    near = {i: sorted((j for j in v if j != i and score(i, j) >= 2.0), key=lambda j: (-score(i, j), j))[:4] for i in v}
+    assert got == {(min(i, j), max(i, j), score(i, j)) for i in v for j in near[i]}
+
+
 def test_topic_merging(spark):
     rows = [("a", "x", 1.0), ("a", "y", 1.0), ("b", "x", 1.0), ("b", "y", 0.9), ("c", "z", 1.0)]
     assert P.merge_topics(spark.createDataFrame(rows, "topic string, word string, weight double"), 2) == {"a": "a", "b": "a", "c": "c"}
