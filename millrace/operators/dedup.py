@@ -290,9 +290,17 @@ def knn_pairs(rows: DataFrame, k: int = 10, threshold: float = 0.85) -> DataFram
         scores = np.stack(left.v.map(lambda v: np.asarray(v, float))) @ np.stack(right.v.map(lambda v: np.asarray(v, float))).T
         ids, others = left.id.to_numpy(), right.id.to_numpy()
         scores[ids[:, None] == others[None]] = -np.inf
-        order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-        out = pd.DataFrame({"a": np.repeat(ids, order.shape[1]), "b": others[order].ravel(), "score": np.take_along_axis(scores, order, 1).ravel()})
-        return out[out.score >= threshold]
+        scores[~(scores >= threshold)] = -np.inf
+        near = scores >= threshold
+        crowded = np.flatnonzero(near.sum(1) > k)
+        if len(crowded):  # only what reaches the k-th score of its row stays, ties at it go to the smaller ids
+            reach = np.partition(scores[crowded], -k, axis=1)[:, -k]
+            near[crowded] = scores[crowded] >= reach[:, None]
+            for r in crowded[near[crowded].sum(1) > k]:
+                at = np.flatnonzero(near[r])
+                near[r, at[np.argsort(-scores[r, at], kind="stable")[k:]]] = False
+        i, j = np.nonzero(near)
+        return pd.DataFrame({"a": ids[i], "b": others[j], "score": scores[i, j]})
 
     found = asks.unionByName(held).groupBy("kind", "p", "q").applyInPandas(nearest, "a long, b long, score double")
     best = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))
