@@ -9,12 +9,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..session import settle
-from .skew import by_ids, join_counted
+from .skew import BROADCAST_IDS, by_ids, join_counted
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -150,14 +151,85 @@ def near_pairs(sets: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc
     return _verified(candidates, sets, threshold, id_col)
 
 
+#: Sets of one cell, about, half of which meet the other half; values of sets that a task compares at a time.
+CELL_SETS, MEET_VALUES = 512, 2_000_000
+#: Sets of a task, about.
+TASK_SETS = 8192
+
+
+def _cells(candidates: DataFrame) -> DataFrame:
+    """(cell, a, b): candidates dealt to cells of at most about CELL_SETS sets, near copies of one text together.
+
+    A pair goes by the least candidate partner of its smaller end, so that of k texts all alike each
+    is sent once and not k times; where those are many, they meet in a square of blocks.
+    """
+    both = candidates.select("a", "b").unionByName(candidates.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    roots = both.groupBy("a").agg(F.least("a", F.min("b")).alias("root"))
+    rooted = settle(candidates.join(roots, "a").select("root", "a", "b"))
+    sizes = rooted.select("root", F.explode(F.array("a", "b")).alias("x")).distinct().groupBy("root").agg(F.count("*").alias("size"))
+    half = CELL_SETS // 2
+    large = settle(sizes.where(F.col("size") > half).select("root", F.ceil(F.col("size") / half).alias("grid")))
+    dealt = rooted.join(F.broadcast(large) if large.count() <= BROADCAST_IDS else large, "root", "left")
+    block = lambda x: F.coalesce(F.pmod(F.xxhash64(x), F.col("grid")), F.lit(0))
+    return dealt.select(F.xxhash64("root", block("a"), block("b")).alias("cell"), "a", "b")
+
+
 def _verified(candidates: DataFrame, sets: DataFrame, threshold: float, id_col: str) -> DataFrame:
-    """(a, b, score) of the candidates whose whole sets have Jaccard >= threshold; sets of no candidate stay where they are."""
-    candidates = settle(candidates)
-    ids = settle(candidates.select(F.explode(F.array("a", "b")).alias(id_col)).distinct())
-    met = by_ids(sets.select(id_col, "sh"), ids, id_col)
-    sa, sb = met.select(F.col(id_col).alias("a"), F.col("sh").alias("sa")), met.select(F.col(id_col).alias("b"), F.col("sh").alias("sb"))
-    scored = candidates.join(sa, "a").join(sb, "b").select("a", "b", X.jaccard(F.col("sa"), F.col("sb")).alias("score"))
-    return scored.where(F.col("score") >= threshold)
+    """(a, b, score) of the candidates whose whole sets have Jaccard >= threshold; sets of no candidate stay where they are.
+
+    Sets move once for each of their cells, not for each of their pairs.
+    """
+    placed = settle(_cells(settle(candidates)))
+    needed = settle(placed.select("cell", F.explode(F.array("a", "b")).alias(id_col)).distinct())
+    count = needed.count()
+    moved = sets.select(id_col, "sh").join(F.broadcast(needed) if count <= BROADCAST_IDS else needed, id_col)
+    kind = dict(sets.dtypes)[id_col]
+    rows = moved.select("cell", F.col(id_col).alias("a"), F.lit(None).cast(kind).alias("b"), "sh")
+    rows = rows.unionByName(placed.withColumn("sh", F.lit(None).cast("array<bigint>")))
+    tasks, most = max(sets.sparkSession.sparkContext.defaultParallelism, -(-count // TASK_SETS)), MEET_VALUES
+
+    def scored(rows: pa.Table) -> pa.RecordBatch:
+        """The similar ones of the pairs in ``rows``, which has all sets of its cells."""
+        alone = pc.is_null(rows["b"])
+        held, asked = rows.filter(alone), rows.filter(pc.invert(alone))
+        ids, lists = held["a"].combine_chunks(), held["sh"].combine_chunks()
+        flat, n = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        at = np.append(0, np.cumsum(n))
+        values, codes = np.unique(flat, return_inverse=True)
+        left, right = (pc.index_in(asked[x], value_set=ids).to_numpy().astype(np.int64) for x in "ab")
+        order = np.argsort(left, kind="stable")
+        common, here = np.zeros(len(order), np.int64), np.zeros(len(values), bool)
+        bounds = np.flatnonzero(np.diff(left[order], prepend=-1, append=-1))
+        for low, high in zip(bounds[:-1], bounds[1:]):
+            mine, theirs = codes[at[left[order[low]]] : at[left[order[low]] + 1]], right[order[low:high]]
+            here[mine] = True
+            common[order[low:high]] = [np.count_nonzero(here[codes[at[r] : at[r + 1]]]) for r in theirs]
+            here[mine] = False
+        score = common / np.maximum(1, n[left] + n[right] - common)
+        similar = pa.array(np.flatnonzero(score >= threshold))
+        a, b = (asked[x].combine_chunks().take(similar) for x in "ab")
+        return pa.RecordBatch.from_arrays([a, b, pa.array(score).take(similar)], ["a", "b", "score"])
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, size = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            waiting.append(batch)
+            size += len(batch.column(3).values)
+            cells = batch.column(0).to_numpy()
+            last = int(np.searchsorted(cells, cells[-1]))
+            if size < most or not (last or len(waiting) > 1):
+                continue
+            if not last and len(waiting) > 1 and waiting[-2].column(0)[-1].as_py() == cells[0]:
+                continue  # one cell so far, or its end is not in sight
+            yield scored(pa.Table.from_batches([*waiting[:-1], batch.slice(0, last)]))
+            waiting = [batch.slice(last)]
+            size = len(waiting[0].column(3).flatten())
+        if waiting:
+            yield scored(pa.Table.from_batches(waiting))
+
+    return rows.repartition(tasks, "cell").sortWithinPartitions("cell").mapInArrow(met, f"a {kind}, b {kind}, score double")
 
 
 def minhash_bands(sets: DataFrame, bands: int = BANDS, rows: int = ROWS, seed: int = 1, id_col: str = "doc_id") -> DataFrame:

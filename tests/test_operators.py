@@ -126,6 +126,27 @@ def test_near_pairs_join_prefixes_alone(spark, monkeypatch):
     assert {(r.a, r.b) for r in D.lsh_pairs(sets).collect()} == pairs
 
 
+@pytest.mark.parametrize(("cell", "most"), [(512, 2_000_000), (8, 1), (8, 300)])
+def test_near_copies_move_once_for_a_cell(spark, monkeypatch, cell, most):
+    """The set of each of k near copies is sent to a few cells, not to each of its k - 1 partners, and no pair is lost."""
+    monkeypatch.setattr(D, "CELL_SETS", cell)
+    monkeypatch.setattr(D, "MEET_VALUES", most)
+    text = [f"w{k}" for k in range(60)]
+    rows = [(f"d{i:02}", " ".join([*text, f"end{i}"])) for i in range(40)] + [(f"e{i}", " ".join(f"{i // 2}x{k}" for k in range(50 + i % 2))) for i in range(10)]
+    sets = D.shingle_sets(spark.createDataFrame(rows, "doc_id string, text string"))
+    asked = []
+    cells = D._cells
+    monkeypatch.setattr(D, "_cells", lambda candidates: asked.append(candidates) or cells(candidates))
+    pairs = {(r.a, r.b): r.score for r in D.near_pairs(sets).collect()}
+    want = {(f"d{i:02}", f"d{j:02}"): 56 / 58 for i in range(40) for j in range(i + 1, 40)} | {(f"e{i}", f"e{i + 1}"): 46 / 47 for i in range(0, 10, 2)}
+    assert pairs == pytest.approx(want)
+    placed = cells(asked[0]).collect()
+    assert {(r.a, r.b) for r in placed} == set(want) and len(placed) == len(want)
+    moved = {(r.cell, x) for r in placed for x in (r.a, r.b)}
+    assert len(moved) <= (50 if cell == 512 else 50 * 2 * 10) < 2 * len(want)
+    assert max(sum(c == k for c, _ in moved) for k in {c for c, _ in moved}) <= (40 if cell == 512 else 25)
+
+
 def test_lsh_finds_pairs_near_the_threshold(spark):
     rng, rows = random.Random(3), []
     for i in range(0, 120, 2):
