@@ -289,7 +289,7 @@ def monthly_stats(story_entities: DataFrame, edges: DataFrame) -> DataFrame:
 def monthly_shapes(edges: DataFrame) -> DataFrame:
     """(month, components, largest_component_share): all months' graphs are one graph whose nodes carry their month."""
     name = lambda c: F.concat_ws("\x00", "month", F.col(c).cast("string")).alias(c)
-    parts = connected_components(edges.select(name("a"), name("b")), "a", "b")
+    parts = connected_components(settle(edges.select(name("a"), name("b"))), "a", "b")  # its edges are read twice
     sizes = parts.groupBy(F.substring_index("component", "\x00", 1).alias("month"), "component").agg(F.count("*").alias("size"))
     share = F.max("size").cast("double") / F.sum("size").cast("double")
     return sizes.groupBy("month").agg(F.count("*").alias("components"), share.alias("largest_component_share"))

@@ -312,6 +312,20 @@ def test_months_are_graphs_of_their_own(spark):
         assert found[month].modularity == pytest.approx(N.modularity(one_month, parts).first()[0])
 
 
+def test_shapes_take_their_edges_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def month(m):
+        made.add(1)
+        return m
+
+    edges = spark.createDataFrame([("m1", "x", "y"), ("m1", "u", "v"), ("m2", "x", "y")], "month string, a string, b string")
+    got = N.monthly_shapes(edges.withColumn("month", month.asNondeterministic()("month"))).collect()
+    assert sorted((r.month, r.components, r.largest_component_share) for r in got) == [("m1", 2, 0.5), ("m2", 1, 1.0)]
+    assert made.value == 3
+
+
 def test_tasks_of_stories_are_bounded_in_rows(spark, monkeypatch):
     monkeypatch.setattr("millrace.operators.skew.TASK_ROWS", 50)
     rows = [("m", story, f"e{k}", f"t{story % 3}") for story in range(500) for k in {story % 2, 2 + story % 5}]
