@@ -31,7 +31,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """
     # the comparison key is the words joined by spaces
     digest = X.let(X.comparison_key(F.col("text")), lambda k: F.when(k != "", F.sha2(k, 256)))
-    keyed = settle(docs.select(id_col, digest.alias("digest"))).where("digest IS NOT NULL")
+    return _grouped(settle(docs.select(id_col, digest.alias("digest"))).where("digest IS NOT NULL"), id_col)
+
+
+def _grouped(keyed: DataFrame, id_col: str) -> DataFrame:
+    """exact_groups() of stored (id, digest)."""
     groups = keyed.groupBy("digest").agg(F.min(id_col).alias("first"), F.count("*").alias("size"))
     return join_counted(keyed, settle(groups), "digest").select(id_col, "digest", "first", "size")
 
@@ -50,34 +54,45 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.offsets.to_numpy(), np.asarray(column.values, np.int64)
 
 
-def shingle_sets(docs: DataFrame, k: int = SHINGLE, id_col: str = "doc_id", groups: DataFrame | None = None) -> DataFrame:
+def shingle_sets(docs: DataFrame, k: int = SHINGLE, id_col: str = "doc_id") -> DataFrame:
     """(id, sh, n): sorted 64-bit hashes of the distinct shingles of each distinct text's first document.
 
-    Null texts and texts of fewer than ``k`` words have no row. Words are hashed in Spark, runs of
-    them combined in Arrow batches. ``groups`` is exact_groups() of the same documents, where it is at hand.
+    Null texts and texts of fewer than ``k`` words have no row.
+    """
+    return groups_and_sets(docs, k, id_col)[1]
+
+
+def groups_and_sets(docs: DataFrame, k: int = SHINGLE, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """exact_groups() and shingle_sets() of the same documents, both stored, from one reading of their texts.
+
+    Words are hashed in Spark beside the digest, runs of them combined in Arrow batches. Copies are
+    hashed like any text and left out afterwards.
     """
-    groups = settle(exact_groups(docs, id_col)) if groups is None else groups
-    firsts = by_ids(docs, groups.where(F.col(id_col) != F.col("first")).select(id_col), id_col, keep=False)
     # one evaluation of the key a row
-    hashes = X.let(X.comparison_key(F.col("text")), lambda key: F.when(key != "", F.transform(F.split(key, " "), lambda w: F.xxhash64(w))))
+    both = X.let(X.comparison_key(F.col("text")), lambda key: F.when(key != "", F.struct(F.sha2(key, 256).alias("digest"), F.transform(F.split(key, " "), lambda w: F.xxhash64(w)).alias("wh"))))
 
     def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, v = _lists(batch.column(1))
+            digest, hashes = batch.column(1).flatten()
+            at, v = _lists(hashes)
             v, runs = v.view(np.uint64), max(0, len(v) - k + 1)
             s = np.zeros(runs, np.uint64)
             for i in range(k):
                 s = s * np.uint64(0x9E3779B97F4A7C15) + v[i : i + runs]
             s = (s ^ (s >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
             s = (s ^ (s >> np.uint64(29))).view(np.int64)
-            rows = np.flatnonzero(np.diff(at) >= k)
-            sets = [np.unique(s[at[r] : at[r + 1] - k + 1]) for r in rows]
+            sets = [np.unique(s[at[r] : max(at[r], at[r + 1] - k + 1)]) for r in range(len(at) - 1)]
             n = np.array([len(x) for x in sets], np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), lists, pa.array(n)], [id_col, "sh", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), digest, lists, pa.array(n)], [id_col, "digest", "sh", "n"])
 
     kind = dict(docs.dtypes)[id_col]
-    return firsts.select(id_col, hashes.alias("wh")).mapInArrow(combined, f"{id_col} {kind}, sh array<long>, n int")
+    # as one column: a filter on it, or its fields, would have Spark take the key again
+    stored = settle(docs.select(id_col, both.alias("x")).mapInArrow(combined, f"{id_col} {kind}, digest string, sh array<long>, n int"))
+    groups = settle(_grouped(stored.select(id_col, "digest").where("digest IS NOT NULL"), id_col))
+    copies = groups.where(F.col(id_col) != F.col("first")).select(id_col)
+    firsts = by_ids(stored.where("n > 0").select(id_col, "sh", "n"), copies, id_col, keep=False)
+    return groups, firsts if copies.count() <= BROADCAST_IDS else settle(firsts)
 
 
 #: Cells in which shingles are counted, by the leading bits of their hashes, and how many of them are summed together.
@@ -111,16 +126,21 @@ def _levels(sets: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def near_pairs(sets: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id") -> DataFrame:
+def near_pairs(sets: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", forest: bool = False) -> DataFrame:
     """(a, b, score): pairs of distinct texts whose shingle sets have Jaccard >= threshold; exact.
 
+    With ``forest`` of these pairs so many that all of their components hold together, fewer than sets a cell.
+
     Prefix filter: with all shingles in one order, two sets that similar share one of their first
     n - ceil(t n) + 1. Any order gives the same pairs; this one goes by the counts of cells of
     shingles over all sets, then by hash, so frequent shingles come last and hardly ever serve as a
     join key, and only prefixes, a fifth of the sets, are shuffled. A shared key also tells how much
-    two sets can have in common at most. Candidates are checked on their whole sets. An empty table gives no pairs.
+    two sets can have in common at most. Near copies share nearly all of their keys: where the keys before
+    are equal too the pair has met there already, under the same bounds, so it is sent once for a run of
+    common keys. Candidates are checked on their whole sets. An empty table gives no pairs.
+
+    ``sets`` is read several times: it should be stored, as shingle_sets() is.
     """
-    sets = settle(sets)
     levels = sets.sparkSession.sparkContext.broadcast(_levels(sets))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,26 +149,28 @@ def near_pairs(sets: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc
             h = sh.view(np.uint64)
             level = levels.value[(h >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
             order = (level.astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8))  # equal ones stay in the sets' own order
-            chosen, rows, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+            chosen, rows, places, before = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
             for r in range(len(at) - 1):
                 n = int(at[r + 1] - at[r])
                 if n:
                     first = at[r] + np.argsort(order[at[r] : at[r + 1]], kind="stable")[: n - math.ceil(threshold * n - 1e-9) + 1]
                     place = np.flatnonzero(level[first])  # what occurs once can't be shared: it only uses up the prefix
                     chosen.append(first[place])
+                    before.append(np.append(0, sh[first[place[:-1]]])[: len(place)])  # 0: none, or one that tells nothing
                     places.append(place.astype(np.int32))
                     rows.append(np.full(len(place), r))
             rows, chosen = pa.array(np.concatenate(rows)), np.concatenate(chosen)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(2).take(rows), pa.array(np.concatenate(places)), pa.array(sh[chosen])], [id_col, "n", "at", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(2).take(rows), pa.array(np.concatenate(places)), pa.array(sh[chosen]), pa.array(np.concatenate(before))], [id_col, "n", "at", "s", "p"])
 
     kind = dict(sets.dtypes)[id_col]
-    keys = sets.select(id_col, "sh", "n").mapInArrow(prefixes, f"{id_col} {kind}, n int, at int, s long")
-    a, b = (keys.select(F.col(id_col).alias(x), F.col("n").alias(f"n{x}"), F.col("at").alias(f"at{x}"), "s") for x in "ab")
+    keys = sets.select(id_col, "sh", "n").mapInArrow(prefixes, f"{id_col} {kind}, n int, at int, s long, p long")
+    a, b = (keys.select(F.col(id_col).alias(x), F.col("n").alias(f"n{x}"), F.col("at").alias(f"at{x}"), F.col("p").alias(f"p{x}"), "s") for x in "ab")
     length = (F.col("nb") >= F.col("na") * F.lit(threshold)) & (F.col("na") >= F.col("nb") * F.lit(threshold))
     most = F.least("ata", "atb") + F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb"))
     enough = most >= (F.col("na") + F.col("nb")) * F.lit(threshold / (1 + threshold)) - F.lit(1e-6)
-    candidates = a.join(b, "s").where((F.col("a") < F.col("b")) & length & enough).select("a", "b").distinct()
-    return _verified(candidates, sets, threshold, id_col)
+    new = (F.col("pa") != F.col("pb")) | (F.col("pa") == 0)
+    candidates = a.join(b, "s").where((F.col("a") < F.col("b")) & new & length & enough).select("a", "b").distinct()
+    return _verified(candidates, sets, threshold, id_col, forest)
 
 
 #: Sets of one cell, about, half of which meet the other half; values of sets that a task compares at a time.
@@ -174,10 +196,11 @@ def _cells(candidates: DataFrame) -> DataFrame:
     return dealt.select(F.xxhash64("root", block("a"), block("b")).alias("cell"), "a", "b")
 
 
-def _verified(candidates: DataFrame, sets: DataFrame, threshold: float, id_col: str) -> DataFrame:
+def _verified(candidates: DataFrame, sets: DataFrame, threshold: float, id_col: str, forest: bool = False) -> DataFrame:
     """(a, b, score) of the candidates whose whole sets have Jaccard >= threshold; sets of no candidate stay where they are.
 
-    Sets move once for each of their cells, not for each of their pairs.
+    Sets move once for each of their cells, not for each of their pairs. With ``forest`` pairs that
+    are connected within their cell already are neither compared nor returned.
     """
     placed = settle(_cells(settle(candidates)))
     needed = settle(placed.select("cell", F.explode(F.array("a", "b")).alias(id_col)).distinct())
@@ -198,19 +221,28 @@ def _verified(candidates: DataFrame, sets: DataFrame, threshold: float, id_col:
         values, codes = np.unique(flat, return_inverse=True)
         left, right = (pc.index_in(asked[x], value_set=ids).to_numpy().astype(np.int64) for x in "ab")
         order = np.argsort(left, kind="stable")
-        common, here = np.zeros(len(order), np.int64), np.zeros(len(values), bool)
+        common, here, tree = np.zeros(len(order), np.int64), np.zeros(len(values), bool), np.arange(len(n))
         bounds = np.flatnonzero(np.diff(left[order], prepend=-1, append=-1))
         for low, high in zip(bounds[:-1], bounds[1:]):
-            mine, theirs = codes[at[left[order[low]]] : at[left[order[low]] + 1]], right[order[low:high]]
+            one, asks = left[order[low]], order[low:high]
+            if forest:
+                asks = asks[tree[right[asks]] != tree[one]]
+            mine, theirs = codes[at[one] : at[one + 1]], right[asks]
             here[mine] = True
-            common[order[low:high]] = [np.count_nonzero(here[codes[at[r] : at[r + 1]]]) for r in theirs]
+            met = np.array([np.count_nonzero(here[codes[at[r] : at[r + 1]]]) for r in theirs], np.int64)
             here[mine] = False
+            if forest:  # of those of one tree the first that is similar
+                similar = np.flatnonzero(met / np.maximum(1, n[one] + n[theirs] - met) >= threshold)
+                trees, first = np.unique(tree[theirs[similar]], return_index=True)
+                asks, met = asks[similar[first]], met[similar[first]]
+                tree[np.isin(tree, trees)] = tree[one]
+            common[asks] = met
         score = common / np.maximum(1, n[left] + n[right] - common)
         similar = pa.array(np.flatnonzero(score >= threshold))
         a, b = (asked[x].combine_chunks().take(similar) for x in "ab")
         return pa.RecordBatch.from_arrays([a, b, pa.array(score).take(similar)], ["a", "b", "score"])
 
-    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, size = [], 0
         for batch in batches:
             if not batch.num_rows:
@@ -229,7 +261,7 @@ def _verified(candidates: DataFrame, sets: DataFrame, threshold: float, id_col:
         if waiting:
             yield scored(pa.Table.from_batches(waiting))
 
-    return rows.repartition(tasks, "cell").sortWithinPartitions("cell").mapInArrow(met, f"a {kind}, b {kind}, score double")
+    return rows.repartition(tasks, "cell").sortWithinPartitions("cell").mapInArrow(compared, f"a {kind}, b {kind}, score double")
 
 
 def minhash_bands(sets: DataFrame, bands: int = BANDS, rows: int = ROWS, seed: int = 1, id_col: str = "doc_id") -> DataFrame:
@@ -266,7 +298,6 @@ def lsh_pairs(sets: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS,
     A pair of Jaccard 0.8 is missed with a probability of about 5e-6, a more similar one more rarely;
     ``near_pairs`` misses none.
     """
-    sets = settle(sets)
     keyed = settle(minhash_bands(sets, bands, rows, id_col=id_col))
     a, b = keyed.withColumnRenamed(id_col, "a"), keyed.withColumnRenamed(id_col, "b")
     candidates = a.join(b, ["band", "key"]).where("a < b").select("a", "b").distinct()

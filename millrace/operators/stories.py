@@ -27,19 +27,22 @@ def split_components(edges: DataFrame, cuttable, max_size: int, start: float, st
 
     Round by round the threshold grows by ``step`` and, inside components that are still too
     large, edges for which ``cuttable`` holds and whose score is below it go. ``edges`` has a,
-    b, score. The rounds are (cap - start) / step at most; each checkpoints its edges.
+    b, score. The rounds are (cap - start) / step at most; each checkpoints its edges, but one below
+    whose threshold no edge is left that may go changes nothing and finds no components.
     """
     current = settle(edges)
     nodes = settle(current.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     labels = settle(connected_components(current, "a", "b"))
     threshold = start
     while threshold < cap:
+        threshold = round(threshold + step, 4)
+        goes = cuttable & (F.col("score") < threshold)
+        if current.where(goes).isEmpty():
+            continue
         large = labels.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") > max_size)
         if large.isEmpty():
             break
-        threshold = round(threshold + step, 4)
         in_large = labels.join(large, "component", "left_semi").select(F.col("node").alias("a"))
-        goes = cuttable & (F.col("score") < threshold)
         marked = current.join(in_large.withColumn("big", F.lit(True)), "a", "left")
         current = settle(marked.where(~(F.coalesce("big", F.lit(False)) & F.coalesce(goes, F.lit(False)))).drop("big"))
         found = connected_components(current, "a", "b")

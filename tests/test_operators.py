@@ -539,3 +539,71 @@ def test_defaults_are_those_of_the_parameter_object(spark):
     with pytest.raises(Exception):
         whole.series.window = 3
     assert A.of(A.Series(window=14), S.zscore) == {"window": 14, "threshold": 3.0, "min_stories": 5}
+
+
+def test_near_copies_meet_once_for_a_run_of_common_keys(spark, monkeypatch):
+    """Of k texts that differ in one word a pair shares some fifty keys; it is sent for the first of each run of them, and none is lost."""
+    rows = []
+    for i in range(30):
+        words = [f"w{k}" for k in range(300)]
+        words[7 * i + 20] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    sets = D.shingle_sets(spark.createDataFrame(rows, "doc_id long, text string"))
+    asked, verified = [], D._verified
+    monkeypatch.setattr(D, "_verified", lambda candidates, *more: asked.append(candidates) or verified(candidates, *more))
+    assert {(r.a, r.b) for r in D.near_pairs(sets).collect()} == set(itertools.combinations(range(30), 2))
+    asked[0].collect()
+    assert 30 * 29 // 2 <= max(_rows_of_joins(asked[0])) < 30 * 29 // 2 * 15
+
+
+def _rows_of_joins(df):
+    """Output rows of the joins of a plan that has run."""
+    found, waiting = [], [df._jdf.queryExecution().executedPlan()]
+    while waiting:
+        node = waiting.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            waiting.append(node.executedPlan())
+        elif "QueryStage" in node.nodeName():
+            waiting.append(node.plan())
+        if "Join" in node.nodeName():
+            found.append(node.metrics().apply("numOutputRows").value())
+        waiting += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+@pytest.mark.parametrize("cell", [512, 8])
+def test_forest_of_near_pairs_has_their_components(spark, monkeypatch, cell):
+    monkeypatch.setattr(D, "CELL_SETS", cell)
+    rng, rows = random.Random(11), []
+    for i in range(120):
+        words = [f"{i % 3}_{k}" for k in range(200)]
+        for _ in range(rng.randrange(3)):
+            words[rng.randrange(200)] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    sets = D.shingle_sets(spark.createDataFrame(rows, "doc_id long, text string"))
+    every, some = D.near_pairs(sets), D.near_pairs(sets, forest=True)
+    parts = [{r.node: r.component for r in connected_components(p, "a", "b").collect()} for p in (every, some)]
+    assert parts[0] == parts[1] and len(parts[0]) > 60
+    scores = {(r.a, r.b): r.score for r in every.collect()}
+    few = {(r.a, r.b): r.score for r in some.collect()}
+    assert few.items() <= scores.items()
+    assert len(few) < len(scores) / 2 if cell == 8 else len(few) == len(parts[0]) - len(set(parts[0].values()))
+
+
+def test_texts_are_read_once_for_digests_and_shingles(spark, sf001):
+    docs = spark.read.parquet(f"{sf001}/documents.parquet")
+    groups, sets = D.groups_and_sets(docs)
+    assert sorted(map(tuple, groups.collect())) == sorted(map(tuple, D.exact_groups(docs).collect()))
+    firsts = {r.doc_id for r in groups.where("doc_id = first").collect()}
+    ids = [r.doc_id for r in sets.collect()]
+    assert len(ids) == len(set(ids)) and set(ids) <= firsts
+    assert "documents.parquet" not in sets._jdf.queryExecution().toString() and "regexp_replace" not in sets._jdf.queryExecution().toString()
+
+
+def test_rounds_without_an_edge_to_cut_find_no_components(spark, monkeypatch):
+    found, real = [], T.connected_components
+    monkeypatch.setattr(T, "connected_components", lambda *args: found.append(args) or real(*args))
+    held = spark.createDataFrame([(i, i + 1, "minhash", 0.905) for i in range(70)], "a long, b long, level string, score double")
+    assert {r.component for r in T.split_stories(held).collect()} == {0} and len(found) == 1
+    mixed = held.unionByName(spark.createDataFrame([(70, 71, "semantic", 0.955)], held.schema))
+    assert {r.node: r.component for r in T.split_stories(mixed).collect()} == {**{i: 0 for i in range(71)}, 71: 71} and len(found) == 3
