@@ -131,13 +131,14 @@ def near_pairs(sets: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc
 
     With ``forest`` of these pairs so many that all of their components hold together, fewer than sets a cell.
 
-    Prefix filter: with all shingles in one order, two sets that similar share one of their first
-    n - ceil(t n) + 1. Any order gives the same pairs; this one goes by the counts of cells of
+    Prefix filter: with all shingles in one order, two sets that similar share two of their first
+    n - ceil(t n) + 2, or one where they need but one in common. Any order gives the same pairs; this one goes by the counts of cells of
     shingles over all sets, then by hash, so frequent shingles come last and hardly ever serve as a
     join key, and only prefixes, a fifth of the sets, are shuffled. A shared key also tells how much
-    two sets can have in common at most. Near copies share nearly all of their keys: where the keys before
+    two sets can have in common at most; pairs that meet by chance share one, and their number grows with the square of the
+    input, so they are no candidates. Near copies share nearly all of their keys: where the keys before
     are equal too the pair has met there already, under the same bounds, so it is sent once for a run of
-    common keys. Candidates are checked on their whole sets. An empty table gives no pairs.
+    common keys, which counts as two if the next keys are equal. Candidates are checked on their whole sets. An empty table gives no pairs.
 
     ``sets`` is read several times: it should be stored, as shingle_sets() is.
     """
@@ -153,12 +154,14 @@ def near_pairs(sets: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc
             for r in range(len(at) - 1):
                 n = int(at[r + 1] - at[r])
                 if n:
-                    first = at[r] + np.argsort(order[at[r] : at[r + 1]], kind="stable")[: n - math.ceil(threshold * n - 1e-9) + 1]
+                    first = at[r] + np.argsort(order[at[r] : at[r + 1]], kind="stable")[: n - math.ceil(threshold * n - 1e-9) + 2]
                     place = np.flatnonzero(level[first])  # what occurs once can't be shared: it only uses up the prefix
                     chosen.append(first[place])
-                    before.append(np.append(0, sh[first[place[:-1]]])[: len(place)])  # 0: none, or one that tells nothing
+                    s = sh[first[place]]
+                    before.append(np.append(0, s[:-1] & ~0xFFFF)[: len(s)] | np.append(s[1:] & 0x7FFF | 0x8000, 0)[: len(s)])
                     places.append(place.astype(np.int32))
                     rows.append(np.full(len(place), r))
+            # p: 48 bits of the key before and 16 of the next, where 0 is none
             rows, chosen = pa.array(np.concatenate(rows)), np.concatenate(chosen)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(2).take(rows), pa.array(np.concatenate(places)), pa.array(sh[chosen]), pa.array(np.concatenate(before))], [id_col, "n", "at", "s", "p"])
 
@@ -168,8 +171,12 @@ def near_pairs(sets: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc
     length = (F.col("nb") >= F.col("na") * F.lit(threshold)) & (F.col("na") >= F.col("nb") * F.lit(threshold))
     most = F.least("ata", "atb") + F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb"))
     enough = most >= (F.col("na") + F.col("nb")) * F.lit(threshold / (1 + threshold)) - F.lit(1e-6)
-    new = (F.col("pa") != F.col("pb")) | (F.col("pa") == 0)
-    candidates = a.join(b, "s").where((F.col("a") < F.col("b")) & new & length & enough).select("a", "b").distinct()
+    before, following, differ = F.lit(~0xFFFF), F.lit(0xFFFF), F.col("pa").bitwiseXOR(F.col("pb"))
+    new = (differ.bitwiseAND(before) != 0) | (F.col("pa").bitwiseAND(before) == 0)
+    two = (differ.bitwiseAND(following) == 0) & (F.col("pa").bitwiseAND(following) != 0)
+    one_is_all = F.greatest("na", "nb") * F.lit(threshold) <= F.lit(1 + 1e-9)
+    met = a.join(b, "s").where((F.col("a") < F.col("b")) & new & length & enough).select("a", "b", F.when(two | one_is_all, 2).otherwise(1).alias("keys"))
+    candidates = met.groupBy("a", "b").agg(F.sum("keys").alias("keys")).where("keys >= 2").select("a", "b")
     return _verified(candidates, sets, threshold, id_col, forest)
 
 

@@ -607,3 +607,26 @@ def test_rounds_without_an_edge_to_cut_find_no_components(spark, monkeypatch):
     assert {r.component for r in T.split_stories(held).collect()} == {0} and len(found) == 1
     mixed = held.unionByName(spark.createDataFrame([(70, 71, "semantic", 0.955)], held.schema))
     assert {r.node: r.component for r in T.split_stories(mixed).collect()} == {**{i: 0 for i in range(71)}, 71: 71} and len(found) == 3
+
+
+def test_sets_that_share_one_key_by_chance_are_no_candidates(spark, monkeypatch):
+    """Any two of these sets share one shingle: their number is a square, and none can be similar."""
+    rng = random.Random(21)
+    shared = {pair: rng.getrandbits(63) for pair in itertools.combinations(range(30), 2)}
+    rows = [(i, sorted(h for pair, h in shared.items() if i in pair), 29) for i in range(30)]
+    asked, verified = [], D._verified
+    monkeypatch.setattr(D, "_verified", lambda candidates, *more: asked.append(candidates) or verified(candidates, *more))
+    assert D.near_pairs(spark.createDataFrame(rows, "doc_id long, sh array<long>, n int")).count() == asked[0].count() == 0
+
+
+@pytest.mark.parametrize("threshold", [0.8, 0.5])
+def test_near_pairs_of_small_sets_lose_none(spark, threshold):
+    """Sets of one shingle and more, of which similar ones have one, two or more in common."""
+    rng = random.Random(22)
+    hashes, sets = [rng.getrandbits(64) - 2**63 for _ in range(12)], set()
+    while len(sets) < 150:
+        sets.add(tuple(sorted(rng.sample(hashes, rng.choice([1, 2, 3, 4, 5, 6, 8, 10])))))
+    rows = list(enumerate([*sorted(sets), (hashes[0],), tuple(sorted(hashes[:2]))]))
+    got = {(r.a, r.b): r.score for r in D.near_pairs(spark.createDataFrame([(i, list(s), len(s)) for i, s in rows], "doc_id long, sh array<long>, n int"), threshold).collect()}
+    want = {(i, j): len({*x} & {*y}) / len({*x} | {*y}) for (i, x), (j, y) in itertools.combinations(rows, 2)}
+    assert got == {pair: score for pair, score in want.items() if score >= threshold}
