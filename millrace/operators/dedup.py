@@ -126,10 +126,11 @@ def _levels(sets: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def near_pairs(sets: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", forest: bool = False) -> DataFrame:
+def near_pairs(sets: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", forest: bool = False, apart: DataFrame | None = None) -> DataFrame:
     """(a, b, score): pairs of distinct texts whose shingle sets have Jaccard >= threshold; exact.
 
     With ``forest`` of these pairs so many that all of their components hold together, fewer than sets a cell.
+    Pairs (a, b), a < b, of ``apart`` are left out before that: what they alone connect stays apart.
 
     Prefix filter: with all shingles in one order, two sets that similar share two of their first
     n - ceil(t n) + 2, or one where they need but one in common. Any order gives the same pairs; this one goes by the counts of cells of
@@ -177,6 +178,8 @@ def near_pairs(sets: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc
     one_is_all = F.greatest("na", "nb") * F.lit(threshold) <= F.lit(1 + 1e-9)
     met = a.join(b, "s").where((F.col("a") < F.col("b")) & new & length & enough).select("a", "b", F.when(two | one_is_all, 2).otherwise(1).alias("keys"))
     candidates = met.groupBy("a", "b").agg(F.sum("keys").alias("keys")).where("keys >= 2").select("a", "b")
+    if apart is not None:
+        candidates = candidates.join(apart.select("a", "b"), ["a", "b"], "left_anti")
     return _verified(candidates, sets, threshold, id_col, forest)
 
 

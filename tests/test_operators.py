@@ -630,3 +630,22 @@ def test_near_pairs_of_small_sets_lose_none(spark, threshold):
     got = {(r.a, r.b): r.score for r in D.near_pairs(spark.createDataFrame([(i, list(s), len(s)) for i, s in rows], "doc_id long, sh array<long>, n int"), threshold).collect()}
     want = {(i, j): len({*x} & {*y}) / len({*x} | {*y}) for (i, x), (j, y) in itertools.combinations(rows, 2)}
     assert got == {pair: score for pair, score in want.items() if score >= threshold}
+
+
+def test_near_pairs_that_may_be_cut_hold_no_forest_together(spark):
+    """Stories over a forest of near pairs and semantic ones are those over all near pairs, also where a near pair is semantic."""
+    rng, rows = random.Random(23), []
+    for i in range(40):
+        words = [f"{i % 4}_{k}" for k in range(150)]
+        words[3 * i] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    sets = D.shingle_sets(spark.createDataFrame(rows, "doc_id long, text string"))
+    every = D.near_pairs(sets)
+    near = [(r.a, r.b) for r in every.collect()]
+    cut = [p for p in near if p[0] in (0, 1)] + rng.sample(near, 20)  # 0 and 1 hang on semantic edges alone
+    semantic = spark.createDataFrame([(a, b, "semantic", 0.3) for a, b in {*cut, (2, 3)}], "a long, b long, level string, score double")
+    some = D.near_pairs(sets, forest=True, apart=semantic)
+    level = lambda p: p.select("a", "b", F.lit("minhash").alias("level"), "score").unionByName(semantic)
+    want, got = ({r.node: r.component for r in T.split_stories(level(p), 5, 0.3, 0.1, 0.5).collect()} for p in (every, some))
+    assert got == want and want[4] != 0 and want[0] == 0 and want[1] == 1
+    assert some.count() < len(near) / 2 and not {(r.a, r.b) for r in some.collect()} & set(cut)
